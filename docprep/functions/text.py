@@ -94,21 +94,29 @@ def unwrap_lines(c: Column, factor: float) -> Column:
     Long means at least the length found at ``factor`` (0..1) of the way
     through the line lengths of the document, shortest first.
     """
-    lines = F.split(c, "\n")
-    lengths = F.array_sort(F.transform(F.filter(lines, lambda l: l != ""), F.length))
-    at = F.least(F.floor(F.size(lengths) * F.lit(float(factor))).cast("int") + 1, F.size(lengths))
-    limit = F.when(F.size(lengths) > 0, F.get(lengths, at - 1)).otherwise(F.lit(0))
-    joined = F.array_join(
-        F.transform(
-            lines,
-            lambda l: F.concat(
-                l,
-                F.when((l != "") & (F.length(l) >= limit) & ~l.rlike(SENTENCE_END), F.lit(" ")).otherwise(F.lit("\n")),
-            ),
-        ),
-        "",
-    )
-    return F.substring(joined, F.lit(1), F.length(joined) - 1)
+    lengths = F.array_sort(F.transform(F.filter(F.split(c, "\n"), lambda l: l != ""), F.length))
+
+    def limit(sizes: Column) -> Column:
+        at = F.least(F.floor(F.size(sizes) * F.lit(float(factor))).cast("int"), F.size(sizes) - 1)
+        return F.when(F.size(sizes) > 0, F.get(sizes, at)).otherwise(F.lit(0))
+
+    def join(lines: Column, least: Column) -> Column:
+        def ending(l: Column) -> Column:
+            wrapped = (l != "") & (F.length(l) >= least) & ~l.rlike(SENTENCE_END)
+            return F.when(wrapped, F.lit(" ")).otherwise(F.lit("\n"))
+
+        return F.array_join(F.transform(lines, lambda l: F.concat(l, ending(l))), "")
+
+    # Lines and limit are bound once per document; inside the inner function
+    # they would be worked out again for every line.
+    bound = F.struct(F.split(c, "\n").alias("lines"), _once(lengths, limit).alias("least"))
+    joined = _once(bound, lambda b: join(b["lines"], b["least"]))
+    return _once(joined, lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def delete_blank_paragraphs(c: Column) -> Column:

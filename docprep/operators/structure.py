@@ -242,15 +242,18 @@ def strip_repeated_edges(docs: DataFrame, group: str, min_docs: int) -> DataFram
     return out.withColumn("_mid", from_start).withColumn("text", cut).select(*docs.columns)
 
 
-def split_flow(lines: DataFrame, max_bytes: int, on_breaks: bool = True, page_break: str = "\f", **hot) -> DataFrame:
+def split_flow(lines: DataFrame, max_bytes: int, on_breaks: bool = True, opens: Column | None = None, **hot) -> DataFrame:
     """Part numbers for line rows ``(doc_id, position, line)``.
 
-    A part ends at the line border before its bytes (line end included) would
-    pass the next multiple of ``max_bytes``; 0 means no size limit. A line that
-    starts with ``page_break`` opens a new stretch unless ``on_breaks`` is
-    false. Adds ``segment`` (stretch) and ``chunk`` (part within it), both from 0.
+    A line belongs to the part in which its last byte (line end included)
+    falls when bytes are counted off in lots of ``max_bytes``; 0 means no size
+    limit. A line that meets ``opens`` (by default: starts with a form feed)
+    opens a new stretch unless ``on_breaks`` is false. Adds ``segment``
+    (stretch) and ``chunk`` (part within it), both from 0.
     """
-    opens = F.coalesce(F.startswith("line", F.lit(page_break)), F.lit(False)) if on_breaks else F.lit(False)
+    if opens is None:
+        opens = F.startswith("line", F.lit("\f"))
+    opens = F.coalesce(opens, F.lit(False)) if on_breaks else F.lit(False)
     size = (F.octet_length("line") + 1).cast("bigint")
     rows = lines.withColumn("_size", size).withColumn("_opens", opens)
     counted = scan(
@@ -260,30 +263,38 @@ def split_flow(lines: DataFrame, max_bytes: int, on_breaks: bool = True, page_br
         sums={"_cum": F.col("_size"), "segment": F.col("_opens").cast("bigint")},
         **hot,
     )
+    within = F.col("_cum")
     if on_breaks:
         base = F.when(F.col("_opens"), F.col("_cum") - F.col("_size"))
         counted = scan(counted, ["doc_id"], ["position"], lasts={"_base": base}, **hot)
         within = F.col("_cum") - F.coalesce("_base", F.lit(0))
-    else:
-        within = F.col("_cum")
     chunk = F.floor((within - 1) / max_bytes).cast("bigint") if max_bytes > 0 else F.lit(0).cast("bigint")
     return counted.withColumn("chunk", chunk).select(*lines.columns, "segment", "chunk")
 
 
-def split_documents(docs: DataFrame, max_bytes: int, on_breaks: bool = True) -> DataFrame:
-    """W7 on whole documents: ``(doc_id, part, bytes, text)``.
+def join_parts(placed: DataFrame) -> DataFrame:
+    """Placed lines put together: ``(doc_id, part, bytes, text)``.
 
-    The lines of one document come from one cell, so one shuffle by document
-    serves the running size and the regrouping into parts.
+    A part is the result cell and no larger than the size limit (or one line).
     """
-    placed = split_flow(lines_of(docs), max_bytes, on_breaks, split_hot=False)
     parts = placed.groupBy("doc_id", "segment", "chunk").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n"
         ).alias("text")
     )
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("segment", "chunk"))
-    return parts.select("doc_id", number.alias("part"), F.octet_length("text").cast("bigint").alias("bytes"), "text")
+    numbered = scan(
+        parts, ["doc_id"], ["segment", "chunk"], sums={"part": F.lit(1).cast("bigint")}, split_hot=False
+    )
+    return numbered.select("doc_id", "part", F.octet_length("text").cast("bigint").alias("bytes"), "text")
+
+
+def split_documents(docs: DataFrame, max_bytes: int, on_breaks: bool = True, opens: Column | None = None) -> DataFrame:
+    """W7 on whole documents: ``(doc_id, part, bytes, text)``.
+
+    The lines of one document come from one cell, so one shuffle by document
+    serves the running size and the regrouping into parts.
+    """
+    return join_parts(split_flow(lines_of(docs), max_bytes, on_breaks, opens, split_hot=False))
 
 
 def count_lines(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docprep.functions import html as hx
 from docprep.functions import text as tx
-from docprep.functions.predicates import rstrip
+from docprep.functions.predicates import rstrip, truthy
 from docprep.operators.layers import option_maps
 from docprep.operators.structure import build_toc, headings
 
@@ -51,16 +51,26 @@ def prepare_documents(docs: DataFrame, resolved: DataFrame, on: str) -> DataFram
     """Text of each document cleaned as the options of its entity say."""
     rows = with_options(docs, resolved, on)
     o = F.col("options")
+    governed = (
+        ("disable-dehyphenate", tx.dehyphenate),
+        ("disable-delete-blank-paragraphs", tx.delete_blank_paragraphs),
+        ("disable-format-scene-breaks", tx.scene_breaks),
+        ("disable-fix-indents", tx.fix_indents),
+        ("disable-italicize-common-cases", tx.italicize_common),
+    )
+    chosen = (
+        ("asciiize", tx.asciiize),
+        ("smarten-punctuation", tx.smarten),
+        ("unsmarten-punctuation", tx.unsmarten),
+        ("insert-blank-line", tx.insert_blank_line),
+        ("remove-paragraph-spacing", tx.remove_paragraph_spacing),
+    )
     c = F.col("text")
-    c = F.when(tx.truthy(o["keep-ligatures"]), c).otherwise(tx.expand_ligatures(c))
-    c = tx.unless_disabled(c, o, "disable-dehyphenate", tx.dehyphenate)
-    c = tx.unless_disabled(c, o, "disable-delete-blank-paragraphs", tx.delete_blank_paragraphs)
-    c = tx.unless_disabled(c, o, "disable-format-scene-breaks", tx.scene_breaks)
-    c = tx.unless_disabled(c, o, "disable-fix-indents", tx.fix_indents)
-    c = tx.unless_disabled(c, o, "disable-italicize-common-cases", tx.italicize_common)
-    c = tx.switched(c, o, "asciiize", tx.asciiize)
-    c = tx.switched(c, o, "smarten-punctuation", tx.smarten)
-    c = tx.switched(c, o, "unsmarten-punctuation", tx.unsmarten)
-    c = tx.switched(c, o, "insert-blank-line", tx.insert_blank_line)
-    c = tx.switched(c, o, "remove-paragraph-spacing", tx.remove_paragraph_spacing)
+    # One projection per step: nested in one expression, the text of each step
+    # would stand twice in the next, and the expression would double each time.
+    rows = rows.withColumn("text", F.when(truthy(o["keep-ligatures"]), c).otherwise(tx.expand_ligatures(c)))
+    for key, change in governed:
+        rows = rows.withColumn("text", tx.unless_disabled(c, o, key, change))
+    for key, change in chosen:
+        rows = rows.withColumn("text", tx.switched(c, o, key, change))
     return rows.withColumn("text", rstrip(c)).drop("options")
