@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docprep.functions.binding import once
 from docprep.functions.predicates import strip
 from docprep.model import LINE_END, LONG_FLAG, TYPE_HINTS
 
 
 def split_lines(c: Column) -> Column:
     """The lines of a text; a final line end opens no further line."""
-    parts = F.split(c, LINE_END)
-    n = F.size(parts)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
+
+    def closed(parts: Column) -> Column:
+        return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+
+    return once(F.split(c, LINE_END), closed)
 
 
 def extract_flags(c: Column) -> Column:
@@ -21,20 +24,11 @@ def extract_flags(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({LONG_FLAG})"), F.lit(1))
 
 
-def _first_hint(*texts: Column) -> Column:
-    found = [
-        F.when(_any([F.contains(t, F.lit(word)) for t in texts]), F.lit(kind)) for word, kind in TYPE_HINTS
-    ]
+def _first_hint(text: Column) -> Column:
+    found = [F.when(F.contains(text, F.lit(word)), F.lit(kind)) for word, kind in TYPE_HINTS]
     return F.coalesce(*found, F.lit("string"))
 
 
-def _any(tests: list[Column]) -> Column:
-    out = tests[0]
-    for test in tests[1:]:
-        out = out | test
-    return out
-
-
 def infer_type(flag: Column, help_text: Column) -> Column:
     """option type guessed from the first line of its help text.
 
@@ -44,16 +38,23 @@ def infer_type(flag: Column, help_text: Column) -> Column:
     first = F.when(F.coalesce(help_text, F.lit("")) == "", flag).otherwise(
         F.element_at(F.split(help_text, LINE_END), 1)
     )
-    at = F.instr(first, flag)
-    after = F.when(at > 0, F.substring(first, at + F.length(flag), F.length(first))).otherwise(first)
-    token = strip(after)
-    inner = F.rtrim(F.ltrim(token, F.lit("=[<")), F.lit(">]"))
-    return (
-        F.when(token == "", F.lit("boolean"))
-        .when(token.startswith(",") | token.startswith("--"), F.lit("boolean"))
-        .when(token.rlike(r"^[=\[<]"), _first_hint(inner))
-        .otherwise(_first_hint_loose(F.lower(first), F.lower(token)))
-    )
+
+    def after_flag(line: Column) -> Column:
+        at = F.instr(line, flag)
+        rest = F.when(at > 0, F.substring(line, at + F.length(flag), F.length(line))).otherwise(line)
+        return F.struct(F.lower(line).alias("line"), strip(rest).alias("token"))
+
+    def judge(parts: Column) -> Column:
+        token = parts["token"]
+        inner = F.rtrim(F.ltrim(token, F.lit("=[<")), F.lit(">]"))
+        return (
+            F.when(token == "", F.lit("boolean"))
+            .when(F.startswith(token, F.lit(",")) | F.startswith(token, F.lit("--")), F.lit("boolean"))
+            .when(token.rlike(r"^[=\[<]"), once(inner, _first_hint))
+            .otherwise(_first_hint_loose(parts["line"], F.lower(token)))
+        )
+
+    return once(once(first, after_flag), judge)
 
 
 def _first_hint_loose(line: Column, token: Column) -> Column:
@@ -70,25 +71,47 @@ def option_id(flag: Column) -> Column:
     return F.concat(F.lit("detected-"), F.when(base == "", F.lit("flag")).otherwise(base))
 
 
+def _half_even(scaled: Column, bits: int) -> Column:
+    """``scaled / 2**bits`` rounded to a whole number, exact halves to even."""
+    whole = F.shiftright(scaled, bits)
+    rest = scaled.bitwiseAND(F.lit(2**bits - 1))
+    half = F.lit(2 ** (bits - 1))
+    up = (rest > half) | ((rest == half) & (whole.bitwiseAND(F.lit(1)) == 1))
+    return whole + up.cast("bigint")
+
+
 def format_size(size: Column) -> Column:
-    """bytes as B, KB, MB or GB by 1024; one decimal except for bytes.
+    """whole bytes as B, KB, MB or GB by 1024; one decimal except for bytes.
 
-    A value exactly halfway between two decimals is rounded up.
+    Whole-number arithmetic keeps exact halves apart; they go to the even digit.
     """
-    v = size.cast("double")
+    v = size.cast("bigint")
+
+    def one_decimal(bits: int, unit: str) -> Column:
+        tenths = _half_even(v * 10, bits)
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+
     return (
-        F.when(v < 1024, F.concat(F.floor(v).cast("bigint").cast("string"), F.lit(" B")))
-        .when(v < 1024**2, F.format_string("%.1f KB", v / 1024))
-        .when(v < 1024**3, F.format_string("%.1f MB", v / 1024**2))
-        .otherwise(F.format_string("%.1f GB", v / 1024**3))
+        F.when(v < 1024, F.concat(v.cast("string"), F.lit(" B")))
+        .when(v < 1024**2, one_decimal(10, "KB"))
+        .when(v < 1024**3, one_decimal(20, "MB"))
+        .otherwise(one_decimal(30, "GB"))
     )
 
 
 def format_duration(seconds: Column) -> Column:
-    """whole milliseconds below one second, else seconds with two decimals
-    (halfway values rounded up)."""
+    """whole milliseconds below one second, else seconds with two decimals.
+
+    Rounds the exact binary value, exact halves to even.
+    """
     s = seconds.cast("double")
-    return F.when(s < 1, F.format_string("%.0f ms", s * 1000)).otherwise(F.format_string("%.2f s", s))
+    whole = F.floor(s)
+    # The fraction of a number from 1 up is a multiple of 2**-52.
+    hundredths = whole * 100 + _half_even(((s - whole) * F.lit(2.0**52)).cast("bigint") * 100, 52)
+    shown = F.concat(F.floor(hundredths / 100).cast("string"), F.lit("."), F.lpad((hundredths % 100).cast("string"), 2, "0"))
+    return F.when(s < 1, F.concat(F.rint(s * 1000).cast("bigint").cast("string"), F.lit(" ms"))).otherwise(
+        F.concat(shown, F.lit(" s"))
+    )
 
 
 def file_name(path: Column) -> Column:

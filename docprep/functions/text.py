@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docprep.functions.binding import once
 from docprep.functions.predicates import rstrip, truthy
 
 # Latin letters with marks and their plain form, position by position.
@@ -109,14 +110,9 @@ def unwrap_lines(c: Column, factor: float) -> Column:
 
     # Lines and limit are bound once per document; inside the inner function
     # they would be worked out again for every line.
-    bound = F.struct(F.split(c, "\n").alias("lines"), _once(lengths, limit).alias("least"))
-    joined = _once(bound, lambda b: join(b["lines"], b["least"]))
-    return _once(joined, lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    bound = F.struct(F.split(c, "\n").alias("lines"), once(lengths, limit).alias("least"))
+    joined = once(bound, lambda b: join(b["lines"], b["least"]))
+    return once(joined, lambda t: F.substring(t, F.lit(1), F.length(t) - 1))
 
 
 def delete_blank_paragraphs(c: Column) -> Column:
@@ -165,16 +161,23 @@ def unless_disabled(c: Column, options: Column, key: str, change: Callable[[Colu
 def strip_edges(c: Column, header_re: str | None = None, footer_re: str | None = None) -> Column:
     """Drop the first / last line of a text when it matches."""
     if header_re is not None:
-        first = F.substring_index(c, "\n", 1)
-        rest = F.substring(c, F.length(first) + 2, F.length(c))
-        c = F.when(first.rlike(header_re), rest).otherwise(c)
+        c = once(c, lambda t: _drop_first(t, header_re))
     if footer_re is not None:
-        last = F.substring_index(c, "\n", -1)
-        rest = F.substring(c, F.lit(1), F.length(c) - F.length(last) - 1)
-        c = F.when(last.rlike(footer_re), rest).otherwise(c)
+        c = once(c, lambda t: _drop_last(t, footer_re))
     return c
 
 
+def _drop_first(t: Column, pattern: str) -> Column:
+    line = F.substring_index(t, "\n", 1)
+    return F.when(line.rlike(pattern), F.substring(t, F.length(line) + 2, F.length(t))).otherwise(t)
+
+
+def _drop_last(t: Column, pattern: str) -> Column:
+    line = F.substring_index(t, "\n", -1)
+    kept = F.substring(t, F.lit(1), F.greatest(F.length(t) - F.length(line) - 1, F.lit(0)))
+    return F.when(line.rlike(pattern), kept).otherwise(t)
+
+
 def clean(c: Column) -> Column:
     """T2-T5, T7 and T8 in their usual order."""
     for step in (expand_ligatures, dehyphenate, smarten, scene_breaks, delete_blank_paragraphs):

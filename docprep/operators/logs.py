@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docprep.functions.binding import once
 from docprep.functions.predicates import flag_bool, lstrip, rstrip, strip
 from docprep.functions.scalars import extract_flags, split_lines, stem
 from docprep.model import COMMAND_WORD
@@ -49,27 +50,30 @@ def tokenise(logs: DataFrame, command: str = COMMAND_WORD) -> tuple[DataFrame, D
     ``logs(log_id, text)`` -> ``(log_id, invocation, tokens)`` and
     ``(log_id, reason)``.
     """
-    rows = logs.select("log_id", shell_words(F.col("text")).alias("words"), unbalanced(F.col("text")).alias("open"))
-    reason = (
-        F.when(F.col("open"), F.lit("open quote or escape"))
-        .when(F.size("words") == 0, F.lit("no command"))
-        .when(F.get("words", F.lit(0)) != command, F.lit("arguments before the command"))
-    )
-    judged = rows.withColumn("reason", reason)
-    n = F.size("words")
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at("words", i) == command)
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(n + 1))
-    good = (
-        judged.filter("reason is null")
-        .withColumn("cuts", F.arrays_zip(starts.alias("from"), ends.alias("upto")))
-        .select("log_id", "words", F.posexplode("cuts").alias("invocation", "cut"))
-        .select(
-            "log_id",
-            (F.col("invocation") + 1).alias("invocation"),
-            F.slice("words", F.col("cut.from"), F.col("cut.upto") - F.col("cut.from")).alias("tokens"),
+
+    def reason(words: Column) -> Column:
+        return (
+            F.when(unbalanced(F.col("text")), F.lit("open quote or escape"))
+            .when(F.size(words) == 0, F.lit("no command"))
+            .when(F.get(words, F.lit(0)) != command, F.lit("arguments before the command"))
         )
+
+    def pieces(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(words, i) == command)
+
+        def cut(at: Column) -> Column:
+            upto = F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n + 1))
+            return F.zip_with(at, upto, lambda a, b: F.slice(words, a, b - a))
+
+        return F.when(reason(words).isNull(), once(starts, cut))
+
+    # No rows come from the null of an unreadable log.
+    good = logs.select("log_id", F.posexplode(once(shell_words(F.col("text")), pieces)).alias("at", "tokens")).select(
+        "log_id", (F.col("at") + 1).alias("invocation"), "tokens"
     )
-    return good, judged.filter("reason is not null").select("log_id", "reason")
+    judged = logs.select("log_id", once(shell_words(F.col("text")), reason).alias("reason"))
+    return good, judged.filter("reason is not null")
 
 
 def parse_flags(invocations: DataFrame, options: DataFrame, command: str = COMMAND_WORD) -> tuple[DataFrame, DataFrame, DataFrame]:

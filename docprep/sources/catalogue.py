@@ -9,18 +9,13 @@ from pyspark.sql import functions as F
 
 from docprep.model import OPTIONS
 
-_ENTRY = ", ".join(
-    [
-        "id STRING, cli STRING, value_type STRING",
-        "domain STRUCT<kind: STRING, min: DOUBLE, max: DOUBLE, values: ARRAY<STRING>, format: STRING, path_type: STRING>",
-        "description STRING, category STRING, depends_on ARRAY<STRING>, aliases ARRAY<STRING>",
-        "notes STRING, repeatable BOOLEAN, hidden BOOLEAN",
-    ]
-)
-SHAPE = (
-    "version BIGINT, categories ARRAY<STRUCT<id: STRING, label: STRING, description: STRING>>, "
-    f"options ARRAY<STRUCT<{_ENTRY.replace(' STRING', ': STRING').replace(' BOOLEAN', ': BOOLEAN').replace(' ARRAY', ': ARRAY').replace('domain STRUCT', 'domain: STRUCT')}>>"
+_DOMAIN = "STRUCT<kind: STRING, min: DOUBLE, max: DOUBLE, values: ARRAY<STRING>, format: STRING, path_type: STRING>"
+_OPTION = (
+    f"STRUCT<id: STRING, cli: STRING, value_type: STRING, domain: {_DOMAIN}, description: STRING, category: STRING, "
+    "depends_on: ARRAY<STRING>, aliases: ARRAY<STRING>, notes: STRING, repeatable: BOOLEAN, hidden: BOOLEAN>"
 )
+_CATEGORY = "STRUCT<id: STRING, label: STRING, description: STRING>"
+SHAPE = f"version BIGINT, categories ARRAY<{_CATEGORY}>, options ARRAY<{_OPTION}>"
 
 
 @dataclass(frozen=True)
@@ -71,6 +66,7 @@ def catalogue_of(nested: DataFrame) -> Catalogue:
     return Catalogue(categories, options, problems)
 
 
-def read_catalogue(spark: SparkSession, path: str) -> Catalogue:
-    """Catalogue from a JSON document."""
-    return catalogue_of(spark.read.schema(SHAPE).option("multiLine", True).json(path))
+def read_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> Catalogue:
+    """Catalogue from a JSON document, or (``multi_line=False``) from many,
+    one per line."""
+    return catalogue_of(spark.read.schema(SHAPE).option("multiLine", multi_line).json(path))

@@ -1,2 +1,280 @@
-QUERIES = {}
-SQL = {}
+"""File readers and writers, on files Spark first writes from the shared tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docprep.operators import runs as R
+from docprep.session import scratch_path
+from docprep.sources import catalogue, configs, files, packages
+from docprep.workloads import catalogue as C
+from docprep.workloads.tables import table
+
+
+def config_lines(spark, sf):
+    """Config objects as JSON text, some broken in the ways a reader must catch."""
+    k = F.col("c_custkey").cast("string")
+    bal = F.col("c_acctbal")
+    body = F.concat(
+        F.lit('{"tab_id": " t'), k, F.lit(' ", "title": "'), "c_name", F.lit('", "input_pdf": "'),
+        F.when(bal > 3000, "  ").otherwise(F.concat(F.lit(" /in/é"), k, F.lit(".pdf "))),
+        F.lit('", "page_range": null, "options": {"base-font-size": "'), F.col("c_nationkey").cast("string"),
+        F.lit('", "verbose": 2, "enable-heuristics": true, "flow": null}, "notes": "", "seg": {"m": "'), "c_mktsegment",
+        F.lit('", "n": ['), k, F.lit("]}}"),
+    )
+    line = (
+        F.when(bal < -800, F.lit('{"tab_id": "x", "title": '))
+        .when(bal < -600, F.concat(F.lit('["'), k, F.lit('"]')))
+        .when(bal < -400, F.lit('{"tab_id": "  ", "title": "t"}'))
+        .when(bal < -200, F.lit('{"tab_id": "t", "title": 5}'))
+        .when(bal < 0, F.lit('{"tab_id": "t", "title": "t", "options": [1]}'))
+        .when(bal < 200, F.lit('{"tab_id": "t", "title": "t", "notes": 7}'))
+        .otherwise(body)
+    )
+    return table(spark, sf, "customer").select(line.alias("value"))
+
+
+def _stored_configs(spark, sf):
+    path = scratch_path(spark, "configs")
+    config_lines(spark, sf).write.text(path)
+    return path
+
+
+def read_good(spark, sf):
+    good, _ = configs.read_configs(spark, _stored_configs(spark, sf), whole_file=False)
+    return good
+
+
+def config_rows(spark, sf):
+    return read_good(spark, sf).select(
+        "tab_id", "title", "input_path", "output_path", "page_range", "notes", F.col("extras")["seg"].alias("seg")
+    )
+
+
+def config_options(spark, sf):
+    return configs.option_rows(read_good(spark, sf))
+
+
+def config_problems(spark, sf):
+    _, bad = configs.read_configs(spark, _stored_configs(spark, sf), whole_file=False)
+    return bad.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+def config_round_trip(spark, sf):
+    """Read, write, read again: the second reading."""
+    path = scratch_path(spark, "configs-out")
+    configs.write_configs(read_good(spark, sf), path)
+    again, _ = configs.read_configs(spark, path, whole_file=False)
+    kinds = F.array_join(F.array_sort(F.map_values("option_kinds")), ",")
+    return again.select(
+        "tab_id",
+        "title",
+        "input_path",
+        F.col("options")["base-font-size"].alias("font"),
+        F.col("options")["verbose"].alias("verbose"),
+        kinds.alias("kinds"),
+        F.col("extras")["seg"].alias("seg"),
+    )
+
+
+def config_facts(spark, sf):
+    return R.config_summary(read_good(spark, sf))
+
+
+def fields_normal(spark, sf):
+    rows = _raw_fields(spark, sf)
+    good, _ = configs.normalise(rows, ["name"], ["segment"])
+    return good
+
+
+def fields_rejected(spark, sf):
+    _, bad = configs.normalise(_raw_fields(spark, sf), ["name"], ["segment"])
+    return bad.select("c_custkey", "problem")
+
+
+def _raw_fields(spark, sf):
+    return table(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(F.col("c_acctbal") < 0, "\t \n").otherwise(F.concat(F.lit("  "), "c_name", F.lit("\t"))).alias("name"),
+        F.when(F.col("c_nationkey") == 3, " ").otherwise(F.concat("c_mktsegment", F.lit(" "))).alias("segment"),
+    )
+
+
+def reserved(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        "c_custkey",
+        F.create_map(
+            F.when(F.col("c_mktsegment") == "BUILDING", "notes").when(F.col("c_nationkey") == 1, "title").otherwise("mine"),
+            F.lit("x"),
+        ).alias("extras"),
+    )
+    return configs.reserved_violations(rows).select("c_custkey")
+
+
+def _stored_catalogue(spark, sf):
+    """Catalogue entries of each part as one JSON line, some incomplete."""
+    o = C.options(spark, sf)
+    size = F.col("domain.max")
+    row = o.withColumn("n", F.col("position") % 10).select(
+        F.lit(1).alias("version"),
+        F.array(
+            F.struct(F.concat(F.lit("cat-"), F.col("id")).alias("id"), F.col("category").alias("label"))
+        ).alias("categories"),
+        F.array(
+            F.struct(
+                "id",
+                F.when(F.col("value_type") != "path", F.col("cli")).alias("cli"),
+                "value_type",
+                "domain",
+                "description",
+                F.when(size > 40, F.lit("nowhere")).otherwise(F.concat(F.lit("cat-"), F.col("id"))).alias("category"),
+                F.when(F.size("depends_on") > 0, F.col("depends_on")).alias("depends_on"),
+                "aliases",
+            )
+        ).alias("options"),
+    )
+    path = scratch_path(spark, "catalogue")
+    row.write.json(path)
+    return path
+
+
+def catalogue_options(spark, sf):
+    c = catalogue.read_catalogue(spark, _stored_catalogue(spark, sf), multi_line=False)
+    return c.options.select(
+        "id",
+        "cli",
+        "value_type",
+        F.col("domain.max").alias("max"),
+        F.array_join("depends_on", ",").alias("depends_on"),
+        F.array_join("aliases", ",").alias("aliases"),
+        "repeatable",
+        "hidden",
+    )
+
+
+def catalogue_problems(spark, sf):
+    return catalogue.read_catalogue(spark, _stored_catalogue(spark, sf), multi_line=False).problems
+
+
+def _stored_packages(spark, sf):
+    """One package file per conversation; a package is as long as its conversation."""
+    turn = F.col("turn").cast("string")
+    item = F.concat(
+        F.lit('<item id="t'), turn, F.lit('" href="text/'), "role", turn, F.lit('.xhtml" media-type="'),
+        F.when(F.col("role") == "assistant", "image/png").otherwise("application/xhtml+xml"), F.lit('"/>'),
+    )
+    ref = F.concat(F.lit('<itemref idref="t'), turn, F.lit('"'), F.when(F.col("role") == "system", ' linear="no"').otherwise(""), F.lit("/>"))
+
+    def ordered(c):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", c.alias("x")))), lambda s: s["x"]), "")
+
+    head = F.when(
+        F.col("conv_id") % 2 == 0, '<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0">'
+    ).otherwise("<package>")
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(ordered(item).alias("items"), ordered(ref).alias("refs"))
+    text = F.concat(head, F.lit("<manifest>"), "items", F.lit("</manifest><spine>"), "refs", F.lit("</spine></package>"))
+    path = scratch_path(spark, "packages")
+    rows.select("conv_id", text.alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(path)
+    return path
+
+
+def _conv(column):
+    return F.regexp_extract(column, "conv_id=([0-9]+)", 1).cast("bigint").alias("conv_id")
+
+
+def package_manifest(spark, sf):
+    manifest, _ = packages.read_packages(spark, _stored_packages(spark, sf))
+    return manifest.select(_conv("package"), "position", "id", "href", "media_type")
+
+
+def package_spine(spark, sf):
+    _, spine = packages.read_packages(spark, _stored_packages(spark, sf))
+    return spine.select(_conv("package"), "position", "idref", "linear")
+
+
+def _stored_texts(spark, sf):
+    path = scratch_path(spark, "texts")
+    table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id").write.partitionBy(
+        "item_id"
+    ).text(path)
+    return path
+
+
+def _item(column):
+    return F.regexp_extract(column, "item_id=([0-9]+)", 1).cast("bigint").alias("item_id")
+
+
+def raw_documents(spark, sf):
+    """Files read byte for byte in Latin-1: marked letters fall apart."""
+    docs = files.read_documents(spark, _stored_texts(spark, sf), "ISO-8859-1")
+    return docs.select(_item("path"), "length", F.length("text").cast("bigint").alias("chars"))
+
+
+def chapters(spark, sf):
+    docs = files.read_chapters(spark, _stored_texts(spark, sf))
+    return docs.select(_item("path"), F.md5("text").alias("digest"))
+
+
+def folder_sizes(spark, sf):
+    inventory = files.file_inventory(spark, _stored_texts(spark, sf)).filter(F.col("path").contains("item_id="))
+    return R.dir_totals(inventory).select(_item("folder"), "files", "bytes")
+
+
+def exported(spark, sf):
+    path = scratch_path(spark, "export")
+    files.export_table(table(spark, sf, "labels"), path)
+    return spark.read.parquet(path)
+
+
+GOOD = "FROM customer WHERE c_acctbal >= 200"
+_SEG = "'{\"m\":\"' || c_mktsegment || '\",\"n\":[' || c_custkey || ']}'"
+_IN = "CASE WHEN c_acctbal <= 3000 THEN '/in/é' || c_custkey || '.pdf' END"
+SQL = {
+    "config_rows": f"""SELECT 't' || c_custkey AS tab_id, c_name AS title, {_IN} AS input_path, CAST(NULL AS VARCHAR) AS output_path,
+  CAST(NULL AS VARCHAR) AS page_range, '' AS notes, {_SEG} AS seg {GOOD}""",
+    "config_options": f"""SELECT 't' || c_custkey AS entity_id, key, CASE key WHEN 'base-font-size' THEN CAST(c_nationkey AS VARCHAR) WHEN 'verbose' THEN '2'
+    WHEN 'enable-heuristics' THEN 'true' END AS value,
+  CASE key WHEN 'base-font-size' THEN 'text' WHEN 'verbose' THEN 'number' WHEN 'enable-heuristics' THEN 'bool' ELSE 'void' END AS kind
+  FROM (SELECT *, unnest(['base-font-size', 'verbose', 'enable-heuristics', 'flow']) AS key {GOOD})""",
+    "config_problems": """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN c_acctbal < -800 THEN 'not readable as JSON'
+    WHEN c_acctbal < -600 THEN 'not an object' WHEN c_acctbal < -400 THEN 'tab_id is missing or blank' WHEN c_acctbal < -200 THEN 'title is missing or blank'
+    WHEN c_acctbal < 0 THEN 'options is not an object' ELSE 'notes is not a text' END AS problem FROM customer WHERE c_acctbal < 200) GROUP BY problem""",
+    "config_round_trip": f"""SELECT 't' || c_custkey AS tab_id, c_name AS title, {_IN} AS input_path, CAST(c_nationkey AS VARCHAR) AS font,
+  '2' AS verbose, 'bool,number,text,void' AS kinds, {_SEG} AS seg {GOOD}""",
+    "config_facts": f"""SELECT 't' || c_custkey AS tab_id, c_name AS title, coalesce({_IN}, '(no input)') AS input, '(no output)' AS output,
+  'all pages' AS pages, CAST(4 AS BIGINT) AS options {GOOD}""",
+    "fields_normal": """SELECT c_custkey, c_name AS name, CASE WHEN c_nationkey <> 3 THEN c_mktsegment END AS segment FROM customer WHERE c_acctbal >= 0""",
+    "fields_rejected": "SELECT c_custkey, 'name is missing or blank' AS problem FROM customer WHERE c_acctbal < 0",
+    "reserved_names": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' OR c_nationkey = 1",
+    "catalogue_options": """SELECT 'opt-' || p_partkey AS id, CASE WHEN p_size % 6 <> 4 THEN '--opt-' || p_partkey END AS cli,
+  ['boolean', 'integer', 'float', 'enum', 'path', 'string'][p_size % 6 + 1] AS value_type, CASE WHEN p_size % 6 IN (1, 2) THEN CAST(p_size AS DOUBLE) END AS max,
+  CASE WHEN p_partkey > 0 AND p_type = 'SMALL' THEN '--opt-' || (p_partkey // 2) WHEN p_partkey > 0 AND p_type IN ('LARGE', 'PROMO') THEN '-a' || (p_partkey // 2) || ',--nobody'
+    ELSE '' END AS depends_on, '-a' || p_partkey AS aliases, false AS repeatable, false AS hidden FROM part""",
+    "catalogue_problems": """SELECT 'opt-' || p_partkey AS item, 'option lacks a required field' AS problem FROM part WHERE p_size % 6 = 4
+  UNION ALL SELECT 'opt-' || p_partkey, 'unknown category' FROM part WHERE p_size % 6 IN (1, 2) AND p_size > 40""",
+    "package_manifest": """SELECT conv_id, turn AS position, 't' || turn AS id, 'text/' || role || turn || '.xhtml' AS href,
+  CASE WHEN role = 'assistant' THEN 'image/png' ELSE 'application/xhtml+xml' END AS media_type FROM conversations""",
+    "package_spine": "SELECT conv_id, turn AS position, 't' || turn AS idref, CASE WHEN role = 'system' THEN 'no' END AS linear FROM conversations",
+    "raw_documents": """SELECT item_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS length, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS chars FROM benchmark""",
+    "chapters": "SELECT item_id, md5(text || chr(10)) AS digest FROM benchmark",
+    "folder_sizes": "SELECT item_id, CAST(1 AS BIGINT) AS files, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes FROM benchmark",
+    "exported": "SELECT * FROM labels",
+}
+QUERIES = {
+    "config_rows": config_rows,
+    "config_options": config_options,
+    "config_problems": config_problems,
+    "config_round_trip": config_round_trip,
+    "config_facts": config_facts,
+    "fields_normal": fields_normal,
+    "fields_rejected": fields_rejected,
+    "reserved_names": reserved,
+    "catalogue_options": catalogue_options,
+    "catalogue_problems": catalogue_problems,
+    "package_manifest": package_manifest,
+    "package_spine": package_spine,
+    "raw_documents": raw_documents,
+    "chapters": chapters,
+    "folder_sizes": folder_sizes,
+    "exported": exported,
+}

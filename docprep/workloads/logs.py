@@ -18,8 +18,7 @@ def command_logs(spark, sf):
     flag = lambda n: F.concat(F.lit(" --opt-"), n.cast("string"))
     first = F.concat(
         F.lit("ebook-convert '"), "p_name", F.lit(".pdf' \"out dir/"), p.cast("string"), F.lit('.epub"'),
-        flag(F.floor(p / 2)), F.lit(" \\\n "), size.cast("string"),
-        F.lit(" -a"), p.cast("string"), F.lit("="), F.lit('a" b"'), F.lit("\\ c"),
+        flag(F.floor(p / 2)), F.when(size % 5 < 3, F.concat(F.lit(" "), size.cast("string"))).otherwise(""), F.lit(" \\\n -a"), p.cast("string"), F.lit("="), F.lit('a" b"'), F.lit("\\ c"),
         F.when(size % 3 == 0, F.lit(" --zzz 7 --yyy=1")).when(size % 3 == 1, F.lit(" --zzz -a0 -a1")).otherwise(""),
         flag(F.floor(p / 3)), F.lit(" -x --opt-1=no"),
     )
@@ -66,7 +65,7 @@ def help_texts(spark, sf):
 LOGS = r"""
 WITH RECURSIVE base AS (
   SELECT p_partkey AS log_id, p_type AS kind, p_size AS size,
-    'ebook-convert ''' || p_name || '.pdf'' "out dir/' || p_partkey || '.epub" --opt-' || (p_partkey // 2) || ' \' || chr(10) || ' ' || p_size
+    'ebook-convert ''' || p_name || '.pdf'' "out dir/' || p_partkey || '.epub" --opt-' || (p_partkey // 2) || CASE WHEN p_size % 5 < 3 THEN ' ' || p_size ELSE '' END || ' \' || chr(10)
       || ' -a' || p_partkey || '=a" b"\ c'
       || CASE p_size % 3 WHEN 0 THEN ' --zzz 7 --yyy=1' WHEN 1 THEN ' --zzz -a0 -a1' ELSE '' END || ' --opt-' || (p_partkey // 3) || ' -x --opt-1=no' AS one,
     ' ebook-convert in.pdf ' || p_brand || '.epub --opt-' || p_partkey || '=off --opt-' || p_partkey || ' ''q"'' ' AS two
