@@ -48,20 +48,23 @@ def _issue(test: Column, rule: str, message: Column | str) -> Column:
 def validate_values(assignments: DataFrame, options: DataFrame) -> DataFrame:
     """V1-V3, V6: number, range, choice and count rules. One join with the
     options, then expressions only; a value that is null or empty passes."""
-    rows = assignments.filter("value is not null and value <> ''").join(
-        options.select(F.col("id").alias("key"), "value_type", "domain", "repeatable"), "key"
-    )
     kind, value = F.col("value_type"), F.col("value")
+    rows = (
+        assignments.filter("value is not null and value <> ''")
+        .join(options.select(F.col("id").alias("key"), "value_type", "domain", "repeatable"), "key")
+        .withColumn("_digits", F.when(kind.isin("integer", "boolean"), int_text(value)))
+        .withColumn("_real", F.when(kind == "float", float_text(value)))
+    )
     ranged = F.col("domain.kind") == "range"
     low = F.when(ranged, F.col("domain.min"))
     high = F.when(ranged, F.col("domain.max"))
-    whole = int_text(value).try_cast("double")
-    real = float_text(value)
+    digits, real = F.col("_digits"), F.col("_real")
+    whole = digits.try_cast("double")
     is_int, is_float = kind == "integer", kind == "float"
     inside = ~F.isnan(real)
     choices = F.col("domain.values")
     issues = F.array(
-        _issue(is_int & int_text(value).isNull(), "integer", "must be a whole number"),
+        _issue(is_int & digits.isNull(), "integer", "must be a whole number"),
         _issue(is_int & (whole < low), "min", F.concat(F.lit("must be at least "), F.floor(low).cast("string"))),
         _issue(is_int & (whole > high), "max", F.concat(F.lit("must be at most "), F.floor(high).cast("string"))),
         _issue(is_float & real.isNull(), "float", "must be a number"),
@@ -73,7 +76,7 @@ def validate_values(assignments: DataFrame, options: DataFrame) -> DataFrame:
             F.concat(F.lit("must be one of: "), F.array_join(choices, ", ")),
         ),
         _issue(
-            (kind == "boolean") & F.col("repeatable") & int_text(value).isNull() & ~F.lower(value).isin("true", "false"),
+            (kind == "boolean") & F.col("repeatable") & digits.isNull() & ~F.lower(value).isin("true", "false"),
             "count",
             "must be a whole number of repeats",
         ),

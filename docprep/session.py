@@ -20,6 +20,8 @@ def local_session(app: str = "docprep", cores: str = "*", partitions: int = 8) -
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites for error messages cost more than planning itself here.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -9,7 +9,7 @@ from docprep.functions.scalars import extract_flags
 from docprep.model import OPTIONS
 from docprep.operators import options as O
 from docprep.operators import validate as V
-from docprep.workloads.tables import table
+from docprep.workloads.tables import spread, table
 
 TYPES = ("boolean", "integer", "float", "enum", "path", "string")
 
@@ -74,7 +74,7 @@ def assignments(spark, sf):
         .when(q < 25, "[a")
         .otherwise(F.concat(F.lit("/data/d"), F.col("l_suppkey").cast("string"), F.lit("/f"), part))
     )
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").cast("string").alias("entity_id"),
         F.concat(F.lit("opt-"), part).alias("key"),
         value.alias("value"),
@@ -83,7 +83,7 @@ def assignments(spark, sf):
 
 def files(spark, sf):
     return (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"))
         .filter("l_tax > 0.04")
         .select(
             F.concat(F.lit("/data/d"), F.col("l_suppkey").cast("string"), F.lit("/f"), F.col("l_partkey").cast("string")).alias("path")
@@ -234,14 +234,14 @@ def help_lines(spark, sf):
 
 def named_rows(spark, sf):
     lead = F.when(F.col("l_linestatus") == "O", "-a").otherwise("--opt-")
-    return table(spark, sf, "lineitem").select(
+    return spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").cast("string").alias("entity_id"),
         F.concat(lead, (F.col("l_partkey") * 2).cast("string")).alias("key"),
     )
 
 
 def unknown(spark, sf):
-    rows = table(spark, sf, "lineitem").select(
+    rows = spread(table(spark, sf, "lineitem")).select(
         F.col("l_orderkey").cast("string").alias("entity_id"),
         F.concat(F.lit("opt-"), (F.col("l_partkey") * 2).cast("string")).alias("key"),
     )
@@ -268,7 +268,7 @@ def truth_tests(spark, sf):
     )
     v = F.col("value")
     return (
-        table(spark, sf, "lineitem")
+        spread(table(spark, sf, "lineitem"))
         .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", value.alias("value"))
         .select(
             "l_orderkey",

@@ -13,7 +13,7 @@ from docprep.functions import html as H
 from docprep.functions import text as X
 from docprep.operators import extend
 from docprep.plans import page_metadata, prepare_documents
-from docprep.workloads.tables import table
+from docprep.workloads.tables import spread, table
 
 
 def _text(change, *swaps):
@@ -24,7 +24,7 @@ def _text(change, *swaps):
         for old, new in swaps:
             c = F.replace(c, F.lit(old), F.lit(new))
         out = change(c)
-        return table(spark, sf, "documents").select(
+        return spread(table(spark, sf, "documents")).select(
             "doc_id", F.length(out).cast("bigint").alias("chars"), F.md5(out).alias("digest")
         )
 
@@ -51,7 +51,7 @@ def _page(change, *swaps):
         for old, new in swaps:
             c = F.replace(c, F.lit(old), F.lit(new))
         out = change(c)
-        return table(spark, sf, "pages").select(
+        return spread(table(spark, sf, "pages")).select(
             "page_id", F.length(out).cast("bigint").alias("chars"), F.md5(out).alias("digest")
         )
 
@@ -145,7 +145,7 @@ def source_options(spark, sf):
 
 
 def prepared(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, sf, "documents")).select("doc_id", "source", "text")
     c = F.col("text")
     for old, new in (("in", "i-\nn"), ("en", "ﬄ"), (" of ", " 'of' -- ")):
         c = F.replace(c, F.lit(old), F.lit(new))
@@ -189,7 +189,7 @@ def metadata(spark, sf):
             F.when(F.col("t") == 1, "xx").alias("language"),
         )
     )
-    return page_metadata(table(spark, sf, "pages"), given)
+    return page_metadata(spread(table(spark, sf, "pages")), given)
 
 
 def converted(spark, sf):
@@ -200,7 +200,7 @@ def converted(spark, sf):
             raise ValueError("odd sign")
         return texts.str.replace("a", "A", regex=False)
 
-    docs = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    docs = spread(table(spark, sf, "conversations")).select("conv_id", "turn", "text")
     return extend.with_converter(docs, mark).select("conv_id", "turn", F.md5("converted").alias("digest"), "error")
 
 
@@ -209,7 +209,7 @@ def alt_filled(spark, sf):
     for old, new in IMAGES:
         c = F.replace(c, F.lit(old), F.lit(new))
     out = H.fill_alt(c, F.concat(F.lit('Page "'), F.col("page_id").cast("string"), F.lit('"')))
-    return table(spark, sf, "pages").select("page_id", F.length(out).cast("bigint").alias("chars"), F.md5(out).alias("digest"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.length(out).cast("bigint").alias("chars"), F.md5(out).alias("digest"))
 
 
 def rule_table(c):

@@ -8,7 +8,7 @@ from docprep.functions.scalars import file_name, infer_type, option_id, relative
 from docprep.operators import logs as G
 from docprep.operators import options as O
 from docprep.workloads import catalogue as C
-from docprep.workloads.tables import table
+from docprep.workloads.tables import spread, table
 
 
 def command_logs(spark, sf):
@@ -31,7 +31,7 @@ def command_logs(spark, sf):
         .when((kind == "MEDIUM") & (size < 20), F.concat(F.lit("ebook-convert only"), second))
         .otherwise(F.concat(second, first))
     )
-    return table(spark, sf, "part").select(p.alias("log_id"), text.alias("text"))
+    return spread(table(spark, sf, "part")).select(p.alias("log_id"), text.alias("text"))
 
 
 def invocations(spark, sf):
@@ -59,7 +59,7 @@ def help_texts(spark, sf):
         F.lit("Usage: tool --all\n  see --more\r\n\n  -x, --opt-"), p, F.lit("=INT   "), "p_name",
         F.lit("\n     more text \n\n  --b"), F.col("p_size").cast("string"), F.lit("  --all again\n\ttail --inner\n -q quiet\n  nothing\n  -z\n   uses --late \n\n"),
     )
-    return table(spark, sf, "part").select(p.alias("tool"), text.alias("text"))
+    return spread(table(spark, sf, "part")).select(p.alias("tool"), text.alias("text"))
 
 
 LOGS = r"""
@@ -183,14 +183,14 @@ def flag_ids(spark, sf):
         .when(kind == "ECONOMY", " ratio <FLOAT>")
         .otherwise(", --other")
     )
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         "p_partkey", option_id(flag).alias("id"), infer_type(flag, F.concat(flag, tail)).alias("value_type")
     )
 
 
 def paths(spark, sf):
     path = F.concat(F.when(F.col("p_size") > 20, "/other/x/b").otherwise("/root/x/b"), F.col("p_partkey").cast("string"), F.lit(".tar.gz"))
-    return table(spark, sf, "part").select(
+    return spread(table(spark, sf, "part")).select(
         "p_partkey",
         relative_path(path, F.lit("/root/")).alias("relative"),
         file_name(path).alias("name"),

@@ -8,7 +8,7 @@ from docprep.functions.predicates import is_warning
 from docprep.functions.scalars import format_duration, format_size
 from docprep.operators import runs as R
 from docprep.operators.structure import lines_of
-from docprep.workloads.tables import table
+from docprep.workloads.tables import spread, table
 
 
 def run_events(spark, sf):
@@ -28,7 +28,7 @@ def run_events(spark, sf):
 
 def summary(spark, sf):
     """One run per document: its lines, the embeddings' files as output, labels as skips."""
-    docs = table(spark, sf, "documents")
+    docs = spread(table(spark, sf, "documents"))
     runs = docs.select(
         F.col("doc_id").alias("run_id"),
         (F.col("n_chars") / 4096).alias("seconds"),

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from docprep.operators import structure as S
 from docprep.plans import outline
-from docprep.workloads.tables import table
+from docprep.workloads.tables import spread, table
 
 
 def documents(spark, sf, *columns):
-    return table(spark, sf, "documents").select("doc_id", *(columns or ("text",)))
+    return spread(table(spark, sf, "documents")).select("doc_id", *(columns or ("text",)))
 
 
 def turns(spark, sf):
@@ -36,7 +36,7 @@ def turn_ranges(spark, sf):
 
 def headings(spark, sf):
     """Headings of each page; a second heading is put before every paragraph."""
-    pages = table(spark, sf, "pages").withColumn("html", F.regexp_replace("html", "(?i)<p>", '<h3 id="s">Part <b>of</b> it</h3><p>'))
+    pages = spread(table(spark, sf, "pages")).withColumn("html", F.regexp_replace("html", "(?i)<p>", '<h3 id="s">Part <b>of</b> it</h3><p>'))
     pages = pages.withColumn("html", F.regexp_replace("html", "(?i)<footer>", "<H5>About</H5><footer>"))
     return S.headings(pages)
 
@@ -188,7 +188,7 @@ def titled_documents(spark, sf):
 
 
 QUERIES = {
-    "outline": lambda spark, sf: outline(table(spark, sf, "pages"), max_links=50),
+    "outline": lambda spark, sf: outline(spread(table(spark, sf, "pages")), max_links=50),
     "headings": headings,
     "toc_with_duplicates": _toc(duplicates=True),
     "toc_filtered": _toc(pattern="(?i)^(part|ré)"),
