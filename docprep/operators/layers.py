@@ -105,93 +105,115 @@ def _open_parens(text: Column) -> Column:
     return F.when(both, strip(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
 
 
-def _distinct_joined(fragments: DataFrame, glue: str) -> DataFrame:
-    """Distinct fragments per key in order of first use. Repeats collapse before
-    the shuffle; only distinct fragments, the content of the result cell, meet."""
+def _joined_fragments(fragments: DataFrame, glue: str, lone: Column) -> DataFrame:
+    """Distinct fragments per key in order of first use, or ``lone`` where that is not null.
+
+    ``fragments(entity_id, key, fragment, place, raw, touched)``. Repeats
+    collapse before the shuffle; only distinct fragments, the content of the
+    result cell, meet. Blank fragments keep their key alive and are left out
+    of the text. ``lone`` speaks of the columns ``raw`` and ``touched``.
+    """
+    listed = F.collect_list(F.when(F.col("fragment") != "", F.struct("place", "fragment")))
     return (
         fragments.groupBy(*ENTITY_KEY, "fragment")
-        .agg(F.min("place").alias("place"))
+        .agg(F.min("place").alias("place"), F.max("raw").alias("raw"), F.max("touched").alias("touched"))
         .groupBy(*ENTITY_KEY)
         .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("place", "fragment"))), lambda x: x["fragment"]), glue
-            ).alias("joined")
+            F.array_join(F.transform(F.array_sort(listed), lambda x: x["fragment"]), glue).alias("joined"),
+            F.max("raw").alias("raw"),
+            F.max("touched").alias("touched"),
         )
-    )
-
-
-def _with_lone(rows: DataFrame, merged: DataFrame, lone: Column) -> DataFrame:
-    """Merged text, or ``lone`` for keys that hold one single value."""
-    one = rows.groupBy(*ENTITY_KEY).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(~F.col("old")).alias("touched"),
-        F.min_by(F.struct("value", "kind", "old"), _place()).alias("first"),
-    )
-    return one.join(merged, ENTITY_KEY, "left").select(
-        *ENTITY_KEY,
-        F.when(F.col("n") == 1, lone).otherwise(F.coalesce("joined", F.lit(""))).alias("value"),
-        F.when(F.col("n") == 1, F.col("first.kind")).alias("kind"),
-        "touched",
+        .select(*ENTITY_KEY, F.coalesce(lone, F.col("joined")).alias("value"), F.lit(None).cast("string").alias("kind"), "touched")
     )
 
 
 def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
-    """A2: alternatives separated by a bar, ordered and distinct.
+    """A2: alternatives separated by a bar, ordered and distinct; a lone value stays raw.
 
     Values are merged one after the other and every merge drops one pair of
     outer parentheses, so an early alternative loses as many pairs as merges
     follow it. That needs the place of each value, hence the scan.
     """
-    rows = stack.filter(F.col("policy") == "alternation")
+    rows = stack.filter(F.col("policy") == "alternation").select(*ENTITY_KEY, "rank", "position", "value", "old")
     placed = scan(
         rows, ENTITY_KEY, ["rank", "position"], sums={"seq": F.lit(1).cast("bigint")}, major="rank", along="position", **hot
     )
-    counts = rows.groupBy(*ENTITY_KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    counts = rows.groupBy(*ENTITY_KEY).agg(F.count(F.lit(1)).alias("n"))
     # Each round drops two characters, so the text length bounds the rounds.
-    rounds = F.least(F.col("n") - F.greatest(F.col("seq") - 1, F.lit(1)), F.length("raw").cast("bigint") + 1)
+    rounds = F.least(F.col("n") - F.greatest(F.col("seq") - 1, F.lit(1)), F.length("piece").cast("bigint") + 1)
+    opened = F.aggregate(F.sequence(F.lit(1).cast("bigint"), rounds), strip(F.col("piece")), lambda t, _: _open_parens(t))
     fragments = (
         placed.join(counts, ENTITY_KEY)
-        .select(*ENTITY_KEY, "seq", "n", F.posexplode(F.split("value", r"\|")).alias("at", "raw"))
-        .withColumn(
-            "fragment",
-            F.aggregate(F.sequence(F.lit(1).cast("bigint"), rounds), strip(F.col("raw")), lambda t, _: _open_parens(t)),
+        .select(
+            *ENTITY_KEY,
+            "seq",
+            "n",
+            (~F.col("old")).alias("touched"),
+            F.when(F.col("n") == 1, F.col("value")).alias("raw"),
+            F.posexplode(F.split("value", r"\|")).alias("at", "piece"),
+        )
+        .select(
+            *ENTITY_KEY,
+            F.when(F.col("n") > 1, opened).otherwise(F.lit("")).alias("fragment"),
+            F.struct("seq", "at").alias("place"),
+            "raw",
+            "touched",
         )
-        .filter("fragment <> ''")
-        .select(*ENTITY_KEY, "fragment", F.struct("seq", "at").alias("place"))
     )
-    return _with_lone(rows, _distinct_joined(fragments, " | "), F.col("first.value"))
+    return _joined_fragments(fragments, " | ", F.col("raw"))
 
 
 def _merge_csv(stack: DataFrame) -> DataFrame:
     """A3: comma lists, ordered and distinct; a lone new value is tidied too,
-    a lone existing one is left as it is."""
-    rows = stack.filter(F.col("policy") == "csv")
+    a lone existing one (no preset touched the key) is left as it is."""
     fragments = (
-        rows.select(*ENTITY_KEY, "rank", "position", F.posexplode(F.split("value", ",")).alias("at", "raw"))
-        .withColumn("fragment", strip(F.col("raw")))
-        .filter("fragment <> ''")
-        .select(*ENTITY_KEY, "fragment", F.struct("rank", "position", "at").alias("place"))
+        stack.filter(F.col("policy") == "csv")
+        .select(
+            *ENTITY_KEY,
+            "rank",
+            "position",
+            (~F.col("old")).alias("touched"),
+            F.when(F.col("old"), F.col("value")).alias("raw"),
+            F.posexplode(F.split("value", ",")).alias("at", "piece"),
+        )
+        .select(
+            *ENTITY_KEY,
+            strip(F.col("piece")).alias("fragment"),
+            F.struct("rank", "position", "at").alias("place"),
+            "raw",
+            "touched",
+        )
     )
-    lone = F.when(F.col("first.old"), F.col("first.value")).otherwise(F.coalesce("joined", F.lit("")))
-    return _with_lone(rows, _distinct_joined(fragments, ","), lone)
+    return _joined_fragments(fragments, ",", F.when(~F.col("touched"), F.col("raw")))
 
 
 def _merge_text(stack: DataFrame) -> DataFrame:
-    """A4: text blocks joined by line ends, blank ones left out, repeats kept."""
-    rows = stack.filter(F.col("policy") == "text")
+    """A4: text blocks joined by line ends, blank ones left out, repeats kept.
+
+    The result is the text of all blocks, so one key gathers as much as its
+    result cell holds.
+    """
     trimmed = F.when(F.col("old"), rstrip(F.col("value"))).otherwise(strip(F.col("value")))
-    merged = (
-        rows.withColumn("part", trimmed)
-        .filter("part <> ''")
+    parts = F.collect_list(F.when(F.col("part") != "", _place("part")))
+    joined = F.array_join(F.transform(F.array_sort(F.col("parts")), lambda x: x["part"]), "\n")
+    lone_old = (F.col("n") == 1) & ~F.col("touched")
+    return (
+        stack.filter(F.col("policy") == "text")
+        .withColumn("part", trimmed)
         .groupBy(*ENTITY_KEY)
         .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(_place("part"))), lambda x: x["part"]), "\n"
-            ).alias("joined")
+            parts.alias("parts"),
+            F.count(F.lit(1)).alias("n"),
+            F.max(~F.col("old")).alias("touched"),
+            F.max(F.when(F.col("old"), F.col("value"))).alias("raw"),
+        )
+        .select(
+            *ENTITY_KEY,
+            F.when(lone_old, F.col("raw")).otherwise(joined).alias("value"),
+            F.lit(None).cast("string").alias("kind"),
+            "touched",
         )
     )
-    lone = F.when(F.col("first.old"), F.col("first.value")).otherwise(strip(F.col("first.value")))
-    return _with_lone(rows, merged, lone)
 
 
 def _conflicts(stack: DataFrame, **hot) -> DataFrame:
