@@ -125,7 +125,9 @@ def stem(path: Column) -> Column:
 
 
 def parent(path: Column) -> Column:
-    return F.regexp_replace(path, r"/[^/]*/*$", "")
+    """Folder of a file path; "/" for files at the root, blank for a bare name."""
+    cut = F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1
+    return F.when(cut > 0, F.substring(path, F.lit(1), cut)).when(cut == 0, F.lit("/")).otherwise(F.lit(""))
 
 
 def relative_path(path: Column, root: Column) -> Column:
@@ -141,14 +143,22 @@ def relative_path(path: Column, root: Column) -> Column:
 
 def resolve_path(base: Column, href: Column) -> Column:
     """``href`` seen from folder ``base``, with "." and ".." steps worked out."""
-    full = F.when(F.startswith(href, F.lit("/")), href).otherwise(F.concat_ws("/", base, href))
-    steps = F.filter(F.split(full, "/"), lambda s: (s != "") & (s != "."))
-    kept = F.aggregate(
-        steps,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(
-            F.concat(acc, F.array(s))
-        ),
-    )
-    lead = F.when(F.startswith(full, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
-    return F.concat(lead, F.array_join(kept, "/"))
+    full = F.when(F.startswith(href, F.lit("/")) | (base == ""), href).otherwise(F.concat_ws("/", base, href))
+
+    def walk(path: Column) -> Column:
+        steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
+        kept = F.aggregate(
+            steps,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(
+                s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+            ).otherwise(F.concat(acc, F.array(s))),
+        )
+        lead = F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(lead, F.array_join(kept, "/"))
+
+    def plain(path: Column) -> Column:
+        # Most targets hold no step to work out.
+        return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), walk(path)).otherwise(path)
+
+    return once(full, plain)
