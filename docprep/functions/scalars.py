@@ -157,8 +157,20 @@ def resolve_path(base: Column, href: Column) -> Column:
         lead = F.when(F.startswith(path, F.lit("/")), F.lit("/")).otherwise(F.lit(""))
         return F.concat(lead, F.array_join(kept, "/"))
 
+    # Most targets need one or two "folder/.." pairs taken out; what is left
+    # after that is walked step by step.
+    pair = r"(^|/)(?!\.\./)[^/]+/\.\.(?:/|$)"
+    idle = r"(?<=/)(?:\.?/)+|^(?:\./+)+|(?<=.)/\.?$"
+
+    def tidy(path: Column) -> Column:
+        short = F.regexp_replace(path, idle, "")
+        for _ in range(2):
+            short = F.regexp_replace(short, pair, "$1")
+        short = F.regexp_replace(short, r"(?<=.)/$", "")
+        left = r"(^|/)\.\.?(/|$)|//|^$"
+        return once(short, lambda p: F.when(p.rlike(left), walk(path)).otherwise(p))
+
     def plain(path: Column) -> Column:
-        # Most targets hold no step to work out.
-        return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), walk(path)).otherwise(path)
+        return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)|//|/$"), tidy(path)).otherwise(path)
 
     return once(full, plain)

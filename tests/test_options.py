@@ -218,3 +218,16 @@ def test_resolve_path(spark):
     cases = [("/a/b", "../c/./d.x"), ("/a", "../../x"), ("/a", "/z/q"), ("rel/r", "f")]
     df = spark.createDataFrame(cases, "b STRING, h STRING").select(resolve_path(F.col("b"), F.col("h")))
     assert [r[0] for r in df.collect()] == ["/a/c/d.x", "/x", "/z/q", "rel/r/f"]
+
+
+def test_resolve_path_like_the_system_does(spark):
+    import posixpath
+    import random
+
+    rng = random.Random(3)
+    steps = ["a", "b.c", "..", ".", "", "..x", "..."]
+    cases = [("/r/" + "/".join(rng.choices(steps, k=rng.randint(1, 4))), "/".join(rng.choices(steps, k=rng.randint(1, 6)))) for _ in range(400)]
+    cases = [(b, h) for b, h in cases if h and not h.startswith("/")]
+    df = spark.createDataFrame(cases, "b STRING, h STRING").select("b", "h", resolve_path(F.col("b"), F.col("h")).alias("p"))
+    for r in df.collect():
+        assert r.p == posixpath.normpath(f"{r.b}/{r.h}"), (r.b, r.h)
