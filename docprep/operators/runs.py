@@ -173,6 +173,10 @@ def unique_titles(df: DataFrame, title: str = "title", order: str = "id", **hot)
     )
 
 
+# Fixed value: what marks the title of a copy.
+CLONE_MARK = " (copia)"
+
+
 def clone_title(title: Column) -> Column:
     """Title of a copy, before it is made unique."""
-    return F.concat(title, F.lit(" (copia)"))
+    return F.concat(title, F.lit(CLONE_MARK))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docprep.model import MERGE_POLICY
 from docprep.operators import layers as L
+from docprep.operators.presets import PRESETS, as_layers, preset_rows
 from docprep.workloads.tables import table
 
 
@@ -189,6 +190,39 @@ SQL = {
 }
 
 
+def selections(spark, sf):
+    """Presets each customer picked, one per order."""
+    names = F.array(*[F.lit(p[0]) for p in PRESETS])
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("entity_id"),
+        F.col("o_orderkey").alias("position"),
+        F.element_at(names, (F.col("o_orderkey") % len(PRESETS) + 1).cast("int")).alias("preset"),
+    )
+
+
+def shipped(spark, sf):
+    return L.merge_layers(as_layers(selections(spark, sf)), option_text(spark, sf))
+
+
+def option_text(spark, sf):
+    """Existing options of the customers that carry a type."""
+    return existing_options(spark, sf).withColumn("kind", F.lit("text"))
+
+
+def _shipped_sql():
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    values = ", ".join(f"({', '.join(quote(v) for v in row)})" for row in preset_rows())
+    names = ", ".join(quote(p[0]) for p in PRESETS)
+    presets = f"""WITH lib AS (SELECT * FROM (VALUES {values}) t(preset, layer, key, value, kind)
+), presets AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS entity_id, CASE layer WHEN 'base' THEN 1 WHEN 'columns' THEN 2 WHEN 'content' THEN 3 WHEN 'toc' THEN 4
+    WHEN 'cleanup' THEN 5 ELSE 6 END AS rank, o_orderkey AS position, preset, key, value, false AS old
+  FROM (SELECT *, [{names}][o_orderkey % {len(PRESETS)} + 1] AS preset FROM orders) JOIN lib USING (preset)
+)"""
+    stack = presets + STACK[STACK.index(", existing AS"):]
+    return stack
+
+
 def _only(key):
     return lambda spark, sf: merged(spark, sf).resolved.filter(F.col("key") == key)
 
@@ -211,3 +245,29 @@ QUERIES = {
         merged(spark, sf).resolved, F.concat(F.lit("saved "), F.col("entity_id"))
     ),
 }
+
+
+_SHIPPED = _shipped_sql()
+SQL["presets_conflicts"] = _SHIPPED + """, steps AS (
+  SELECT *, lag(preset) OVER w AS p_preset, lag(value) OVER w AS p_value, lag(1) OVER w AS has FROM presets
+  WHERE key IN ('output-profile', 'pdf-engine', 'epub-version', 'base-font-size', 'minimum-line-height', 'flow-size', 'epub-max-image-size', 'chapter-mark')
+  WINDOW w AS (PARTITION BY entity_id, key ORDER BY rank, position)
+) SELECT entity_id, key, rank, position, p_preset AS overridden_preset, p_value AS overridden_value, preset AS winning_preset, value AS winning_value
+  FROM steps WHERE has = 1 AND p_value <> value"""
+SQL["presets_resolved"] = _SHIPPED + """, flags AS (
+  SELECT entity_id, bool_or(entity_id IN (SELECT entity_id FROM presets)) AS touched, bool_or(key = 'enable-heuristics') AS heur,
+    bool_or(key = 'disable-unwrap-lines') AS unwrap FROM stack GROUP BY entity_id
+) SELECT s.entity_id, s.key, s.value FROM stack s JOIN flags f ON f.entity_id = s.entity_id
+  WHERE seq = n AND key NOT IN ('chapter', 'page-breaks-before', 'level1-toc', 'level2-toc', 'filter-css', 'extra-css')
+    AND (NOT touched OR ((heur OR key NOT LIKE 'disable-%') AND NOT (heur AND unwrap AND key = 'unwrap-factor')))"""
+
+
+def shipped_plain(spark, sf):
+    """Options of the shipped presets that the last value decides."""
+    out = shipped(spark, sf).resolved
+    joined = [k for k, v in MERGE_POLICY.items() if v not in ("last", "unique")]
+    return out.filter(~F.col("key").isin(*joined)).select("entity_id", "key", "value")
+
+
+QUERIES["presets_conflicts"] = lambda spark, sf: shipped(spark, sf).conflicts
+QUERIES["presets_resolved"] = shipped_plain

@@ -13,7 +13,6 @@ def spark():
     session = local_session("tests", "4", partitions=2)
     # Tiny inputs: compiling each plan would cost more than running it.
     session.conf.set("spark.sql.codegen.wholeStage", "false")
-    session.conf.set("spark.sql.adaptive.enabled", "false")
     yield session
 
 

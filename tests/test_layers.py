@@ -136,3 +136,19 @@ def test_input_order_does_not_matter(spark):
     a, b = merge_layers(steps), merge_layers(steps.orderBy("value").repartition(3))
     assert resolved(a) == resolved(b)
     assert sorted(map(tuple, a.conflicts.collect())) == sorted(map(tuple, b.conflicts.collect()))
+
+
+def test_shipped_presets(spark):
+    from docprep.operators.presets import PRESETS, as_layers
+
+    assert len(PRESETS) == 16 and {"base-kobo", "toc-robusto-es"} <= {p[0] for p in PRESETS}
+    picked = spark.createDataFrame(
+        [(E, 0, "cleanup-css"), (E, 1, "col-2"), (E, 2, "math-conservador"), (E, 3, "img-ligero"), (E, 4, "img-fidelidad"), (E, 5, "toc-minimo"), (E, 6, "toc-robusto-es")],
+        "entity_id STRING, position BIGINT, preset STRING",
+    )
+    out = merge_layers(as_layers(picked))
+    got = resolved(out)
+    assert "unwrap-factor" not in got and got["disable-unwrap-lines"] == "true"
+    assert got["filter-css"] == "box-shadow,filter,margin-left,margin-right,padding-left,padding-right"
+    assert got["chapter"] == "//h:h1 | //h:h2" and got["flow-size"] == "650"
+    assert [(c.key, c.winning_value) for c in out.conflicts.collect()] == [("epub-max-image-size", "profile")]
