@@ -69,7 +69,7 @@ def unsupported(options: DataFrame, supported: DataFrame | None) -> DataFrame:
     at all means support is unknown, so nothing is reported."""
     shown = options.filter(~F.coalesce("hidden", F.lit(False)))
     if supported is None or supported.isEmpty():
-        return shown.limit(0)
+        return shown.filter(F.lit(False))
     names = shown.select(
         "id", F.explode(F.concat(F.array("cli"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("flag")
     )
@@ -261,7 +261,7 @@ def import_options(
     any alias is supported.
     """
     if supported is None:
-        return collected, collected.limit(0)
+        return collected, collected.filter(F.lit(False))
     names = collected.select("entity_id", "key", "flag").unionByName(
         collected.select("entity_id", "key").join(
             options.select(
