@@ -2,27 +2,28 @@
 
 A window is 16 shingles of five words; document windows start every 8 shingles,
 template windows at every place, so each document window inside a copied template meets a
-template window with the same shingles. A window has 16 minima, two to a band. A window
+template window with the same shingles. Four permutations give a window eight bands, a minimum and a maximum each. A window
 pair at similarity 0.52 (one word changed in the middle) shares a band with probability
-1 - (1 - 0.52^2)^8 = 0.92, an unchanged one always, and a template of 32 shingles or more has at
+1 - (1 - 0.52)^8 = 0.997, an unchanged one always, and a template of 32 shingles or more has at
 least three windows. Templates with fewer are retrieved by windows of one shingle, whose
 MinHash is the shingle itself: a document with any shingle of them is a candidate for sure.
-All of it stays inside the row, without a shuffle.
+Retrieval and verification stay on the row of the document: no text is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprep.functions.binding import once
 from docprep.llm.common import lower_ascii, odd_numbers, shingles_of, signed
 
-WINDOW, STRIDE, BANDS, ROWS = 16, 8, 8, 2
+WINDOW, STRIDE, BANDS = 16, 8, 8
 SHORT = 32
-_MASKS = [int(x) for x in signed(odd_numbers(BANDS * ROWS, 23))]
+_MASKS = [0, *(int(x) for x in signed(odd_numbers(BANDS // 2 - 1, 23)))]
 
 # License notices as their stewards publish them (name, license, text).
 TEMPLATES: tuple[tuple[str, str, str], ...] = (
@@ -71,39 +72,29 @@ def license_words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def _minima(shingles: Column) -> Column:
-    """The 16 minima of some shingles; each permutation of the hashes is an exclusive-or with a mask."""
-    return F.array(*[F.array_min(F.transform(shingles, lambda x, m=m: x.bitwiseXOR(F.lit(m)))) for m in _MASKS])
+def permuted(shingles: str) -> list[Column]:
+    """Arrays ``p0`` ... of the hashes under each permutation, an exclusive-or with its mask."""
 
+    def one(mask: int) -> Column:
+        return F.transform(shingles, lambda x: x.bitwiseXOR(F.lit(mask)))
 
-def _bands(at: Column, minima) -> Column:
-    return F.array(*[F.xxhash64(F.lit(b), *[minima(at, b * ROWS + r) for r in range(ROWS)]) for b in range(BANDS)])
+    return [one(m).alias(f"p{k}") for k, m in enumerate(_MASKS)]
 
 
-def document_keys(shingles: Column) -> Column:
-    """Band keys of the overlapping windows, each joined from two blocks of 8 shingles."""
+def starts(shingles: Column, stride: int) -> Column:
+    """Where windows of 16 shingles begin: every ``stride``, until one reaches the end."""
+    last = F.ceil((F.size(shingles) - WINDOW) / stride).cast("int")
+    return F.when(F.size(shingles) > 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda j: j * stride + 1))
 
-    def pairs(blocks: Column) -> Column:
-        def least(i, k):
-            return F.least(F.get(F.get(blocks, i), F.lit(k)), F.get(F.get(blocks, i + 1), F.lit(k)))
 
-        last = F.greatest(F.size(blocks) - 2, F.lit(0))
-        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: _bands(i, least)))
+def bands() -> list[Column]:
+    """Minimum and maximum of the window at ``i`` under each permutation: ``m0`` ... ``m7``."""
+    windows = [F.slice(f"p{k}", F.col("i"), F.lit(WINDOW)) for k in range(len(_MASKS))]
+    return [f(w).alias(f"m{2 * k + side}") for k, w in enumerate(windows) for side, f in enumerate((F.array_min, F.array_max))]
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(shingles) - 1) / STRIDE).cast("int")), lambda j: _minima(F.slice(shingles, j * STRIDE + 1, F.lit(STRIDE)))
-    )
-    return F.when(F.size(shingles) > 0, once(blocks, pairs)).otherwise(F.array().cast("array<bigint>"))
 
-
-def template_keys(shingles: Column) -> Column:
-    """Band keys of the windows at every place of a template."""
-
-    def keys(windows: Column) -> Column:
-        return F.flatten(F.transform(windows, lambda m: _bands(m, lambda w, k: F.get(w, F.lit(k)))))
-
-    last = F.greatest(F.size(shingles) - WINDOW, F.lit(0))
-    return once(F.transform(F.sequence(F.lit(0), last), lambda i: _minima(F.slice(shingles, i + 1, F.lit(WINDOW)))), keys)
+def _within(value: str, numbers: Sequence[int]) -> str:
+    return f"{value} IN ({', '.join(map('{}L'.format, numbers)) or 'NULL'})"
 
 
 def _numbers(values: Sequence[int]) -> Column:
@@ -114,36 +105,38 @@ def _numbers(values: Sequence[int]) -> Column:
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str, str]] = TEMPLATES, percent: int = 75) -> DataFrame:
     """Rows ``doc_id``, ``template``, ``license``, ``n_template``, ``n_common``, ``containment``.
 
-    One row per document row and template of which at least ``percent`` of the distinct shingles are in the
+    One row per document and template of which at least ``percent`` of the distinct shingles are in the
     document. Words are runs of letters and digits, so punctuation and line breaks do not matter. Null or
-    empty texts give no rows, null ids and repeated rows keep theirs. Extra columns are ignored. The
-    templates are a parameter held in the plan: some hundreds at most.
+    empty texts give no rows; null ids keep theirs; rows that repeat id and text give one. Extra columns
+    are ignored. The templates are a parameter held in the plan: some hundreds at most.
     """
     spark = docs.sparkSession
     given = spark.createDataFrame([(i, t[2]) for i, t in enumerate(templates)], "i int, text string")
-    made = given.select("i", shingles_of(license_words(F.col("text"))).alias("s")).select("i", F.array_distinct("s").alias("set"), template_keys(F.col("s")).alias("keys"))
+    given = given.select("i", shingles_of(license_words(F.col("text"))).alias("s")).select("i", F.array_distinct("s").alias("set"), "s", *permuted("s"))
+    given = given.select(F.col("i").alias("t"), "set", *[f"p{k}" for k in range(len(_MASKS))], F.explode(starts(F.col("s"), 1)).alias("i"))
+    made = given.select("t", "set", *bands()).groupBy("t", "set").agg(*[F.collect_set(f"m{b}").alias(f"m{b}") for b in range(BANDS)])
     made = sorted(made.collect())
-    short = {r["i"] for r in made if len(r["set"]) < SHORT}
-    keys = {r["i"]: sorted(set(r["set"] if r["i"] in short else r["keys"])) for r in made}
-    all_short, all_long = (sorted({k for i, ks in keys.items() if (i in short) == kind for k in ks}) or [0] for kind in (True, False))
+    short = [r for r in made if len(r["set"]) < SHORT]
+    long = [r for r in made if len(r["set"]) >= SHORT]
 
     shingles = shingles_of(license_words(F.col("text").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shingles.alias("s"))
-
-    def matches(s: Column) -> Column:
-        def tried(bands: Column) -> Column:
-            found = []
-            for r in made:
-                name, license_id, _ = templates[r["i"]]
-                n = len(r["set"])
-                common = F.size(F.array_intersect(_numbers(r["set"]), s)).cast("long")
-                hit = F.arrays_overlap(s if r["i"] in short else bands, _numbers(keys[r["i"]]))
-                row = F.struct(F.lit(name).alias("template"), F.lit(license_id).alias("license"), F.lit(n).cast("long").alias("n_template"), common.alias("n_common"))
-                found.append(F.when(hit & (100 * common >= percent * n), row))
-            some = F.arrays_overlap(s, _numbers(all_short)) | F.arrays_overlap(bands, _numbers(all_long))
-            return F.when(some, F.filter(F.array(*found), lambda x: x.isNotNull()))
-
-        return once(document_keys(s), tried)
-
-    hits = rows.select("doc_id", F.explode(once(F.col("s"), matches)).alias("m"))
-    return hits.select("doc_id", "m.template", "m.license", "m.n_template", "m.n_common", (F.col("m.n_common") / F.col("m.n_template")).alias("containment"))
+    rows = rows.select("doc_id", "s", *permuted("s"))
+    windows = rows.select("*", F.explode(starts(F.col("s"), STRIDE)).alias("i"))
+    windows = windows.select("doc_id", "s", F.slice("s", F.col("i"), F.lit(WINDOW)).alias("w"), *bands())
+    tests = [F.arrays_overlap("w", _numbers(sorted({k for r in short for k in r["set"]})))] if short else []
+    tests += [F.expr(_within(f"m{b}", sorted({k for r in long for k in r[f"m{b}"]}))) for b in range(BANDS)]
+    retrieved = windows.filter(reduce(or_, tests))
+
+    found = []
+    for r in made:
+        name, license_id, _ = templates[r["t"]]
+        n = len(r["set"])
+        common = F.size(F.array_intersect(_numbers(r["set"]), F.col("s"))).cast("long")
+        hit = F.arrays_overlap(F.col("w"), _numbers(r["set"]))
+        if r in long:
+            hit = reduce(or_, [F.array_contains(_numbers(sorted(r[f"m{b}"])), F.col(f"m{b}")) for b in range(BANDS)])
+        row = F.struct(F.lit(name).alias("template"), F.lit(license_id).alias("license"), F.lit(n).cast("long").alias("n_template"), common.alias("n_common"))
+        found.append(F.when(hit & (100 * common >= percent * n), row))
+    hits = retrieved.select("doc_id", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("m")).select("doc_id", "m.*").distinct()
+    return hits.withColumn("containment", F.col("n_common") / F.col("n_template"))
