@@ -2,7 +2,7 @@
 
 Every run of consecutive sentences (at least ``run`` of them and ``words`` words) is hashed, the
 hashes are joined over all documents, and sentences that any repeated run but its first covers are removed.
-A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line end. One of more than 12 words is cut after
+A sentence ends at ``.``, ``!`` or ``?`` before white space, or at a line end. One of more than 16 words is cut after
 words whose hash says so, the same words wherever it stands, so long sentences and passages that
 begin within one have common borders too.
 """
@@ -22,7 +22,7 @@ from docprep.llm.common import by_rows, signed, stored
 
 _BORDER = re.compile(r"[.!?]+(?=\s)[^\S\n]*\n?|\n")
 _WORD = re.compile(r"\S+")
-LONG, CUT = 12, 5
+LONG, CUT = 16, 8
 _CUTS: dict[str, bool] = {}
 
 
@@ -36,11 +36,14 @@ def _cuts(word: str) -> bool:
     return known
 
 
-def _part(start: int, end: int, words: list[str]) -> tuple[int, int, int, int]:
-    return start, end, len(words), xxhash.xxh3_64_intdigest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
+Sentence = tuple[int, int, int, bytes]
 
 
-def sentences(text: str) -> list[tuple[int, int, int, int]]:
+def _part(start: int, end: int, words: list[str]) -> Sentence:
+    return start, end, len(words), xxhash.xxh3_64_digest(" ".join(words).lower().encode("utf-8", "surrogatepass"))
+
+
+def sentences(text: str) -> list[Sentence]:
     """(start, end, words, hash) of each sentence by code point; together they cover the text. Case and white space do not count."""
     ends = [m.end() for m in _BORDER.finditer(text)]
     if text and (not ends or ends[-1] < len(text)):
@@ -62,22 +65,22 @@ def sentences(text: str) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def runs(parts: list[tuple[int, int, int, int]], run: int, words: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+def runs(parts: list[Sentence], run: int, words: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
     """First sentence, count of sentences and two hashes of the shortest run from each sentence; blank sentences belong to none."""
-    real = [i for i, p in enumerate(parts) if p[2]]
+    real = [(i, p[2]) for i, p in enumerate(parts) if p[2]]
+    hashes = b"".join([p[3] for p in parts if p[2]])
     starts, counts, keys = [], [], []
-    end, total = 0, 0
-    for at in range(len(real)):
-        while end < len(real) and (end - at < run or total < words):
-            total += parts[real[end]][2]
+    end, total, most = 0, 0, len(real)
+    for at, (place, size) in enumerate(real):
+        while end < most and (total < words or end - at < run):
+            total += real[end][1]
             end += 1
-        if end - at < run or total < words:
+        if total < words or end - at < run:
             break
-        starts.append(real[at])
-        counts.append(real[end - 1] - real[at] + 1)
-        h = [parts[real[k]][3] for k in range(at, end)]
-        keys.append(xxhash.xxh3_128_digest(np.array(h, np.uint64).tobytes()))
-        total -= parts[real[at]][2]
+        starts.append(place)
+        counts.append(real[end - 1][0] - place + 1)
+        keys.append(xxhash.xxh3_128_digest(hashes[8 * at : 8 * end]))
+        total -= size
     both = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
     return starts, counts, both[:, 0], both[:, 1]
 
