@@ -9,15 +9,19 @@ the full shingle sets.
 
 Documents with equal sets form one class (compared by a 128-bit hash), so copies
 never multiply. Inside a bucket every class is first checked against one leader:
-linear work. What these links join needs no further check. Only in buckets that
-still hold several components the members outside the bucket's largest component
-are checked against all its members, so no link between components is lost and
+linear work. What these links join needs no further check. Buckets that still hold
+several components try a few other leaders, and only then, in buckets that still hold several, the members outside the bucket's largest component are checked against
+all its members, unless their sizes, or four bits of each signature value, tell them apart (five
+standard deviations beyond the threshold), so no link between components is lost and
 no cap is needed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +31,10 @@ from pyspark.sql import functions as F
 from docprep.llm.common import WordHashes, by_rows, mixed, odd_numbers, shingle_array, signed, stored
 
 ROWS, GROUPS = 6, 30
+VALUES = 2 * ROWS * GROUPS
+#: Four bits of each signature value, in so many longs.
+LONGS = -(-VALUES // 16)
+BITS = [f"b{k}" for k in range(LONGS)]
 _PERMUTATIONS = odd_numbers(ROWS * GROUPS, 5)
 _BAND = odd_numbers(ROWS, 7)
 _SALTS = odd_numbers(2 * GROUPS, 13)
@@ -40,6 +48,7 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
     full = np.flatnonzero(sizes)
     bands = np.zeros((len(full), 2 * GROUPS), np.uint64)
     key = np.zeros((2, len(sets)), np.uint64)
+    nibbles = np.zeros((len(sets), 16 * LONGS), np.uint8)
     if len(full):
         values = np.concatenate([sets[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -48,10 +57,14 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
         for g in range(GROUPS):
             low, high = np.full(len(full), _SALTS[2 * g]), np.full(len(full), _SALTS[2 * g + 1])
             for r in range(ROWS):
-                permuted = values * _PERMUTATIONS[g * ROWS + r]
-                low += np.minimum.reduceat(permuted, starts) * _BAND[r]
-                high += np.maximum.reduceat(permuted, starts) * _BAND[r]
+                k = g * ROWS + r
+                permuted = values * _PERMUTATIONS[k]
+                least, most = np.minimum.reduceat(permuted, starts), np.maximum.reduceat(permuted, starts)
+                low += least * _BAND[r]
+                high += most * _BAND[r]
+                nibbles[full, 2 * k], nibbles[full, 2 * k + 1] = mixed(least) & np.uint64(15), mixed(most) & np.uint64(15)
             bands[:, 2 * g], bands[:, 2 * g + 1] = mixed(low), mixed(high)
+    longs = (nibbles[:, ::2] * np.uint8(16) + nibbles[:, 1::2]).view(np.int64)
     offsets = np.concatenate([[0], np.cumsum((sizes > 0) * 2 * GROUPS)]).astype(np.int32)
     return pa.record_batch(
         {
@@ -59,6 +72,7 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
             "n": pa.array(sizes),
             "h1": pa.array(signed(key[0])),
             "h2": pa.array(signed(key[1])),
+            **{f"b{k}": pa.array(np.ascontiguousarray(longs[:, k])) for k in range(LONGS)},
             "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(bands.reshape(-1)))),
         }
     )
@@ -137,29 +151,60 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _undecided(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, node, n, root) of the buckets that hold several components."""
+    held = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    return stored(held.join(split, "key"), "mixed")
+
+
+def _near_in_size(a: str, b: str, percent: int):
+    """Whether sets of these sizes can reach ``percent`` at all."""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _differing():
+    """How many of the four-bit values of two sketches differ."""
+
+    def one(name: str):
+        x = F.col(name).bitwiseXOR(F.col(f"{name}_x"))
+        pairs = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        any_bit = pairs.bitwiseOR(F.shiftrightunsigned(pairs, 1))
+        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+
+    return reduce(add, [one(b) for b in BITS])
+
+
+def _most_differing(percent: int) -> int:
+    """Values in which a pair at ``percent`` differs at most, but for five standard deviations (1 in 3 million)."""
+    p = (1 - percent / 100) * 15 / 16
+    return math.ceil(VALUES * p + 5 * math.sqrt(VALUES * p * (1 - p)))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, turns: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Sets are the distinct shingles of five words (fewer words: one shingle).
     Documents are linked when intersection is ``percent`` or more of union;
-    ``component_id`` is the smallest id reachable. Null or empty texts have an
+    ``component_id`` is the smallest id reachable. ``turns``: how many more leaders per bucket to try before
+    the exact round; it changes the work, not the result. Null or empty texts have an
     empty set and link with nothing. Rows that repeat an id are one document:
     they share a component. A row without an id stays alone and is kept, with
     null as component. Extra columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    raw = source.mapInArrow(_each_signature, "id long, n long, h1 long, h2 long, bands array<bigint>")
+    raw = source.mapInArrow(_each_signature, f"id long, n long, h1 long, h2 long, {', '.join(f'{b} long' for b in BITS)}, bands array<bigint>")
     rows = stored(raw.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     able = rows.filter("n > 0 and id is not null")
     classes = able.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
     first = classes.withColumnRenamed("node", "row").select("row", "least_id")
     nodes = stored(
-        able.join(first, "row").select(F.col("row").alias("node"), "least_id", "id", "h1", "h2", "bands"), "classes"
+        able.join(first, "row").select(F.col("row").alias("node"), "least_id", "id", "h1", "h2", "n", *BITS, "bands"), "classes"
     )
-    members = nodes.select(F.explode("bands").alias("key"), "node")
+    members = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1")
-    shared = stored(members.join(buckets, "key").select("key", "node", "lead"), "buckets")
+    shared = stored(members.join(buckets, "key").select("key", "node", "n", "lead"), "buckets")
     pairs = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "id", "h1", "h2"), "node")
@@ -172,15 +217,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     links = stored(_linked(pairs, sets, percent).unionByName(same_id), "links")
     roots = stored(components(links), "roots")
 
-    # Buckets that still hold several components: all that lies outside the largest one, against all.
-    held = shared.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    mixed_up = stored(held.join(split, "key"), "mixed")
+    # Buckets that still hold several components: other leaders first, as long as they link anything.
+    tried = pairs
+    for turn in range(turns):
+        mixed_up = _undecided(shared, roots)
+        leads = mixed_up.groupBy("key").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn))).alias("l"))
+        met = mixed_up.join(leads, "key").filter("root <> l.root").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"), "n", F.col("l.n").alias("other"))
+        more = stored(met.filter(_near_in_size("n", "other", percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = stored(_linked(more, sets, percent), "links")
+        tried = tried.unionByName(more)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        roots = stored(components(links), "roots")
+
+    # Then all members outside a bucket's largest component, against all members.
+    mixed_up = _undecided(shared, roots)
     main = mixed_up.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    rest = mixed_up.join(main, "key").filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("rx"))
-    across = rest.join(mixed_up.select("key", F.col("node").alias("y"), F.col("root").alias("ry")), "key").filter("rx <> ry")
+    marked = mixed_up.join(nodes.select("node", *BITS), "node")
+    rest = marked.join(main, "key").filter("root <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", *BITS)])
+    across = rest.join(marked, "key").filter(F.col("root_x") != F.col("root")).filter(_near_in_size("n_x", "n", percent))
+    across = across.filter(_differing() <= _most_differing(percent)).select(F.col("node_x").alias("x"), F.col("node").alias("y"))
     open_pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = stored(_linked(open_pairs.join(pairs, ["a", "b"], "left_anti"), sets, percent), "links")
+    late = stored(_linked(open_pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
     if not late.isEmpty():
         roots = stored(components(links.unionByName(late)), "roots")
 
