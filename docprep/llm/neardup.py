@@ -11,7 +11,7 @@ Documents with equal sets form one class (compared by a 128-bit hash), so copies
 never multiply. Inside a bucket every class is first checked against one leader:
 linear work. What these links join needs no further check. Buckets that still hold
 several components try a few other leaders, and only then, in buckets that still hold several, the members outside the bucket's largest component are checked against
-all its members, unless their sizes, or four bits of each signature value, tell them apart (five
+all its members, unless their sizes, or eight bits of each signature value, tell them apart (4.5
 standard deviations beyond the threshold), so no link between components is lost and
 no cap is needed.
 """
@@ -32,8 +32,8 @@ from docprep.llm.common import WordHashes, by_rows, mixed, odd_numbers, shingle_
 
 ROWS, GROUPS = 6, 30
 VALUES = 2 * ROWS * GROUPS
-#: Four bits of each signature value, in so many longs.
-LONGS = -(-VALUES // 16)
+#: Eight bits of each signature value, in so many longs.
+LONGS = -(-VALUES // 8)
 BITS = [f"b{k}" for k in range(LONGS)]
 _PERMUTATIONS = odd_numbers(ROWS * GROUPS, 5)
 _BAND = odd_numbers(ROWS, 7)
@@ -48,7 +48,7 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
     full = np.flatnonzero(sizes)
     bands = np.zeros((len(full), 2 * GROUPS), np.uint64)
     key = np.zeros((2, len(sets)), np.uint64)
-    nibbles = np.zeros((len(sets), 16 * LONGS), np.uint8)
+    sketch = np.zeros((len(sets), 8 * LONGS), np.uint8)
     if len(full):
         values = np.concatenate([sets[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -62,9 +62,9 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
                 least, most = np.minimum.reduceat(permuted, starts), np.maximum.reduceat(permuted, starts)
                 low += least * _BAND[r]
                 high += most * _BAND[r]
-                nibbles[full, 2 * k], nibbles[full, 2 * k + 1] = mixed(least) & np.uint64(15), mixed(most) & np.uint64(15)
+                sketch[full, 2 * k], sketch[full, 2 * k + 1] = mixed(least) & np.uint64(255), mixed(most) & np.uint64(255)
             bands[:, 2 * g], bands[:, 2 * g + 1] = mixed(low), mixed(high)
-    longs = (nibbles[:, ::2] * np.uint8(16) + nibbles[:, 1::2]).view(np.int64)
+    longs = sketch.view(np.int64)
     offsets = np.concatenate([[0], np.cumsum((sizes > 0) * 2 * GROUPS)]).astype(np.int32)
     return pa.record_batch(
         {
@@ -164,21 +164,21 @@ def _near_in_size(a: str, b: str, percent: int):
 
 
 def _differing():
-    """How many of the four-bit values of two sketches differ."""
+    """How many of the eight-bit values of two sketches differ."""
 
     def one(name: str):
         x = F.col(name).bitwiseXOR(F.col(f"{name}_x"))
-        pairs = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        any_bit = pairs.bitwiseOR(F.shiftrightunsigned(pairs, 1))
-        return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+        for step in (4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
     return reduce(add, [one(b) for b in BITS])
 
 
 def _most_differing(percent: int) -> int:
-    """Values in which a pair at ``percent`` differs at most, but for five standard deviations (1 in 3 million)."""
-    p = (1 - percent / 100) * 15 / 16
-    return math.ceil(VALUES * p + 5 * math.sqrt(VALUES * p * (1 - p)))
+    """Values in which a pair at ``percent`` differs at most, but for 4.5 standard deviations (1 in 300,000)."""
+    p = (1 - percent / 100) * 255 / 256
+    return math.ceil(VALUES * p + 4.5 * math.sqrt(VALUES * p * (1 - p)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, turns: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
