@@ -17,6 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docprep.llm.common import by_rows, unused
 
@@ -154,7 +155,7 @@ def with_scores(docs: DataFrame, model: Model, text_col: str = "text", score_col
     The score column takes another name (``score_2`` ...) where ``docs`` has that name already.
     """
     name = unused(score_col, docs.columns)
-    schema = docs.schema.add(name, "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = docs.columns.index(text_col)
     scores = scorer(model)
 
