@@ -29,7 +29,7 @@ class Encoder:
     at a unit's edge is encoded as a whole. (Holds for byte-level vocabularies that split like GPT-2's.)
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,6 +38,7 @@ class Encoder:
         self.most = most
         self.units: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
         self.line_end = self._whole("\n")
+        self.border = int(np.frombuffer(self.line_end, "<u4")[0])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -49,8 +50,12 @@ class Encoder:
             new = list(units)
         plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
         known.update(dict.fromkeys(new))
-        for unit, made in zip(plain, self.tokenizer.encode_batch([before + u for u in plain], add_special_tokens=False), strict=True):
-            known[unit] = np.array(made.ids, "<u4").tobytes()
+        # Units hold no line end, so one between them, an id of its own, parts their ids.
+        for at in range(0, len(plain), 4096):
+            some = plain[at : at + 4096]
+            ids = np.frombuffer(self._whole("\n".join([before + u for u in some])), "<u4")
+            parts = np.split(ids, np.flatnonzero(ids == self.border))
+            known.update((u, (p[1:] if k else p).tobytes()) for k, (u, p) in enumerate(zip(some, parts, strict=True)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[line.split(" ") for line in t.split("\n")] for t in texts]
