@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docprep.functions.predicates import strip
 
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
-TAG = r"(?s)<[^>]*>"
+# A "<" before anything else is text.
+TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
 
 # The five common entities, the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -58,7 +59,7 @@ def mark_chapters(c: Column, mode: str = "pagebreak", levels: Sequence[int] = (1
     if mode == "none":
         return c
     wanted = "".join(str(level) for level in levels)
-    return F.regexp_replace(c, f"(?i)(<h[{wanted}][ >])", MARKS[mode] + "$1")
+    return F.regexp_replace(c, rf"(?i)(<h[{wanted}][\s>])", MARKS[mode] + "$1")
 
 
 def filter_css(c: Column, properties: Sequence[str]) -> Column:
@@ -94,7 +95,7 @@ def drop_first_image(c: Column) -> Column:
 
 def fill_alt(c: Column, title: Column) -> Column:
     """Images without alternative text get the title."""
-    safe = F.translate(title, '"\\$', "'")
+    safe = F.replace(title, F.lit('"'), F.lit("&quot;"))
     marked = F.regexp_replace(c, r"(?i)(<img)((?:\s+[^\s=>]+=\"[^\"]*\")*\s*/?>)", "$1 alt=\"\u0001\"$2")
     undone = F.regexp_replace(marked, r"(?i)(<img) alt=\"\u0001\"([^>]*\salt=)", "$1$2")
     return F.replace(undone, F.lit("\u0001"), safe)

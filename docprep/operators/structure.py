@@ -132,8 +132,8 @@ def toc_threshold(toc: DataFrame, n: int) -> DataFrame:
 
 
 def anchor(text: Column) -> Column:
-    """Link target made from heading text."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^a-z0-9à-öø-ÿß]+", "-"), F.lit("-"))
+    """Link target made from the letters and digits, of any script, of heading text; null without any."""
+    return F.nullif(F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", "-"), F.lit("-")), F.lit(""))
 
 
 def build_toc(
@@ -150,13 +150,14 @@ def build_toc(
 
     ``levels`` maps heading level to contents level 1..3. ``chapters`` names
     (doc_id, position) rows to leave out. Unless ``duplicates`` is set the
-    first of equal targets in a document stays.
+    first of entries with equal heading text, case aside, in a document stays.
     """
     levels = levels or {1: 1, 2: 1, 3: 2}
     level = F.lit(None).cast("int")
     for source, target in levels.items():
         level = F.when(F.col("level") == source, F.lit(target)).otherwise(level)
-    toc = heads.withColumn("toc_level", level).filter("toc_level is not null").withColumn("target", anchor(F.col("text")))
+    toc = heads.withColumn("toc_level", level).filter("toc_level is not null")
+    toc = toc.withColumn("target", F.coalesce(anchor(F.col("text")), F.concat(F.lit("section-"), "position")))
     toc = toc.select("doc_id", "position", "toc_level", "text", "target")
     if chapters is not None:
         toc = toc.join(chapters.select("doc_id", "position").distinct(), ["doc_id", "position"], "left_anti")
@@ -164,9 +165,9 @@ def build_toc(
         toc = toc_filter(toc, pattern)
     if not duplicates:
         toc = (
-            toc.groupBy("doc_id", "target")
-            .agg(F.min(F.struct("position", "toc_level", "text")).alias("f"))
-            .select("doc_id", "f.position", "f.toc_level", "f.text", "target")
+            toc.groupBy("doc_id", F.lower("text").alias("same"))
+            .agg(F.min(F.struct("position", "toc_level", "text", "target")).alias("f"))
+            .select("doc_id", "f.*")
         )
     return toc_limit(toc_threshold(toc, threshold), max_links)
 

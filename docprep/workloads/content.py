@@ -116,13 +116,13 @@ _ENTITIES = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '
 _STRIPPED = (
     "trim(regexp_replace("
     + _ENTITIES.format(
-        "regexp_replace(regexp_replace({}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+        "regexp_replace(regexp_replace({}, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g'), '(?s)<[a-zA-Z/!?][^>]*>', ' ', 'g')"
     )
     + ", '\\s+', ' ', 'g'))"
 )
 _TITLE = (
     "nullif(trim(regexp_replace("
-    + _ENTITIES.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[^>]*>', '', 'g')")
+    + _ENTITIES.format("regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '(?s)<[a-zA-Z/!?][^>]*>', '', 'g')")
     + ", '\\s+', ' ', 'g')), '')"
 )
 
@@ -282,7 +282,7 @@ SELECT doc_id, CAST(length(out) AS BIGINT) AS chars, md5(out) AS digest FROM (
     "page_no_images": _page_sql("regexp_replace(t, '(?i)<img[^>]*>', '', 'g')", *IMAGES),
     "page_first_image": _page_sql("regexp_replace(t, '(?is)^(.*?)<img[^>]*>', '\\1')", *IMAGES),
     "page_alt": _sql(
-        """replace(replace(t, '<IMG src="a.png"/>', '<IMG alt="Page ''' || page_id || '''" src="a.png"/>'), '<img src="c.png">', '<img alt="Page ''' || page_id || '''" src="c.png">')""",
+        """replace(replace(t, '<IMG src="a.png"/>', '<IMG alt="Page &quot;' || page_id || '&quot;" src="a.png"/>'), '<img src="c.png">', '<img alt="Page &quot;' || page_id || '&quot;" src="c.png">')""",
         *IMAGES,
         source="html",
         key="page_id",

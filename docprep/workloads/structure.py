@@ -41,7 +41,7 @@ def headings(spark, sf):
     return S.headings(pages)
 
 
-_CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace(
+_CLEAN = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({0}, '(?s)<[a-zA-Z/!?][^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace(
     '\\"', '"'
 )
 HEADS = (
@@ -56,15 +56,15 @@ WITH found AS (
 ), heads AS (
   SELECT doc_id, position, CAST(level AS INTEGER) AS level, """
     + _CLEAN.format("raw")
-    + """ AS text
+    + r""" AS text
   FROM (SELECT doc_id, unnest(range(1, len(levels) + 1)) AS position, unnest(levels) AS level, unnest(raws) AS raw FROM listed)
 ), entries AS (
   SELECT doc_id, position, CASE level WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS toc_level, text,
-    trim(regexp_replace(lower(text), '[^a-z0-9à-öø-ÿß]+', '-', 'g'), '-') AS target
+    coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section-' || position) AS target
   FROM heads WHERE level IN (1, 2, 3)
 ), toc AS (
   SELECT doc_id, position, toc_level, text, target FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY position) AS rn FROM entries) WHERE rn = 1
+    SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY position) AS rn FROM entries) WHERE rn = 1
 )"""
 )
 LINES = """
@@ -91,11 +91,10 @@ WITH listed AS (
   FROM (SELECT doc_id, unnest(range(1, len(levels) + 1)) AS position, unnest(levels) AS level, unnest(raws) AS raw FROM listed)
 ), entries AS (
   SELECT doc_id, position, CASE level WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS toc_level, text,
-    trim(regexp_replace(lower(text), '[^a-z0-9à-öø-ÿß]+', '-', 'g'), '-') AS target
+    coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section-' || position) AS target
   FROM heads WHERE level IN (1, 2, 3)
 ) SELECT doc_id, position, toc_level, text, target FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY position) AS n FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY position) AS rn FROM entries) WHERE rn = 1) WHERE n <= 50""",
+  SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY position) AS rn FROM entries) WHERE rn = 1""",
     "headings": HEADS + " SELECT doc_id, position, level, text FROM heads",
     "toc_with_duplicates": HEADS + " SELECT doc_id, position, toc_level, text, target FROM entries",
     "toc_filtered": HEADS + " SELECT doc_id, position, toc_level, text, target FROM toc WHERE NOT regexp_matches(text, '(?i)^(part|ré)')",
@@ -107,7 +106,7 @@ WITH listed AS (
   SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM entries) WHERE n < 5""",
     "toc_without_chapters": HEADS
     + """ SELECT doc_id, position, toc_level, text, target FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, target ORDER BY position) AS rn FROM entries WHERE toc_level <> 1) WHERE rn = 1""",
+  SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY position) AS rn FROM entries WHERE toc_level <> 1) WHERE rn = 1""",
     "toc_titled": HEADS
     + """ SELECT doc_id, position, toc_level, text, target FROM toc
   UNION ALL SELECT DISTINCT doc_id, CAST(0 AS BIGINT), 0, 'Contents', '' FROM toc""",
@@ -188,7 +187,7 @@ def titled_documents(spark, sf):
 
 
 QUERIES = {
-    "outline": lambda spark, sf: outline(spread(table(spark, sf, "pages")), max_links=50),
+    "outline": lambda spark, sf: outline(spread(table(spark, sf, "pages")), max_links=0),
     "headings": headings,
     "toc_with_duplicates": _toc(duplicates=True),
     "toc_filtered": _toc(pattern="(?i)^(part|ré)"),

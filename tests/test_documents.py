@@ -144,3 +144,15 @@ def test_prepare_follows_the_options(spark):
     )
     got = {r.doc_id: r.text for r in prepare_documents(docs, opts, "source").collect()}
     assert got == {1: "example fi", 2: "exam-\nple fi", 3: "e ﬁ"}
+
+
+def test_contents_keep_every_script_and_sign(spark, rows):
+    from docprep.functions.html import fill_alt, plain_text
+    from docprep.operators.structure import build_toc
+
+    texts = ["Глава первая", "Глава вторая", "第一章", "C", "C++", "C#", "C", "+++"]
+    heads = spark.createDataFrame([(1, i, 1, t) for i, t in enumerate(texts)], "doc_id long, position int, level int, text string")
+    kept = rows(build_toc(heads), "text", "target")
+    assert sorted(t for t, _ in kept) == sorted(set(texts)) and ("+++", "section-7") in kept
+    one = spark.createDataFrame([("3 < 4 and 5 > 2 <b>x</b>", "<img src=\"a\">", 'a "b" $5 \\')], "a string, b string, t string")
+    assert rows(one.select(plain_text(one.a), fill_alt(one.b, one.t))) == [("3 < 4 and 5 > 2 x", '<img alt="a &quot;b&quot; $5 \\" src="a">')]
