@@ -72,5 +72,19 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_html, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_urls, op8_repeated_spans, op9_fingerprints, op10_packing)}
 
-# The rules of op7 as a table, longest first, and its own verdict from the same three-level shrinkage.
-SQL: dict[str, str] = {}
+# Only queries that SQL states exactly and runs in good time over whole tables have a twin here.
+_SHINGLES = r"""
+    CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"""
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+SQL: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH items AS (
+  SELECT DISTINCT item_id, unnest({_SHINGLES}) AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL)
+), sizes AS (SELECT item_id, count(*) AS n_item FROM items GROUP BY 1
+), have AS (
+  SELECT DISTINCT doc_id, unnest({_SHINGLES}) AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL)
+), common AS (SELECT doc_id, item_id, count(*) AS n_common FROM have JOIN items USING (s) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_item, n_common, n_common / CAST(n_item AS DOUBLE) AS containment
+FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= 75 * n_item""",
+}
