@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from docprep.llm.common import by_rows, stored
 
 
+#: Signs that are neither letters, digits nor white space.
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
@@ -37,30 +41,55 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
         self.units: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
+        self.tails: dict[str, bytes] = {}
         self.line_end = self._whole("\n")
         self.border = int(np.frombuffer(self.line_end, "<u4")[0])
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, units: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """Ids of units without white space. They hold no line end, so one between them, an id of its own, parts their ids."""
+        for at in range(0, len(units), 4096):
+            some = units[at : at + 4096]
+            ids = np.frombuffer(self._whole("\n".join([before + u for u in some])), "<u4")
+            ends = [*np.flatnonzero(ids == self.border).tolist(), len(ids)]
+            flat, start = ids.tobytes(), 0
+            for u, end in zip(some, ends, strict=True):
+                yield u, flat[4 * start : 4 * end]
+                start = end + 1
+
     def _learn(self, units: set[str], known: dict[str, bytes | None], before: str) -> None:
-        new = [u for u in units if u not in known]
+        new = units.difference(known)
         if len(known) + len(new) > self.most:
             known.clear()
-            new = list(units)
+            new = units
         plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
         known.update(dict.fromkeys(new))
-        # Units hold no line end, so one between them, an id of its own, parts their ids.
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            ids = np.frombuffer(self._whole("\n".join([before + u for u in some])), "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self.border))
-            known.update((u, (p[1:] if k else p).tobytes()) for k, (u, p) in enumerate(zip(some, parts, strict=True)))
+        # Signs after a letter or digit are always a unit of their own, so words before other signs are known already.
+        marked, alone = [], set()
+        for u in plain:
+            word = u.rstrip(SIGNS)
+            if len(word) < len(u) and word and (word[-1].isalpha() or word[-1].isdecimal()):
+                marked.append((u, word, u[len(word) :]))
+                if known.get(word) is None:
+                    alone.add(word)
+            elif known[u] is None:
+                alone.add(u)
+        if len(self.tails) > self.most:
+            self.tails.clear()
+        self.tails.update(self._ids(list({t for _, _, t in marked}.difference(self.tails)), ""))
+        known.update(self._ids(list(alone), before))
+        known.update([(u, known[word] + self.tails[t]) for u, word, t in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [[line.split(" ") for line in t.split("\n")] for t in texts]
+        later: set[str] = set()
+        for lines in split:
+            for line in lines:
+                later.update(line[1:])
         self._learn({line[0] for lines in split for line in lines}, self.units[0], "")
-        self._learn({u for lines in split for line in lines for u in line[1:]}, self.units[1], " ")
+        self._learn(later, self.units[1], " ")
         first, rest = self.units[0].__getitem__, self.units[1].__getitem__
         out = []
         for text, lines in zip(texts, split, strict=True):
