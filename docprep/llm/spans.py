@@ -23,6 +23,8 @@ from docprep.llm.common import by_rows, signed, stored
 _BORDER = re.compile(r"[.!?]+(?=\s)[^\S\n]*\n?|\n")
 _WORD = re.compile(r"\S+")
 LONG, CUT = 16, 8
+#: Bits that mark repeated hashes: 4,096 rows of 4 KB.
+BITS = 1 << 27
 _CUTS: dict[str, bool] = {}
 
 
@@ -137,9 +139,17 @@ def repeated_spans(docs: DataFrame, run: int = 3, words: int = 20) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     found = texts.mapInArrow(_each_run(run, words), "doc_id long, at int, n int, h1 long, h2 long")
     found = stored(found, "runs")
+    # Few hashes repeat: their bits, 16 MB for any number of them, keep most other runs out of the exact shuffles.
+    often = found.groupBy("h1").count().filter("count > 1").select(F.pmod("h1", F.lit(BITS)).alias("bit"))
+    bits = often.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    bit = F.pmod("h1", F.lit(BITS))
+    tested = found.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("place", F.bitmap_bit_position(bit))
+    tested = tested.join(F.broadcast(stored(bits, "bits")), "bucket")
+    byte = F.conv(F.hex(F.substring("bits", F.expr("cast(place div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
+    likely = stored(tested.filter(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select("doc_id", "at", "n", "h1", "h2"), "likely")
     # The order of (doc_id, at) as two plain minima: hashes with more than one row, then their first.
-    first = found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows")).filter("rows > 1")
-    again = found.join(first, ["h1", "h2"])
+    first = likely.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows")).filter("rows > 1")
+    again = likely.join(first, ["h1", "h2"])
     places = again.filter("doc_id = first_doc").groupBy("h1", "h2").agg(F.min("at").alias("first_at"))
     return again.join(places, ["h1", "h2"]).filter("doc_id <> first_doc or at <> first_at").select("doc_id", "at", "n")
 
