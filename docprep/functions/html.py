@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from docprep.functions.predicates import strip
 
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
+# A style block, or a tag up to the end of its style attribute.
+STYLED = r"""(?is)<style(?:\s[^>]*)?>.*?</style>|<[a-z][^<>]*?\sstyle\s*=\s*(?:"[^"]*"|'[^']*')"""
+STYLE_VALUE = r"""(?is)(?:"[^"]*"|'[^']*')$"""
 # A "<" before anything else is text.
 TAG = r"(?s)<[a-zA-Z/!?][^>]*>"
 
@@ -63,11 +66,21 @@ def mark_chapters(c: Column, mode: str = "pagebreak", levels: Sequence[int] = (1
 
 
 def filter_css(c: Column, properties: Sequence[str]) -> Column:
-    """Declarations of the listed properties leave style blocks and attributes."""
+    """Declarations of the listed properties leave style blocks and attributes; all other text stays."""
     names = "|".join(p.strip().replace("-", r"\-") for p in properties if p.strip())
     if not names:
         return c
-    return F.regexp_replace(c, rf"(?i)([{{;\"']\s*)((?:{names})\s*:[^;}}\"']*(?:;\s*)?)+", "$1")
+
+    def clean(part: Column) -> Column:
+        return F.regexp_replace(part, rf"(?i)([{{;\"']\s*)((?:{names})\s*:[^;}}\"']*(?:;\s*)?)+", "$1")
+
+    def styled(part: Column) -> Column:
+        value = F.regexp_extract(part, STYLE_VALUE, 0)
+        start = F.substring(part, F.lit(1), F.length(part) - F.length(value))
+        return F.when(F.lower(F.substring(part, 1, 6)) == "<style", clean(part)).otherwise(F.concat(start, clean(value)))
+
+    between, styles = F.split(c, STYLED), F.regexp_extract_all(c, F.lit(STYLED), F.lit(0))
+    return F.array_join(F.zip_with(between, styles, lambda t, s: F.concat(t, F.when(s.isNull(), "").otherwise(styled(s)))), "")
 
 
 def linearize_tables(c: Column) -> Column:

@@ -39,10 +39,6 @@ LIGATURES = (
     ("ﬆ", "st"),
 )
 
-# Letters that may end a hyphenated line part or start the next.
-LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-SMALL_LETTER = "a-zß-öø-ÿ"
-
 SENTENCE_END = r"[.!?:;…\"'”’)]$"
 
 
@@ -85,8 +81,8 @@ def expand_ligatures(c: Column) -> Column:
 
 
 def dehyphenate(c: Column) -> Column:
-    """T5: letter, hyphen, line end, small letter: joined to one word."""
-    return F.regexp_replace(c, f"([{LETTER}])-\n([{SMALL_LETTER}])", "$1$2")
+    """T5: letter, hyphen, line end, small letter (of any script): joined to one word."""
+    return F.regexp_replace(c, r"(?<=\p{L})-\n(?=\p{Ll})", "")
 
 
 def unwrap_lines(c: Column, factor: float) -> Column:

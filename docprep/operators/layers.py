@@ -128,7 +128,7 @@ def _joined_fragments(fragments: DataFrame, glue: str, lone: Column) -> DataFram
 
 
 def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
-    """A2: alternatives separated by a bar, ordered and distinct; a lone value stays raw.
+    """A2: alternatives separated by a bar, ordered and distinct; a lone value stays raw. A null counts as blank.
 
     Values are merged one after the other and every merge drops one pair of
     outer parentheses, so an early alternative loses as many pairs as merges
@@ -150,7 +150,7 @@ def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
             "n",
             (~F.col("old")).alias("touched"),
             F.when(F.col("n") == 1, F.col("value")).alias("raw"),
-            F.posexplode(F.split("value", r"\|")).alias("at", "piece"),
+            F.posexplode(F.split(F.coalesce("value", F.lit("")), r"\|")).alias("at", "piece"),
         )
         .select(
             *ENTITY_KEY,
@@ -165,7 +165,7 @@ def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
 
 def _merge_csv(stack: DataFrame) -> DataFrame:
     """A3: comma lists, ordered and distinct; a lone new value is tidied too,
-    a lone existing one (no preset touched the key) is left as it is."""
+    a lone existing one (no preset touched the key) is left as it is. A null counts as blank."""
     fragments = (
         stack.filter(F.col("policy") == "csv")
         .select(
@@ -174,7 +174,7 @@ def _merge_csv(stack: DataFrame) -> DataFrame:
             "position",
             (~F.col("old")).alias("touched"),
             F.when(F.col("old"), F.col("value")).alias("raw"),
-            F.posexplode(F.split("value", ",")).alias("at", "piece"),
+            F.posexplode(F.split(F.coalesce("value", F.lit("")), ",")).alias("at", "piece"),
         )
         .select(
             *ENTITY_KEY,

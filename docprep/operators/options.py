@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.functions.predicates import flag_count, py_truth, truthy
+from docprep.functions.predicates import flag_count, py_truth, strip, truthy
 from docprep.functions.scalars import infer_type, option_id
 from docprep.model import NEVER_EMITTED, OPTIONS
 from docprep.session import cut_lineage
@@ -185,8 +185,15 @@ def emit_options(
     Tests apply in order: never-passed flags; options of EPUB output when the
     target is another format; flags not supported (primary flag only). Keys
     that are no option vanish. ``times`` is how often the flag is written and
-    ``argument`` what follows it.
+    ``argument`` what follows it. Where the assignments have lists (``values``,
+    as ``collect_options`` gives them), each item that is not blank is a row with
+    its ``place`` from 0.
     """
+    lists = "values" in assignments.columns
+    if lists:
+        item = F.when(F.col("values").isNull(), F.array("value")).otherwise(F.col("values"))
+        others = [c for c in assignments.columns if c not in ("value", "values")]
+        assignments = assignments.select(*others, F.posexplode(item).alias("place", "value"))
     rows = assignments.join(
         options.select(F.col("id").alias("key"), "cli", "value_type", "category", "repeatable"), "key"
     )
@@ -203,22 +210,25 @@ def emit_options(
     kind = F.col("kind") if "kind" in assignments.columns else None
     flag = F.col("value_type") == "boolean"
     many = F.coalesce("repeatable", F.lit(False))
+    written = F.coalesce("value", F.lit(""))
+    written = strip(written) if lists else written
     times = (
         F.when(flag & many, flag_count(F.col("value")))
         .when(flag, py_truth(F.col("value"), kind).cast("bigint"))
-        .otherwise((F.coalesce("value", F.lit("")) != "").cast("bigint"))
+        .otherwise((written != "").cast("bigint"))
     )
     judged = rows.select(
         "entity_id",
         "key",
         "cli",
+        *["place"] * lists,
         times.alias("times"),
         F.when(~flag, F.col("value")).alias("argument"),
         reason.alias("reason"),
     )
-    kept = judged.filter("reason is null and times > 0").select("entity_id", "cli", "key", "times", "argument")
+    kept = judged.filter("reason is null and times > 0").select("entity_id", "cli", "key", *["place"] * lists, "times", "argument")
     skipped = judged.filter("reason is not null").select("entity_id", "cli", "key", "reason")
-    return kept, skipped
+    return kept, skipped.distinct() if lists else skipped
 
 
 def collect_options(flag_rows: DataFrame, options: DataFrame) -> DataFrame:

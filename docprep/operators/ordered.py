@@ -6,14 +6,13 @@ rows. ``scan`` cuts only the large groups into blocks along their order,
 carries the state from block to block through a small summary and gives the
 same values as the plain window.
 
-Plan: (1) count rows per group (pre-aggregated); the largest groups above
-``hot_rows`` form a table of at most ``hot_groups`` rows, small enough to
-broadcast whatever the input size. (2) Rows of those groups get a block number
+Plan: (1) count rows per group (pre-aggregated); all groups above ``hot_rows``
+form a small table in the shared folder, whose size is known, so Spark broadcasts it or
+not; when there are none, the plain window follows. (2) Rows of those groups get a block number
 that grows with the order; all others have block 0. (3) One summary row per
 hot block; a window over these gives the state at the start of each block.
 (4) One shuffle of the rows on (group, block) serves both the join with that
-state and the window inside the block. Without large groups the summary is
-empty, adaptive execution drops the join and the plain window is left.
+state and the window inside the block.
 """
 
 from __future__ import annotations
@@ -23,8 +22,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docprep.session import scratch_path
+
 HOT_ROWS = 1_000_000
-HOT_GROUPS = 10_000
 BLOCKS = 4096
 
 
@@ -41,7 +41,6 @@ def scan(
     along: str | None = None,
     split_hot: bool = True,
     hot_rows: int = HOT_ROWS,
-    hot_groups: int = HOT_GROUPS,
     blocks: int = BLOCKS,
 ) -> DataFrame:
     """Add running columns to ``df``.
@@ -76,11 +75,14 @@ def scan(
         src.groupBy(*group)
         .agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
         .filter(F.col("_n") > hot_rows)
-        # Only the largest groups need cutting: one beyond the first hot_groups
-        # holds under 1/hot_groups of all rows and takes the plain path below.
-        .orderBy(F.desc("_n"), *group)
-        .limit(hot_groups)
     )
+    path = scratch_path(df.sparkSession, "hot-groups")
+    hot.write.parquet(path)
+    hot = df.sparkSession.read.schema(hot.schema).parquet(path)
+    if hot.isEmpty():
+        return _plain(src, group, order_by, sums, lags, leads, lasts).select(
+            *keep, *[F.col(f"_out_{n}").alias(n) for n in names]
+        )
     span = F.col("_hi") - F.col("_lo")
     bucket = F.when(
         span > 0, F.least(F.floor((at - F.col("_lo")) / span * blocks), F.lit(blocks - 1)).cast("bigint")
@@ -89,7 +91,7 @@ def scan(
     if major is not None:
         bucket = F.col(major).cast("bigint") * blocks + bucket
     tagged = (
-        src.join(F.broadcast(hot), list(group), "left")
+        src.join(hot, list(group), "left")
         .withColumn("_hot", F.col("_n").isNotNull())
         .withColumn("_block", F.when(F.col("_hot"), bucket).otherwise(F.lit(0).cast("bigint")))
         .drop("_n", "_lo", "_hi")

@@ -52,12 +52,13 @@ def bad_ranges(ranges: DataFrame) -> DataFrame:
 def select_ranges(units: DataFrame, ranges: DataFrame) -> DataFrame:
     """Units whose 1-based ``position`` lies in the ranges of their document.
 
-    A blank list, or none, keeps everything. Each document brings its list as
-    one short array, so the join is by document only and the range test is a
-    plain filter: a unit is never multiplied by its ranges.
+    A blank list, or none, keeps everything; so does one without a readable
+    piece (``bad_ranges`` reports those). All rows of a document count. It
+    brings its ranges as one short array, so the join is by document only and
+    the range test is a plain filter: a unit is never multiplied by its ranges.
     """
-    lists = ranges.select("doc_id", strip(F.col("ranges")).alias("_list")).filter("_list <> ''")
-    lists = lists.groupBy("doc_id").agg(F.max("_list").alias("_list")).select("doc_id", parse_ranges(F.col("_list")).alias("_in"))
+    pieces = ranges.select("doc_id", F.explode(parse_ranges(F.col("ranges"))).alias("_range"))
+    lists = pieces.groupBy("doc_id").agg(F.collect_set("_range").alias("_in"))
     inside = F.exists("_in", lambda r: F.col("position").between(r["lo"], r["hi"]))
     return units.join(lists, "doc_id", "left").filter(F.col("_in").isNull() | inside).drop("_in")
 

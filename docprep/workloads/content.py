@@ -93,8 +93,7 @@ SELECT doc_id, CAST(length(out) AS BIGINT) AS chars, md5(out) AS digest FROM (
     SELECT doc_id, l, list_sort(list_transform(list_filter(l, lambda x: x <> ''), lambda x: length(x))) AS lens
     FROM (SELECT doc_id, string_split(replace(replace(text, '. ', chr(10)), ', ', ',' || chr(10)), chr(10)) AS l FROM documents))))"""
 
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_SMALL = "a-zß-öø-ÿ"
+_LETTER, _SMALL = r"\p{{L}}", r"\p{{Ll}}"
 _DEHYPHEN = f"regexp_replace({{}}, '([{_LETTER}])-' || chr(10) || '([{_SMALL}])', '\\1\\2', 'g')"
 _SMARTEN = r"""replace(regexp_replace(replace(regexp_replace(replace(replace(replace({}, '---', '—'), '--', '–'), '...', '…'),
   '(^|[\s(\[{{–—])"', '\1“', 'g'), '"', '”'), '(^|[\s(\[{{–—“])''', '\1‘', 'g'), '''', '’')"""

@@ -57,6 +57,10 @@ def test_markup(spark):
     assert one(spark, H.mark_chapters, "<H1>a</H1><h3>") == '<div class="pagebreak"></div><H1>a</H1><h3>'
     css = lambda c: H.filter_css(c, ["margin", "float"])
     assert one(spark, css, "<style>p{margin:0;color:red;float: left}</style>") == "<style>p{color:red;}</style>"
+    prose = '<p title="margin:1">He said "Float: the best one" and left; margin: 2</p>'
+    assert one(spark, css, prose) == prose
+    assert one(spark, css, f"{prose}<b class=x STYLE = 'float:left;top:0'>{prose}") == f"{prose}<b class=x STYLE = 'top:0'>{prose}"
+    assert one(spark, css, "") == "" and one(spark, css, None) is None
     assert one(spark, lambda c: H.fill_alt(c, F.lit("T")), '<img src="a"><img src="b" alt="x">') == '<img alt="T" src="a"><img src="b" alt="x">'
     assert one(spark, H.text_heading, "Chapter 3 of it", "12.1 Title", "plain words here", "IV.", "") == [True, True, False, True, False]
 
@@ -96,6 +100,10 @@ def test_ranges_and_start(spark):
     pick = lambda text: [r.position for r in S.select_ranges(u, spark.createDataFrame([(1, text)], "doc_id BIGINT, ranges STRING")).orderBy("position").collect()]
     assert pick("1-3, 8,10") == [1, 2, 3, 8, 10]
     assert pick("3-2,2,2") == [2, 3]
+    assert len(pick("x")) == 10 and pick("x, 4") == [4]
+    two = spark.createDataFrame([(1, "1-2"), (1, "5"), (1, "y")], "doc_id BIGINT, ranges STRING")
+    assert [r.position for r in S.select_ranges(u, two).orderBy("position").collect()] == [1, 2, 5]
+    assert [r.piece for r in S.bad_ranges(two).collect()] == ["y"]
     assert len(pick("  ")) == len(pick(None)) == 10
     assert [r.position for r in S.start_reading_at(u, "line [89]").orderBy("position").collect()] == [8, 9, 10]
     assert S.start_reading_at(u, "nothing").count() == 10

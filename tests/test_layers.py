@@ -27,6 +27,13 @@ def test_last_wins_and_conflict(spark):
     assert (c.overridden_preset, c.winning_preset, c.overridden_value, c.winning_value) == ("A", "B", "kobo", "tablet")
 
 
+def test_a_null_keeps_its_key(spark):
+    out = resolved(merge_layers(layers(spark, ("toc", "a", {"chapter": None, "filter-css": None}))))
+    assert not out["chapter"] and not out["filter-css"] and len(out) == 2
+    out = resolved(merge_layers(layers(spark, ("toc", "a", {"chapter": None, "filter-css": None}), ("toc", "b", {"chapter": "//h:h1", "filter-css": "float"}))))
+    assert out == {"chapter": "//h:h1", "filter-css": "float"}
+
+
 def test_policies(spark):
     out = merge_layers(
         layers(

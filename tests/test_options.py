@@ -186,6 +186,10 @@ def test_collect_and_import(spark):
     assert sorted((r.key, r.flag, r.value, r["values"]) for r in got.collect()) == [
         ("n", "--n", "2", None), ("s", "--s", None, ["a", "b"]), ("v", "-v", "2", None),
     ]
+    passed, _ = O.emit_options(got.unionByName(spark.createDataFrame([("f", "s", "--s", None, ["x", " ", None, "y"])], got.schema)), options)
+    assert sorted((r.entity_id, r.key, r.place, r.times, r.argument) for r in passed.collect()) == [
+        ("e", "n", 0, 1, "2"), ("e", "s", 0, 1, "a"), ("e", "s", 1, 1, "b"), ("e", "v", 0, 2, None), ("f", "s", 0, 1, "x"), ("f", "s", 3, 1, "y"),
+    ]
     kept, dropped = O.import_options(got, options, flags(spark, "--v", "--s"))
     assert sorted(r.key for r in kept.collect()) == ["s", "v"] and [r.key for r in dropped.collect()] == ["n"]
 

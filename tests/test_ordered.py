@@ -32,9 +32,9 @@ def expected(df, order):
     )
 
 
-@pytest.mark.parametrize("hot_rows,blocks,hot_groups", [(10, 16, 100), (1, 3, 1), (50, 4096, 100), (10**6, 16, 100)])
+@pytest.mark.parametrize("hot_rows,blocks", [(10, 16), (1, 3), (50, 4096), (10**6, 16)])
 @pytest.mark.parametrize("major", [None, "rank"])
-def test_blocks_equal_windows(spark, rows, hot_rows, blocks, hot_groups, major):
+def test_blocks_equal_windows(spark, rows, hot_rows, blocks, major):
     df = data(spark)
     order = ["rank", "k"] if major else ["k"]
     got = scan(
@@ -49,7 +49,6 @@ def test_blocks_equal_windows(spark, rows, hot_rows, blocks, hot_groups, major):
         along="k",
         hot_rows=hot_rows,
         blocks=blocks,
-        hot_groups=hot_groups,
     )
     names = ["g", "k", "total", "before", "after", "latest"]
     assert rows(got, *names) == rows(expected(df, order), *names)
