@@ -146,10 +146,11 @@ def repeated_spans(docs: DataFrame, run: int = 3, words: int = 20) -> DataFrame:
     tested = found.withColumn("bucket", F.bitmap_bucket_number(bit)).withColumn("place", F.bitmap_bit_position(bit))
     tested = tested.join(F.broadcast(stored(bits, "bits")), "bucket")
     byte = F.conv(F.hex(F.substring("bits", F.expr("cast(place div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("int")
-    likely = stored(tested.filter(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select("doc_id", "at", "n", "h1", "h2"), "likely")
+    likely = tested.filter(F.getbit(byte, (F.col("place") % 8).cast("int")) == 1).select("doc_id", "at", "n", "h1", "h2")
     # The order of (doc_id, at) as two plain minima: hashes with more than one row, then their first.
     first = likely.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("rows")).filter("rows > 1")
-    again = likely.join(first, ["h1", "h2"])
+    # Stored, so that no grouping by the same key follows in its stage and Spark can split a common passage.
+    again = stored(likely.join(first, ["h1", "h2"]), "again")
     places = again.filter("doc_id = first_doc").groupBy("h1", "h2").agg(F.min("at").alias("first_at"))
     return again.join(places, ["h1", "h2"]).filter("doc_id <> first_doc or at <> first_at").select("doc_id", "at", "n")
 
