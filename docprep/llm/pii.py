@@ -2,10 +2,11 @@
 
 Emails, addresses, cards and phones are found by pattern; the values found are the protected
 entities. The corpus then says how strongly a word reveals an entity: the pointwise mutual information
-of word and entity, over documents, as a share of the entity's own information. Words near an entity whose
-share exceeds the disclosure threshold in enough different surroundings are removed, or generalised
-above a lower threshold, in the documents that hold the entity. Everything is Spark functions; only
-documents with base matches and the words near them are ever shuffled.
+of word and entity, over documents, as a share of the entity's own information. An entity is a value, or the group
+of values it belongs to (its mail domain, its network ...), so values that occur once are covered too.
+Words whose share exceeds the disclosure threshold are removed, or generalised above a lower threshold, in the
+documents that hold word and entity. Everything is Spark functions; only documents with base matches
+and their words are ever shuffled, and counts of words.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.binding import once
-from docprep.llm.common import lower_ascii, stored
+from docprep.llm.common import shingles_of, stored, words_of
 
 KINDS = ("email", "ip", "card", "phone")
 # The stated patterns, with possessive repeats and starts at run borders: the same leftmost
@@ -26,6 +27,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 RESIDUES = 1 << 20
+#: Min-hashes of which near copies share one: two texts with half their shingles in common fail to once in 256 times.
+COPIES = 8
 SPAN = "struct<kind:string,start:int,end:int,value:string>"
 
 
@@ -114,64 +117,96 @@ def _keys(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), doc_id, text).alias("k1"), F.xxhash64(F.lit(2), text, doc_id).alias("k2")
 
 
-def disclosures(
-    docs: DataFrame, hits: DataFrame, generalise: float = 0.6, remove: float = 0.75, least: int = 3, reach: int = 60
-) -> DataFrame:
-    """(entity, term, share, action): words that reveal an entity.
+def _group(span: Column) -> Column:
+    """What a value shares with others of its kind: mail domain, network (first three parts), card issuer (first six
+    digits), phone number without its last four digits."""
+    kind, value = span["kind"], span["value"]
+    shared = (
+        F.when(kind == "email", F.substring_index(F.lower(value), "@", -1))
+        .when(kind == "ip", F.substring_index(value, ".", 3))
+        .when(kind == "card", F.substring(_digits(value), 1, 6))
+        .otherwise(once(_digits(value), lambda d: F.substring(d, F.lit(1), F.length(d) - 4)))
+    )
+    return F.concat(F.lit("in "), kind, F.lit(":"), shared)
+
+
+def _versions(hits: DataFrame) -> DataFrame:
+    """(k1, k2, version): copies and near copies, which share one of ``COPIES`` min-hashes of their shingles, have one version."""
+    own = F.struct("k1", "k2")
+    minima = F.array(*[F.array_min(F.transform("shingles", lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(COPIES)])
+    rows = hits.select("k1", "k2", shingles_of(words_of(F.col("text"))).alias("shingles")).select("k1", "k2", F.posexplode(minima).alias("j", "least"))
+    rows = stored(rows, "minima")
+    shared = rows.groupBy("j", "least").agg(F.min(own).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(shared, ["j", "least"], "left").groupBy("k1", "k2").agg(F.xxhash64(F.min(F.coalesce("first", own))).alias("version"))
+
+
+def disclosures(docs: DataFrame, hits: DataFrame, generalise: float = 0.6, remove: float = 0.75, prior: float = 4.0) -> DataFrame:
+    """(k1, k2, term, share, action): words of a document that reveal an entity it holds.
 
-    ``hits(k1, k2, text, spans)`` are the documents with base matches. A word co-occurs with an entity in a document
-    when it stands within ``reach`` characters of it. PMI(word, entity) / information(entity) is the share; words
-    of ``least`` different surroundings or more count (copies of one surrounding count once), so words next to an entity
-    by chance are no disclosure. Document counts of words cover all documents.
+    ``hits(k1, k2, text, spans, n)`` are the distinct documents with base matches, ``n`` rows each. Entities are the
+    values and their groups (see ``_group``). A word co-occurs with an entity in a document when it stands anywhere
+    in it. PMI(word, entity) / information(entity) is the share. The probability of the entity given the word has
+    a prior of ``prior`` documents drawn at random, and one version of all that hold both (copies are one version) is
+    held back, as any text has words of its own. What a value spells out itself (the name in an address) goes with it
+    by no chance, so nothing is held back there. Document counts of words cover all documents.
     """
-    total = docs.count()
-    one = hits.select("k1", "k2", "text", F.explode("spans").alias("s")).select(
-        "k1",
-        "k2",
-        _entity(F.col("s")).alias("entity"),
-        F.substring("text", F.greatest(F.col("s.start") - reach, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(reach))).alias("before"),
-        F.substring("text", F.col("s.end") + 1, F.lit(reach)).alias("after"),
-    )
-    # Words cut by the border of the surrounding, and other personal data in it, are left out.
-    around = F.concat(F.regexp_replace("before", r"^[\p{L}\p{N}]+", ""), F.lit(" "), F.regexp_replace("after", r"[\p{L}\p{N}]+$", ""))
-    around = F.regexp_replace(around, PATTERNS["email"], " ")
-    near = one.select("k1", "k2", "entity", F.xxhash64(around).alias("place"), _words(around).alias("words"))
-    near = stored(near, "near")
-    entities = near.groupBy("entity").agg(F.countDistinct("k1", "k2").alias("n_entity"), F.countDistinct("place").alias("places"))
-    entities = entities.filter(F.col("places") >= least)
-    words = near.select("k1", "k2", "entity", "place", F.explode("words").alias("term"))
-    pairs = words.groupBy("entity", "term").agg(F.countDistinct("k1", "k2").alias("n_both"), F.countDistinct("place").alias("places"))
-    pairs = stored(pairs.filter(F.col("places") >= least).drop("places").join(entities.drop("places"), "entity"), "pairs")
+    total = F.lit(float(docs.count()))
+    each = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.array(_entity(s), _group(s)))))
+    held = hits.select("k1", "k2", "n", F.explode(each).alias("entity")).join(_versions(hits), ["k1", "k2"])
+    held = stored(held, "held")
+    known = held.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.countDistinct("version").alias("versions")).filter(F.col("n_entity") < total)
+    # A word in more documents cannot reach the threshold, even if it stood in all of the entity's.
+    p = F.col("n_entity") / total
+    most = (F.col("n_entity") + prior * p) / F.pow(p, F.lit(1 - generalise)) - prior + F.col("n_entity") / 2
+    known = stored(known.withColumn("most", most), "entities")
+    several = known.filter("versions > 1").drop("versions")
+    limit = several.agg(F.max("most")).first()[0] or 0.0
+
+    near = stored(held.join(several, "entity"), "near")
+    # Addresses are no words of the text around them.
+    outside = _words(F.regexp_replace("text", PATTERNS["email"], " "))
+    words = hits.join(near.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi").select("k1", "k2", F.explode(outside).alias("term"))
+    words = stored(words, "words")
+    spelled = known.filter(F.col("entity").startswith("email:")).select("entity", "n_entity", F.explode(_words(F.substring("entity", 7, 1 << 30))).alias("term"))
+    spelled = stored(spelled, "spelled")
 
     residue = F.pmod(F.xxhash64("term"), F.lit(RESIDUES)).cast("int").alias("r")
     # At most RESIDUES rows of one number.
-    possible = pairs.select(residue).distinct()
+    possible = words.select(residue).union(spelled.select(residue)).distinct()
     seen = docs.select(F.explode(_words(F.col("text").cast("string"))).alias("term")).select("term", residue)
-    seen = seen.join(F.broadcast(possible), "r", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    n = F.lit(float(total))
-    share = F.log(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
-    scored = pairs.join(seen, "term").filter(F.col("n_entity") < n).withColumn("share", share).filter(F.col("share") >= generalise)
-    return scored.select("entity", "term", "share", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")).alias("action"))
+    seen = stored(seen.join(F.broadcast(possible), "r", "left_semi").groupBy("term").agg(F.count("*").alias("n_term")), "seen")
+
+    def share(both: Column, n_term: Column) -> Column:
+        return F.log((both + prior * p) / (n_term + prior) / p) / F.log(1 / p)
+
+    rare = words.join(seen.filter(F.col("n_term") <= limit), "term")
+    pairs = stored(rare.join(near, ["k1", "k2"]).filter(F.col("n_term") <= F.col("most")).drop("most"), "pairs")
+    both = pairs.groupBy("entity", "term", "n_term", "n_entity").agg(F.sum("n").alias("n_both"), F.countDistinct("version").alias("v"))
+    both = both.withColumn("share", share(F.col("n_both") * (F.col("v") - 1) / F.col("v"), F.col("n_term") - F.col("n_both") / F.col("v")))
+    found = pairs.select("k1", "k2", "entity", "term").join(both.filter(F.col("share") >= generalise).select("entity", "term", "share"), ["entity", "term"])
+    named = spelled.join(seen, "term").withColumn("share", share(F.col("n_entity"), F.col("n_term"))).filter(F.col("share") >= generalise)
+    named = held.select("k1", "k2", "entity").join(named.select("entity", "term", "share"), "entity")
+    told = found.select("k1", "k2", "term", "share").union(named.select("k1", "k2", "term", "share")).groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
+    return told.withColumn("action", F.when(F.col("share") >= remove, F.lit("remove")).otherwise(F.lit("generalise")))
 
 
 def _revealed(docs: DataFrame, **options) -> DataFrame:
-    """(k1, k2, removed, generalised): the words to treat in each document that has any."""
+    """(k1, k2, removed, terms): the words to treat in each document that has any."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = rows.select(*_keys(), "text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
-    hits = stored(found, "hits")
-    told = stored(disclosures(rows, hits, **options), "disclosures")
-    held = hits.select("k1", "k2", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
+    hits = stored(found.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("n")), "hits")
     return (
-        held.join(told, "entity")
+        disclosures(rows, hits, **options)
         .groupBy("k1", "k2")
         .agg(F.sort_array(F.collect_set(F.when(F.col("action") == "remove", F.col("term")))).alias("removed"), F.sort_array(F.collect_set("term")).alias("terms"))
     )
 
 
-def _term_spans(text: Column, terms: Column) -> Column:
-    """Whole-word occurrences of ``terms`` (letters and digits only), any case; none for a null."""
+def _term_spans(text: Column, terms: Column, base: Column) -> Column:
+    """Whole-word occurrences of ``terms`` (letters and digits only), any case, outside the spans ``base``; none for a null."""
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    rows = F.transform(_placed(text, pattern), lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    outside = F.filter(_placed(text, pattern), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    rows = F.transform(outside, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     return F.when(F.size(terms) > 0, rows).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -197,7 +232,7 @@ def find_personal_data(docs: DataFrame, **options) -> DataFrame:
         _joined(F.col("b")).alias("base"),
     )
     texts = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(*_keys(), "text")
-    extra = texts.join(revealed, ["k1", "k2"]).select("k1", "k2", _joined(_term_spans(F.col("text"), F.col("terms"))).alias("extra")).distinct()
+    extra = texts.join(revealed, ["k1", "k2"]).select("k1", "k2", _joined(_term_spans(F.col("text"), F.col("terms"), base_spans(F.col("text")))).alias("extra")).distinct()
     return base.join(extra, ["k1", "k2"], "left").select(
         "doc_id",
         *[f"n_{k}" for k in KINDS],
@@ -219,7 +254,7 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
     def replaced(text: Column) -> Column:
         base = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("label")))
         extra = F.transform(
-            _term_spans(text, F.col(terms)),
+            _term_spans(text, F.col(terms), base_spans(text)),
             lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(F.array_contains(removed, F.lower(s["value"])), F.lit("")).otherwise(F.lit("[TERM]")).alias("label")),
         )
 

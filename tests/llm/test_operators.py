@@ -167,6 +167,21 @@ def test_words_that_reveal(spark):
     assert not any("term" in r["spans"] for r in find_personal_data(frame(spark, copies)).collect())
 
 
+def test_words_that_reveal_rare_values(spark):
+    # A value of one document spells a name that stands far off; two documents of one value share a far word; two values of a domain share another.
+    rows = [(1, f"Quisling {prose(1, 60)} anna.quisling@mail.org {prose(2, 60)}")]
+    rows += [(10 + i, f"Projekt Zephyr {prose(10 + i, 60)} +44 20 7946 0958 {prose(20 + i, 60)}") for i in range(2)]
+    rows += [(20 + i, f"{prose(30 + i, 60)} u{i}@rare-host.net {prose(40 + i, 60)} Umbrella") for i in range(3)]
+    rows += [(100 + i, f"{'projekt' if i % 2 else 'other'} {prose(200 + i, 30)}") for i in range(400)]
+    found = {r["doc_id"]: r["spans"] for r in find_personal_data(frame(spark, rows)).collect()}
+    assert "term:0:8" in found[1] and all("term:8:14" in found[10 + i] and "term:0:7" not in found[10 + i] for i in range(2))
+    assert all(f"term:{len(rows[3 + i][1]) - 8}:{len(rows[3 + i][1])}" in found[20 + i] for i in range(3))
+    assert not any(found[100 + i] for i in range(400))
+    # Words that one document alone holds are not evidence; neither are those of its near copies.
+    near = [(1, f"Quisling {prose(1, 60)} +44 20 7946 0958 {prose(2, 60)}"), (2, f"Quisling {prose(1, 60)} +44 20 7946 0958 {prose(2, 60)} more words")]
+    assert not any("term" in r["spans"] for r in find_personal_data(frame(spark, near + rows[6:])).collect())
+
+
 def test_decontamination(spark):
     items = [(i, prose(1000 + i, 12 + 9 * i)) for i in range(8)] + [(50, None), (51, ""), (52, "two words"), (None, prose(1, 9))]
     rows = [(i, prose(i, 400) + " " + (items[i % 8][1] if i % 2 else " ".join(items[i % 8][1].split()[: 6 + i])) + " " + prose(i + 90, 300)) for i in range(24)] + EDGES
