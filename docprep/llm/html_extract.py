@@ -3,14 +3,16 @@
 A page is read into text blocks, each with its path of tags from the root (class names included). Per path,
 text length and punctuation are summed over its blocks and divided by their count; the two ratios are smoothed
 over the paths in page order, multiplied and compared with a threshold drawn from their spread. Paths above it are
-content. Text in elements made for something else (navigation, forms, scripts, notices ...) has no weight. The
-article is the element that holds most content text; all its other blocks, short ones too, belong to it.
+content. Text in elements made for something else (navigation, forms, scripts ...) has no weight. A class, id or role
+that says so only lowers the ratio of the paths below it; the ratio decides whether the element stays, and the
+name counts for nothing on an element that holds half the content text. The article is the element that holds most
+content text; all its other blocks, short ones too, belong to it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from html import unescape
 
 import numpy as np
@@ -26,7 +28,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
-SILENT = frozenset("script style noscript template head title iframe object svg math canvas audio video select textarea datalist button".split())
+SILENT = frozenset("script style noscript template head title iframe object annotation annotation-xml canvas audio video select textarea datalist button".split())
 OTHER = frozenset("nav header footer aside form menu dialog search fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: Elements that a new one of the same group ends.
@@ -34,12 +36,16 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 SCOPES = frozenset("html body table td th ul ol dl div article section main aside nav header footer form".split())
 #: Elements that may hold a whole article.
 ROOTS = frozenset("html body main article section div td center".split())
-#: Words in class names, ids and roles of elements that are no article text.
+#: Words in class names, ids and roles of elements that are often no article text.
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|toolbar|"
     r"cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|respond|replies|reply|disqus|discussion|related|recommend\w*|"
     r"share\w*|sharing|social|widget\w*|pagination|pager|complementary|contentinfo|search|skip|hidden|copyright|legal|disclaimer|outbrain|taboola|form)(?:$|[\s_-])"
 )
+#: Those of them that as often name a part of an article.
+PLAIN = re.compile(r"side|aside|foot|header|notice\w*|alert|overlay|banner|respond|repl(?:y|ies)|discussion|related|recommend\w*|share\w*|sharing|social|search|skip|hidden|copyright|legal|disclaimer|form|nav|login|signup")
+#: What is left of a path's ratio below a name of the two sorts.
+DOUBTFUL, UNLIKELY = 0.5, 0.1
 _SPACE = re.compile(r"\s+")
 _SIGNS = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
@@ -54,13 +60,25 @@ RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "te
 _HIDING = re.compile(r"display\s*:\s*none")
 
 
+Block = tuple[str, bool, tuple[int, ...], str, tuple[tuple[int, float], ...]]
+
+
+def _left_by(names: str) -> float:
+    words = [w for w in re.split(r"[\s_-]+", names) if BOILERPLATE.fullmatch(w)]
+    return DOUBTFUL if all(PLAIN.fullmatch(w) for w in words) else UNLIKELY
+
+
+def _left(suspect: tuple[tuple[int, float], ...], trusted: Set[int]) -> float:
+    return min((k for a, k in suspect if a not in trusted), default=1.0)
+
+
 class _Reader:
-    """Blocks of a page: (path, is other, ancestors, text)."""
+    """Blocks of a page: (path, is other, ancestors, text, (ancestor, penalty) of suspect names)."""
 
     def __init__(self):
-        self.stack: list[tuple[str, str, bool, int]] = []  # tag, step of the path, silent or other, number
+        self.stack: list[tuple[str, str, bool, int, float]] = []  # tag, step of the path, silent or other, number, what a suspect name leaves or 0
         self.silent = 0
-        self.blocks: list[tuple[str, bool, tuple[int, ...], str]] = []
+        self.blocks: list[Block] = []
         self.parts: list[str] = []
         self.count = 0
         self.roots: dict[int, str] = {0: ""}  # elements that may hold a whole article
@@ -77,6 +95,9 @@ class _Reader:
                     self.end(tag)
                 else:
                     attrs = m["attrs"]
+                    # In drawings and formulas a slash ends the element.
+                    if attrs.endswith("/") and tag not in ("svg", "math") and any(s[0] in ("svg", "math") for s in self.stack):
+                        continue
                     self.start(tag, attrs)
                     if tag in RAW:
                         close = RAW[tag].search(html, at)
@@ -94,11 +115,11 @@ class _Reader:
         self.parts.clear()
         if text:
             # Inline elements are no part of a block's path.
-            outer = [s for s in self.stack if s[0] in BLOCKS or s[2]]
-            self.blocks.append(("/".join(s[1] for s in outer), any(s[2] for s in outer), (0, *(s[3] for s in outer)), text))
+            outer = [s for s in self.stack if s[0] in BLOCKS or s[2] or s[4]]
+            self.blocks.append(("/".join(s[1] for s in outer), any(s[2] for s in outer), (0, *(s[3] for s in outer)), text, tuple((s[3], s[4]) for s in outer if s[4])))
 
     def pop_to(self, at: int) -> None:
-        if any(s[0] in BLOCKS or s[2] for s in self.stack[at:]):
+        if any(s[0] in BLOCKS or s[2] or s[4] for s in self.stack[at:]):
             self.flush()
         self.silent -= sum(s[0] in SILENT for s in self.stack[at:])
         del self.stack[at:]
@@ -110,22 +131,24 @@ class _Reader:
             self._end_within("p", SCOPES)
         for other in SAME.get(tag, ()):
             self._end_within(other, frozenset(("table",)) if tag[0] == "t" else frozenset(("ul", "ol", "dl", "select")))
-        if tag == "br":
+        if tag in ("br", "text"):
             self.parts.append(" ")
-        if tag in VOID or (tag in ("path", "svg") and attributes.endswith("/")):
+        if tag in VOID or (tag in ("path", "svg", "math") and attributes.endswith("/")):
             return
-        names, step, other = "", tag, tag in OTHER
+        step, other, suspect = tag, tag in OTHER, 0.0
         if attributes and not attributes.isspace():
             found = {k.lower(): unescape(v.strip("\"'")).lower() for k, v in _ATTRIBUTE.findall(attributes)}
             names = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
             step = ".".join((tag, *found.get("class", "").split()))
             other |= "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDING.search(found.get("style", "")))
-            other |= tag not in ("article", "main", "body", "html") and bool(BOILERPLATE.search(names))
-        if other or tag in SILENT:
+            if tag not in ("article", "main", "body", "html") and BOILERPLATE.search(names):
+                suspect = _left_by(names)
+        apart = tag in SILENT and not tag.startswith("annotation")
+        if other or suspect or apart:
             self.flush()
         self.count += 1
         self.silent += tag in SILENT
-        self.stack.append((tag, step, other or tag in SILENT, self.count))
+        self.stack.append((tag, step, other or apart, self.count, suspect))
         if tag in ROOTS or "articlebody" in attributes.lower():
             self.roots[self.count] = tag
 
@@ -150,30 +173,63 @@ class _Reader:
             self.flush()
 
 
-def content_paths(blocks: list[tuple[str, bool, tuple[int, ...], str]], spread: float = 0.5) -> set[str]:
-    """Paths whose smoothed, fused text and punctuation ratio is over the threshold."""
+def content_paths(blocks: list[Block], spread: float = 0.5, trusted: Set[int] | None = None) -> set[str]:
+    """Paths whose smoothed, fused text and punctuation ratio is over the threshold.
+
+    Text below an element with a suspect name counts by what the name leaves of it, unless the element is among
+    ``trusted``; with None names do not count.
+    """
     order: dict[str, int] = {}
     for b in blocks:
         order.setdefault(b[0], len(order))
-    length, signs, count = (np.zeros(len(order)) for _ in range(3))
+    length, signs, count, named = (np.zeros(len(order)) for _ in range(4))
     other = np.zeros(len(order), bool)
-    for path, aside, _, text in blocks:
+    for path, aside, _, text, suspect in blocks:
         k = order[path]
         length[k] += len(text)
         signs[k] += len(_SIGNS.findall(text))
         count[k] += 1
         other[k] |= aside
+        named[k] += len(text) * (1 - _left(suspect, trusted)) if suspect and trusted is not None else 0
     kernel = np.array([0.05, 0.9, 0.05])
 
     def smooth(x: np.ndarray) -> np.ndarray:
         return np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
 
-    fused = smooth(length / count) * (1 + smooth(signs / count)) * np.sqrt(count)
+    fused = smooth(length / count) * (1 + smooth(signs / count)) * np.sqrt(count) * (1 - named / length)
     fused[other] = 0
     limit = min(spread * fused.std(), fused.max())
     return {p for p, k in order.items() if fused[k] >= limit and fused[k] > 0}
 
 
+def _amounts(blocks: list[Block], good: set[str]) -> tuple[int, dict[int, int], dict[int, int]]:
+    """Content text of the page, and content text and all text of each element with a suspect name."""
+    total, held, whole = 0, {}, {}
+    for path, other, _, text, suspect in blocks:
+        content = len(text) if path in good and not other else 0
+        total += content
+        for a, _ in suspect:
+            held[a] = held.get(a, 0) + content
+            whole[a] = whole.get(a, 0) + len(text)
+    return total, held, whole
+
+
+def _beside(blocks: list[Block], roots: dict[int, str]) -> tuple[int, dict[int, int]]:
+    """Text of all article elements, and for each element with a suspect name what of it stands in it or around it."""
+    total, of, own, outer = 0, {}, {}, {}
+    for _, other, ancestors, text, suspect in blocks:
+        top = next((a for a in ancestors if roots.get(a) in ("article", "main")), None)
+        if top is None or other:
+            continue
+        total += len(text)
+        of[top] = of.get(top, 0) + len(text)
+        for a, _ in suspect:
+            own[a] = own.get(a, 0) + len(text)
+            if top < a:
+                outer[a] = top
+    return total, {a: of[outer[a]] if a in outer else n for a, n in own.items()}
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, one a line; empty when there is none."""
     reader = _Reader()
@@ -181,13 +237,22 @@ def main_text(html: str | None) -> str:
     blocks = reader.blocks
     if not blocks:
         return ""
-    good = content_paths(blocks)
-    weight: dict[int, int] = {}
-    for path, other, ancestors, text in blocks:
+    good, trusted = content_paths(blocks), frozenset()
+    if any(b[4] for b in blocks):
+        # What holds half the content text is no side matter, whatever its name, unless an article stands beside it.
+        total, held, _ = _amounts(blocks, good)
+        articles, own = _beside(blocks, reader.roots)
+        trusted = frozenset(a for a, n in held.items() if 2 * n >= total and 4 * (articles - own.get(a, 0)) < n)
+        good = content_paths(blocks, trusted=trusted)
+        _, held, whole = _amounts(blocks, good)
+        dropped = {a for a, n in whole.items() if a not in trusted and 2 * held.get(a, 0) < n}
+        blocks = [b for b in blocks if dropped.isdisjoint(a for a, _ in b[4])]
+    weight: dict[int, float] = {}
+    for path, other, ancestors, text, suspect in blocks:
         if path in good and not other:
             for a in ancestors:
                 if a in reader.roots:
-                    weight[a] = weight.get(a, 0) + len(text)
+                    weight[a] = weight.get(a, 0) + len(text) * _left(suspect, trusted)
     if not weight:
         return ""
     most = max(weight.values())

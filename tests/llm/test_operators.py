@@ -149,6 +149,19 @@ def test_personal_data(spark):
     assert len(got) == len(rows) and find_personal_data(frame(spark, [])).count() == 0
 
 
+def test_html_names_do_not_drop_content():
+    p = [f"<p>Paragraph {i} has words, commas, and a good deal of further text. It goes on; {prose(i, 40)}.</p>" for i in range(8)]
+    text = [q[3:-4] for q in p]
+    for name in ("layout no-sidebar", "page has-header", "search"):
+        for tag in ("div", "article"):
+            assert main_text(f"<body><div class='{name}'><{tag}>{''.join(p)}</{tag}></div></body>").split("\n") == text
+    for mark in ("id='discussion'", "id='related-work'", "class='legal'", "class='side-by-side'"):
+        page = f"<body><nav><a>Home</a></nav><article>{''.join(p[:5])}<section {mark}><h2>Next part</h2>{''.join(p[5:])}</section><div class='share'><a>Send</a></div></article><div class='menu'><a>More</a></div></body>"
+        assert main_text(page).split("\n") == text[:5] + ["Next part"] + text[5:]
+    drawn = f"<article>{''.join(p[:4])}<p>Where <math><mi>x</mi><mo>=</mo><mspace/><mn>1</mn><annotation>x=1</annotation></math> holds.</p><svg><title/><rect/><text>Axis</text><text>Label</text></svg>{''.join(p[4:])}</article>"
+    assert main_text(drawn).split("\n") == text[:4] + ["Where x=1 holds.", "Axis Label"] + text[4:]
+
+
 def test_very_long_runs_of_one_sign(spark):
     rows = [(1, "1" * 200_000), (2, "a" * 200_000 + "@"), (3, "+1" + "(" * 200_000), (4, "1 " * 100_000), (5, "a@" + "b." * 100_000)]
     assert {r["doc_id"]: tuple(r[1:5]) for r in find_personal_data(frame(spark, rows)).collect()} == {1: (0,) * 4, 2: (0,) * 4, 3: (0,) * 4, 4: (0,) * 4, 5: (1, 0, 0, 0)}
