@@ -11,9 +11,12 @@ from docprep.llm.imatch import fingerprints
 from docprep.llm.licenses import scan_licenses
 from docprep.llm.neardup import near_duplicates
 from docprep.llm.packing import pack
+from docprep.llm.periodic import collapse_runs, planted
 from docprep.llm.pii import find_personal_data
 from docprep.llm.quality import classify
 from docprep.llm.spans import drop_repeated_spans
+from docprep.llm.suffix_dedup import drop_repeated_bytes
+from docprep.llm.turn_trie import prefix_tree, rebuilt
 from docprep.llm.urls import judge_urls
 
 
@@ -70,7 +73,36 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_licenses, op3_html, op4_personal_data, op5_near_duplicates, op6_decontamination, op7_urls, op8_repeated_spans, op9_fingerprints, op10_packing)}
+def op11_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_bytes(table(spark, folder, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return collapse_runs(table(spark, folder, "documents"), edit=planted)
+
+
+def op13_prefix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_tree(*rebuilt(table(spark, folder, "conversations")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op2_licenses,
+        op3_html,
+        op4_personal_data,
+        op5_near_duplicates,
+        op6_decontamination,
+        op7_urls,
+        op8_repeated_spans,
+        op9_fingerprints,
+        op10_packing,
+        op11_suffix_dedup,
+        op12_periodic_runs,
+        op13_prefix_tree,
+    )
+}
 
 # Only queries that SQL states exactly and runs in good time over whole tables have a twin here.
 _SHINGLES = r"""
@@ -87,4 +119,56 @@ WITH items AS (
 ), common AS (SELECT doc_id, item_id, count(*) AS n_common FROM have JOIN items USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_item, n_common, n_common / CAST(n_item AS DOUBLE) AS containment
 FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= 75 * n_item""",
+    # Hexadecimal digits stand for bytes; texts are cut into overlapping stretches before their strings are listed.
+    "op11_suffix_dedup": """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), stretches AS (
+  SELECT r, id, b, substr(x, 2 * b + 1, 2 * (256 + 49)) AS x FROM (SELECT r, id, x, unnest(range(0, length(x) // 2, 256)) AS b FROM d)
+), strings AS (
+  SELECT r, id, b + i AS i, substr(x, 2 * i + 1, 100) AS s
+  FROM (SELECT r, id, b, x, unnest(range(0, least(256, length(x) // 2 - 49))) AS i FROM stretches)
+), firsts AS (SELECT s, min(id) AS first FROM strings GROUP BY s HAVING min(id) < max(id)
+), found AS (
+  SELECT r, i, coalesce(i > lag(i) OVER (PARTITION BY r ORDER BY i) + 50, true) AS fresh FROM strings JOIN firsts USING (s) WHERE first < id
+), numbered AS (SELECT r, i, sum(fresh::INT) OVER (PARTITION BY r ORDER BY i) AS k FROM found
+), spans AS (SELECT r, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY r, k
+), pieces AS (
+  SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY k) AS a, a AS b FROM spans
+  UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r
+), kept AS (
+  SELECT r, string_agg(CASE WHEN b IS NULL THEN substr(x, 2 * a + 1) ELSE substr(x, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS x
+  FROM pieces JOIN d USING (r) GROUP BY r
+), totals AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN totals USING (r)""",
+    "op13_prefix_tree": """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+    {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS t
+  FROM conversations WHERE conv_id IS NOT NULL
+), lists AS (SELECT conv_id, list(t ORDER BY k) AS own FROM turns GROUP BY conv_id
+), checks AS (
+  SELECT conv_id, own, xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda sum, c: list_reduce([xor(sum, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT))) % 9 AS h
+  FROM lists
+), conv AS (
+  SELECT c.conv_id AS c, coalesce(d.own[1:h], []) || c.own[h + 1:] AS path
+  FROM checks c LEFT JOIN lists d ON d.conv_id = c.conv_id - ((c.conv_id % 5) + 5) % 5
+), members AS (SELECT c, len(path) AS size, path[1:d] AS node, d FROM (SELECT c, path, unnest(range(0, len(path) + 1)) AS d FROM conv)
+), nodes AS (
+  SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (size = d), '') AS ends
+  FROM members GROUP BY node, d
+), children AS (SELECT node[1:d - 1] AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), own AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * octet_length(encode(node[d].text)) END AS saved
+  FROM nodes LEFT JOIN children USING (node)
+), sums AS (
+  SELECT node[1:up] AS node, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM own) GROUP BY 1
+)
+SELECT own.conv_id, own.d AS depth, p.conv_id AS parent_conv_id, own.n_convs, own.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+  CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(own.ends) AS ends_sha256
+FROM own JOIN sums USING (node) LEFT JOIN nodes p ON own.d > 0 AND p.node = own.node[1:own.d - 1]""",
 }
