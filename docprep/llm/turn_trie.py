@@ -48,7 +48,7 @@ def numbered_turns(conversations: DataFrame) -> DataFrame:
         F.xxhash64(F.lit(7), text, role).alias("k2"),
         F.octet_length(text).cast("long").alias("n_bytes"),
     )
-    out = scan(rows, ["conv_id"], ["turn", "k1", "k2", "n_bytes"], sums={"ordinal": F.lit(1).cast("long")}, along="turn")
+    out = scan(rows, ["conv_id"], ["turn", "k1", "k2", "n_bytes"], sums={"ordinal": F.lit(1).cast("long")})
     return out.select("conv_id", "ordinal", "k1", "k2", "n_bytes")
 
 
