@@ -135,9 +135,7 @@ def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
     follow it. That needs the place of each value, hence the scan.
     """
     rows = stack.filter(F.col("policy") == "alternation").select(*ENTITY_KEY, "rank", "position", "value", "old")
-    placed = scan(
-        rows, ENTITY_KEY, ["rank", "position"], sums={"seq": F.lit(1).cast("bigint")}, major="rank", along="position", **hot
-    )
+    placed = scan(rows, ENTITY_KEY, ["rank", "position"], sums={"seq": F.lit(1).cast("bigint")}, **hot)
     counts = rows.groupBy(*ENTITY_KEY).agg(F.count(F.lit(1)).alias("n"))
     # Each round drops two characters, so the text length bounds the rounds.
     rounds = F.least(F.col("n") - F.greatest(F.col("seq") - 1, F.lit(1)), F.length("piece").cast("bigint") + 1)
@@ -224,8 +222,6 @@ def _conflicts(stack: DataFrame, **hot) -> DataFrame:
         ENTITY_KEY,
         ["rank", "position"],
         lags={"prev": F.struct("preset", "value")},
-        major="rank",
-        along="position",
         **hot,
     )
     return stepped.filter(F.col("prev").isNotNull() & ~F.col("prev.value").eqNullSafe(F.col("value"))).select(

@@ -262,15 +262,11 @@ def split_flow(lines: DataFrame, max_bytes: int, on_breaks: bool = True, opens:
         rows,
         ["doc_id"],
         ["position"],
-        sums={"_cum": F.col("_size"), "segment": F.col("_opens").cast("bigint")},
+        sums={"segment": F.col("_opens").cast("bigint")},
+        since={"_within": (F.col("_size"), F.col("_opens"))},
         **hot,
     )
-    within = F.col("_cum")
-    if on_breaks:
-        base = F.when(F.col("_opens"), F.col("_cum") - F.col("_size"))
-        counted = scan(counted, ["doc_id"], ["position"], lasts={"_base": base}, **hot)
-        within = F.col("_cum") - F.coalesce("_base", F.lit(0))
-    chunk = F.floor((within - 1) / max_bytes).cast("bigint") if max_bytes > 0 else F.lit(0).cast("bigint")
+    chunk = F.floor((F.col("_within") - 1) / max_bytes).cast("bigint") if max_bytes > 0 else F.lit(0).cast("bigint")
     return counted.withColumn("chunk", chunk).select(*lines.columns, "segment", "chunk")
 
 
