@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docprep.operators.runs import run_states
-from docprep.streaming import clean_stream, line_feed, run_to_end, stream_lines, warning_rollup
+from docprep.streaming import clean_stream, line_feed, run_to_end, stream_latest, stream_lines, stream_sessions, stream_states, warning_rollup
+from docprep.workloads.runs import SQL as RUNS
 from docprep.workloads.tables import table
 
 
@@ -40,7 +40,8 @@ def rollup(spark, sf):
     return out.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "kind", "lines", "warnings")
 
 
-def states(spark, sf):
+def _run_events(spark, sf):
+    """Events of each user as timed run events."""
     kind = F.col("event_type")
     event = (
         F.when(kind == "signup", "start")
@@ -49,10 +50,25 @@ def states(spark, sf):
         .when(kind == "click", "cancel")
         .otherwise("line")
     )
-    events = _stream(spark, sf, "events").select(
-        F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("at"), event.alias("event")
+    return _stream(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("run_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("at"), event.alias("event")
     )
-    return run_to_end(run_states(events), "states", "update", F.col("run_id"))
+
+
+def states(spark, sf):
+    return run_to_end(stream_states(_run_events(spark, sf), "10 minutes", "30 days"), "states", "update", F.col("run_id"))
+
+
+def sessions(spark, sf):
+    """Ended runs up to the last watermark, as an appending stream gives them."""
+    return run_to_end(stream_sessions(_run_events(spark, sf).withColumnRenamed("run_id", "entity_id"), "10 minutes"), "sessions")
+
+
+def latest(spark, sf):
+    kind = F.col("event_type")
+    state = F.when(kind == "error", "error").when(kind == "click", "cancelled").otherwise("result")
+    runs = _stream(spark, sf, "events").select(F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), state.alias("state"), "value")
+    return run_to_end(stream_latest(runs), "latest", "update", F.col("entity_id"))
 
 
 def cleaned(spark, sf):
@@ -84,6 +100,10 @@ WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS at_, CASE eve
   FROM ev LEFT JOIN ends ON ends.run_id = ev.run_id GROUP BY ev.run_id)
 SELECT run_id, CASE WHEN e IS NULL AND cancels > 0 THEN 'cancelling' WHEN e IS NULL THEN 'running' WHEN before > 0 THEN 'cancelled' ELSE what END AS state,
   s AS started, e AS ended, greatest(starts - 1, 0) AS refused FROM g""",
+    "stream_sessions": f"""
+SELECT entity_id, state, started, ended, refused FROM ({RUNS["run_sessions"]}) JOIN events ON event_id = ended
+WHERE epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
+    "stream_latest": RUNS["latest_result"],
     "stream_cleaned": rf"""
 SELECT doc_id, md5(rtrim(regexp_replace(regexp_replace(regexp_replace(
   replace(regexp_replace(replace(regexp_replace(replace(replace(replace(regexp_replace(t, '([{_LETTER}])-' || chr(10) || '([{_SMALL}])', '\1\2', 'g'),
@@ -92,4 +112,11 @@ SELECT doc_id, md5(rtrim(regexp_replace(regexp_replace(regexp_replace(
   chr(10) || '([ \t]*' || chr(10) || ')+', chr(10), 'g'), ' ' || chr(9) || chr(10) || chr(13))) AS digest
 FROM (SELECT doc_id, replace(replace(text, 'in', 'i-' || chr(10) || 'n'), ' of ', ' ''of'' -- ') AS t FROM documents)""",
 }
-QUERIES = {"stream_feed": feed, "stream_rollup": rollup, "stream_states": states, "stream_cleaned": cleaned}
+QUERIES = {
+    "stream_feed": feed,
+    "stream_rollup": rollup,
+    "stream_states": states,
+    "stream_sessions": sessions,
+    "stream_latest": latest,
+    "stream_cleaned": cleaned,
+}
