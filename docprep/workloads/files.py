@@ -153,7 +153,41 @@ def catalogue_options(spark, sf):
 
 
 def catalogue_problems(spark, sf):
-    return catalogue.read_catalogue(spark, _stored_catalogue(spark, sf), multi_line=False).problems
+    return catalogue.read_catalogue(spark, _stored_catalogue(spark, sf), multi_line=False).problems.select("item", "problem")
+
+
+def _faulty_catalogue(spark, sf):
+    """One catalogue a line of two options and a category, each tenth of the parts with a fault of its own."""
+    k = F.col("p_partkey").cast("string")
+    fault = F.col("p_partkey") % 10
+
+    def option(name, more=""):
+        head = F.concat(F.lit(f'{{"id": "{name}'), k, F.lit('", "cli": "--x", "value_type": "integer", "description": 7, "category": "c"'))
+        return F.concat(head, more if not isinstance(more, str) else F.lit(more), F.lit("}"))
+
+    more = F.when(fault == 3, ', "depends_on": "--y", "aliases": ["-z", 2]').when(fault == 4, ', "domain": [1]').otherwise(
+        ', "domain": {"kind": "range", "min": 1}, "repeatable": 1, "hidden": ""'
+    )
+    stray = F.when(fault == 1, "5, ").when(fault == 6, '"word", ').when(fault == 7, '[{"id": "in"}], ').otherwise("")
+    options = F.concat(F.lit("["), option("a"), F.lit(", "), stray, option("b", more), F.when(fault == 8, F.concat(F.lit(", "), option("a"))).otherwise(""), F.lit("]"))
+    version = F.when(fault == 5, "").otherwise('"version": "3", ')
+    categories = F.when(fault == 2, '{"id": "c", "label": "C"}').otherwise('[{"id": "c", "label": "C"}]')
+    text = F.concat(F.lit("{"), version, F.lit('"categories": '), categories, F.lit(', "options": '), F.when(fault == 9, "7").otherwise(options), F.lit("}"))
+    path = scratch_path(spark, "faulty-catalogue")
+    cut = F.when(fault == 0, F.substring(text, F.lit(1), F.length(text) - 3)).otherwise(text)
+    table(spark, sf, "part").select(cut.alias("value")).write.text(path)
+    return path
+
+
+def catalogue_quarantine(spark, sf):
+    """What is wrong with catalogues a reader must not give up on."""
+    return catalogue.read_catalogue(spark, _faulty_catalogue(spark, sf), multi_line=False).problems.select("item", "problem")
+
+
+def catalogue_sound_rest(spark, sf):
+    """The options that stay beside the faults."""
+    found = catalogue.read_catalogue(spark, _faulty_catalogue(spark, sf), multi_line=False).options
+    return found.select("position", "id", "description", F.col("domain.min").alias("least"), F.size("depends_on").alias("needs"), F.array_join("aliases", ",").alias("aliases"), "repeatable", "hidden")
 
 
 def _stored_packages(spark, sf):
@@ -252,6 +286,19 @@ SQL = {
     ELSE '' END AS depends_on, '-a' || p_partkey AS aliases, false AS repeatable, false AS hidden FROM part""",
     "catalogue_problems": """SELECT 'opt-' || p_partkey AS item, 'option lacks a required field' AS problem FROM part WHERE p_size % 6 = 4
   UNION ALL SELECT 'opt-' || p_partkey, 'unknown category' FROM part WHERE p_size % 6 IN (1, 2) AND p_size > 40""",
+    "catalogue_quarantine": """WITH p AS (SELECT p_partkey AS k, p_partkey % 10 AS f FROM part)
+  SELECT CAST(NULL AS VARCHAR) AS item, CASE f WHEN 0 THEN 'not readable as JSON' WHEN 2 THEN 'categories is not a list' WHEN 5 THEN 'version is missing or no number'
+    ELSE 'options is not a list' END AS problem FROM p WHERE f IN (0, 2, 5, 9)
+  UNION ALL SELECT CASE f WHEN 1 THEN '5' WHEN 6 THEN '"word"' ELSE '[{"id":"in"}]' END, 'option is not an object' FROM p WHERE f IN (1, 6, 7)
+  UNION ALL SELECT n || k, 'unknown category' FROM p, (VALUES ('a'), ('b')) t(n) WHERE f = 2
+  UNION ALL SELECT 'b' || k, CASE f WHEN 3 THEN 'depends_on is not a list' ELSE 'domain is not an object' END FROM p WHERE f IN (3, 4)
+  UNION ALL SELECT 'a' || k, 'duplicate option id' FROM p WHERE f = 8""",
+    "catalogue_sound_rest": """WITH p AS (SELECT p_partkey AS k, p_partkey % 10 AS f FROM part)
+  SELECT CAST(0 AS BIGINT) AS position, 'a' || k AS id, '7' AS description, CAST(NULL AS DOUBLE) AS least, 0 AS needs, '' AS aliases, false AS repeatable, false AS hidden
+  FROM p WHERE f NOT IN (0, 9)
+  UNION ALL SELECT CASE WHEN f IN (1, 6, 7) THEN 2 ELSE 1 END, 'b' || k, '7', CASE WHEN f NOT IN (3, 4) THEN 1.0 END, 0, CASE WHEN f = 3 THEN '-z,2' ELSE '' END,
+    f NOT IN (3, 4), false FROM p WHERE f NOT IN (0, 9)
+  UNION ALL SELECT 2, 'a' || k, '7', NULL, 0, '', false, false FROM p WHERE f = 8""",
     "package_manifest": """SELECT conv_id, turn AS position, 't' || turn AS id, 'text/' || role || turn || '.xhtml' AS href,
   CASE WHEN role = 'assistant' THEN 'image/png' ELSE 'application/xhtml+xml' END AS media_type FROM conversations""",
     "package_spine": "SELECT conv_id, turn AS position, 't' || turn AS idref, CASE WHEN role = 'system' THEN 'no' END AS linear FROM conversations",
@@ -271,6 +318,8 @@ QUERIES = {
     "reserved_names": reserved,
     "catalogue_options": catalogue_options,
     "catalogue_problems": catalogue_problems,
+    "catalogue_quarantine": catalogue_quarantine,
+    "catalogue_sound_rest": catalogue_sound_rest,
     "package_manifest": package_manifest,
     "package_spine": package_spine,
     "raw_documents": raw_documents,

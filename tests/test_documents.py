@@ -113,13 +113,13 @@ def test_sections_and_parts_do_not_depend_on_the_split(spark):
     u = units(spark, 40)
     mark = F.when(F.col("position") % 7 == 3, F.col("text"))
     plain = S.assign_sections(u, mark, split_hot=False)
-    split = S.assign_sections(u, mark, hot_rows=5, blocks=6)
+    split = S.assign_sections(u, mark, hot_rows=5, block_rows=3)
     pairs = lambda df: sorted((r.position, r.section) for r in df.collect())
     assert pairs(plain) == pairs(split)
     lines = u.select("doc_id", "position", F.col("text").alias("line"))
     opens = F.col("position") % 11 == 0
     a = S.split_flow(lines, 20, opens=opens, split_hot=False)
-    b = S.split_flow(lines, 20, opens=opens, hot_rows=5, blocks=6)
+    b = S.split_flow(lines, 20, opens=opens, hot_rows=5, block_rows=3)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert S.split_flow(lines, 0, on_breaks=False).select("segment", "chunk").distinct().count() == 1
 

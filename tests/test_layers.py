@@ -65,7 +65,7 @@ def test_lone_values(spark):
 def test_each_merge_drops_one_pair_of_parentheses(spark):
     steps = [("toc", "p", {"chapter": "(((a)))"}), ("toc", "q", {"chapter": "((b))"}), ("toc", "r", {"chapter": "(a) | ()"})]
     assert resolved(merge_layers(layers(spark, *steps)))["chapter"] == "(a) | b | a"
-    assert resolved(merge_layers(layers(spark, *steps), hot_rows=0, blocks=2))["chapter"] == "(a) | b | a"
+    assert resolved(merge_layers(layers(spark, *steps), hot_rows=0, block_rows=2))["chapter"] == "(a) | b | a"
 
 
 def test_post_rule_without_heuristics(spark):
@@ -109,7 +109,7 @@ def test_conflict_chain_and_existing(spark):
     assert merge_layers(chain("x", "y", "x")).conflicts.count() == 2
     assert merge_layers(chain("x", "y", "y")).conflicts.count() == 1
     assert merge_layers(chain("x"), old(spark, flow_size="z")).conflicts.count() == 0
-    assert merge_layers(chain("x", "y", "x"), hot_rows=0, blocks=4).conflicts.count() == 2
+    assert merge_layers(chain("x", "y", "x"), hot_rows=0, block_rows=2).conflicts.count() == 2
 
 
 def test_layer_order(spark):

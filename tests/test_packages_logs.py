@@ -31,7 +31,7 @@ def test_reads_packages_with_and_without_namespace(spark, tmp_path):
     assert [(n.number, n.label, n.has_previous, n.has_next) for n in nav] == [
         (1, "1. text/chapter1.xhtml", False, True), (2, "2. notes.xhtml", True, False),
     ]
-    assert [n.number for n in P.navigation(resolved, hot_rows=0, blocks=2).filter("package like '%/b/%'").orderBy("number").collect()] == [1, 2]
+    assert [n.number for n in P.navigation(resolved, hot_rows=0, block_rows=2).filter("package like '%/b/%'").orderBy("number").collect()] == [1, 2]
 
 
 def test_problems(spark):

@@ -77,11 +77,49 @@ def test_catalogue(spark, tmp_path):
     got = read_catalogue(spark, str(path))
     first = got.options.orderBy("position").first()
     assert (first.depends_on, first.aliases, first.repeatable, first.hidden) == ([], [], False, False)
-    assert sorted(tuple(r) for r in got.problems.collect()) == [
+    assert sorted(tuple(r) for r in got.problems.select("item", "problem").collect()) == [
         ("a", "duplicate option id"), ("a", "unknown category"), ("c", "option lacks a required field"),
     ]
 
 
+def test_catalogue_faults_give_rows_and_the_rest_stays(spark, tmp_path):
+    option = {"id": "a", "cli": "--a", "value_type": "boolean", "description": "", "category": "g"}
+    whole = {"version": 1, "categories": [{"id": "g", "label": "G"}, {"id": "g", "label": "H"}, None, {"id": "h"}], "options": [option]}
+    files = {
+        "cut.json": json.dumps(whole)[:-5],
+        "blank.json": " \n",
+        "list.json": "[1]",
+        "null.json": "null",
+        "version.json": json.dumps({**whole, "version": "one", "categories": {}}),
+        "none.json": "{}",
+        "stray.json": json.dumps({**whole, "options": [option, 5, None, [option], {**option, "id": "b", "depends_on": "--x", "aliases": {}, "domain": "d"}]}),
+        "kinds.json": json.dumps({"version": "2", "categories": [{"id": 1, "label": 2}], "options": [{**option, "id": 3, "category": 1, "hidden": [0], "notes": {"x": 1}}]}),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    got = read_catalogue(spark, f"{tmp_path}/*.json")
+    found = {}
+    for r in got.problems.collect():
+        found.setdefault(r.path.split("/")[-1], []).append((r.item, r.problem))
+    categories = [("null", "category is not an object"), ("g", "duplicate category id"), ("h", "category lacks a required field")]
+    assert {k: sorted(v, key=str) for k, v in found.items()} == {
+        "cut.json": [(None, "not readable as JSON")],
+        "blank.json": [(None, "not readable as JSON")],
+        "list.json": [(None, "not an object")],
+        "null.json": [(None, "not an object")],
+        "none.json": [(None, "version is missing or no number")],
+        "version.json": sorted([(None, "version is missing or no number"), (None, "categories is not a list"), ("a", "unknown category")], key=str),
+        "stray.json": sorted(
+            [*categories, ("5", "option is not an object"), ("null", "option is not an object"), (json.dumps([option], separators=(",", ":"), sort_keys=True), "option is not an object")]
+            + [("b", p) for p in ("depends_on is not a list", "aliases is not a list", "domain is not an object")],
+            key=str,
+        ),
+    }
+    assert sorted(r.id for r in got.options.collect()) == ["3", "a", "a", "b"]
+    three = got.options.filter("id = '3'").first()
+    assert (three.category, three.hidden, three.repeatable, three.notes) == ("1", True, False, '{"x":1}')
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "d" / "e").mkdir(parents=True)
     (tmp_path / "d" / "a.txt").write_bytes("né\n".encode("latin-1"))
@@ -130,7 +168,7 @@ def test_sessions_do_not_depend_on_the_split(spark):
     df = events(spark, *steps).withColumnRenamed("run_id", "entity_id")
     got = [(r.state, r.started, r.ended, r.refused) for r in R.run_sessions(df).orderBy("session").collect()]
     assert got == [("cancelled", 1, 4, 1), ("error", 6, 7, 0), ("cancelling", 8, None, 0)]
-    split = R.run_sessions(df, hot_rows=1, blocks=3)
+    split = R.run_sessions(df, hot_rows=1, block_rows=2)
     assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, R.run_sessions(df).collect()), key=repr)
 
 
@@ -144,7 +182,7 @@ def test_unique_titles(spark):
     titles = ["X", "X", "X (2)", "X", "X (2)", "X (4)", "Y", "X"]
     df = spark.createDataFrame(list(enumerate(titles)), "id BIGINT, title STRING")
     expect = ["X", "X (3)", "X (2)", "X (5)", "X (2) (2)", "X (4)", "Y", "X (6)"]
-    for hot in ({}, {"hot_rows": 1, "blocks": 3}):
+    for hot in ({}, {"hot_rows": 1, "block_rows": 2}):
         got = [r.unique_title for r in R.unique_titles(df, **hot).orderBy("id").collect()]
         assert got == expect
 
