@@ -43,7 +43,7 @@ from docprep.session import scratch_path
 LENGTH = 50
 MODULUS, COVER = 12, (0, 1, 3, 7)
 #: Bytes of text in a block, and names in a range.
-BLOCK_BYTES, RANGE_NAMES = 4 << 20, 2 << 20
+BLOCK_BYTES, RANGE_NAMES = 2 << 20, 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
