@@ -141,14 +141,31 @@ def relative_path(path: Column, root: Column) -> Column:
     )
 
 
+#: Scheme and authority that begin a path, such as ``s3a://bucket`` or ``hdfs://host:8020``; a path of one letter is a folder.
+_ROOT = r"^([A-Za-z][A-Za-z0-9+.\-]+:(?://[^/]*)?)"
+
+
+def plain_path(path: Column, encoded: bool = False) -> Column:
+    """One form for the paths of a reader: local files as ``/folder/file``, all others with scheme and authority.
+
+    ``encoded``: the path is a URI, as ``_metadata.file_path`` gives it, with blanks and percent signs written as percent
+    signs and digits; as ``path`` of the binary reader gives it, it is plain already.
+    """
+    if encoded:  # a plus sign is itself in a path, so it must not be read as a blank
+        path = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
 def resolve_path(base: Column, href: Column) -> Column:
-    """``href`` seen from folder ``base``, with "." and ".." steps worked out."""
-    full = F.when(F.startswith(href, F.lit("/")) | (base == ""), href).otherwise(F.concat_ws("/", base, href))
+    """``href`` seen from folder ``base``, with "." and ".." steps worked out.
+
+    Scheme and authority of the base stay in front, and no step climbs above them; an ``href`` with a scheme of its own stands for
+    itself, one that begins with "/" is seen from the authority.
+    """
 
     def walk(path: Column) -> Column:
-        steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
         kept = F.aggregate(
-            steps,
+            F.filter(F.split(path, "/"), lambda s: (s != "") & (s != ".")),
             F.array().cast("array<string>"),
             lambda acc, s: F.when(
                 s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
@@ -173,4 +190,14 @@ def resolve_path(base: Column, href: Column) -> Column:
     def plain(path: Column) -> Column:
         return F.when(path.rlike(r"(^|/)\.{1,2}(/|$)|//|/$"), tidy(path)).otherwise(path)
 
-    return once(full, plain)
+    root = F.regexp_extract(base, _ROOT, 1)
+    local = F.when(F.startswith(href, F.lit("/")) | (base == ""), href).otherwise(F.concat_ws("/", base, href))
+    # Without a scheme nothing has to be taken apart.
+    inside = F.when(F.startswith(href, F.lit("/")), href).otherwise(
+        F.concat(F.substring(base, F.length(root) + 1, F.length(base)), F.lit("/"), href)
+    )
+    return (
+        F.when(href.rlike(_ROOT), href)
+        .when(root == "", once(local, plain))
+        .otherwise(F.concat(root, once(inside, plain)))
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docprep.operators import packages as P
 from docprep.operators import runs as R
 from docprep.session import scratch_path
 from docprep.sources import catalogue, configs, files, packages
@@ -226,6 +227,52 @@ def package_spine(spark, sf):
     return spine.select(_conv("package"), "position", "idref", "linear")
 
 
+def _library(spark, sf):
+    """A folder of package files and one of chapter files, a seventh of the packages each with a fault of its own.
+
+    Folder names hold blanks, a plus and a percent sign. Returns the folders' patterns.
+    """
+    root = scratch_path(spark, "library")
+    convs = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
+    name = F.concat(F.col("conv_id").cast("string"), F.lit(" 50% + é"))
+    convs.select(name.alias("c"), F.concat(F.lit("chapter "), "conv_id").alias("value")).repartition("c").write.partitionBy("c").text(f"{root}/text")
+    text = files.read_chapters(spark, f"{root}/text/*/*")
+    # The chapter's own file name, which its writer chose, seen from the package's folder.
+    where = text.select(F.regexp_extract("text", "chapter ([0-9]+)", 1).cast("bigint").alias("conv_id"), F.concat(F.lit("../../text/"), F.substring_index("path", "/", -2)).alias("href"))
+    fault = F.col("conv_id") % 8
+    href = F.when(fault == 4, F.concat("href", F.lit(".gone"))).otherwise(F.col("href"))
+    item = F.concat(
+        F.lit('<item id="a" href="'), href, F.lit('"'), F.when(fault == 7, "").otherwise(' media-type="application/xhtml+xml"'),
+        F.lit('/><item id="b" href="b.png" media-type="image/png"/>'),
+    )
+    ref = F.concat(F.when(fault == 3, '<itemref idref="z"/>').otherwise(""), F.when(fault == 6, "<itemref/>").otherwise(""), F.lit('<itemref idref="b"/><itemref idref="a"/>'))
+    manifest = F.when(fault == 1, "").otherwise(F.concat(F.lit("<manifest>"), item, F.lit("</manifest>")))
+    spine = F.when(fault == 2, "").otherwise(F.concat(F.lit("<spine>"), ref, F.lit("</spine>")))
+    whole = F.concat(F.lit('<?xml version="1.0"?><package xmlns="http://www.idpf.org/2007/opf">'), manifest, spine, F.lit("</package>"))
+    body = F.when(fault == 5, F.when(F.col("turns") % 2 == 0, "<other/>").otherwise(F.substring(whole, F.lit(1), F.length(whole) - 20))).otherwise(whole)
+    convs.join(where, "conv_id").select(name.alias("p"), body.alias("value")).repartition("p").write.partitionBy("p").text(f"{root}/packages")
+    return f"{root}/packages/*/*", f"{root}/text"
+
+
+def library_problems(spark, sf):
+    """Packages and chapters written, read back and checked."""
+    path, text = _library(spark, sf)
+    manifest, spine = packages.read_packages(spark, path)
+    found = P.package_problems(manifest, spine, packages.package_names(spark, path), files.file_inventory(spark, text), packages.unread_packages(spark, path))
+    number = F.regexp_extract("package", "/p=([0-9]+) 50", 1).cast("bigint").alias("conv_id")
+    detail = F.when(F.col("step") != 6, F.col("detail"))  # a file name holds its writer's mark
+    return found.select(number, F.col("step").cast("bigint").alias("step"), "position", "problem", detail.alias("detail"))
+
+
+def library_chapters(spark, sf):
+    """The text that the first linear page of each package leads to."""
+    path, text = _library(spark, sf)
+    manifest, spine = packages.read_packages(spark, path)
+    first = P.first_chapter(P.resolve_spine(spine, manifest))
+    found = first.join(files.read_chapters(spark, f"{text}/*/*").withColumnRenamed("path", "href"), "href", "left")
+    return found.select(F.regexp_extract("package", "/p=([0-9]+) 50", 1).cast("bigint").alias("conv_id"), "position", F.btrim("text", F.lit("\n")).alias("text"))
+
+
 def _stored_texts(spark, sf):
     path = scratch_path(spark, "texts")
     table(spark, sf, "benchmark").select("item_id", F.col("text").alias("value")).repartition("item_id").write.partitionBy(
@@ -302,6 +349,19 @@ SQL = {
     "package_manifest": """SELECT conv_id, turn AS position, 't' || turn AS id, 'text/' || role || turn || '.xhtml' AS href,
   CASE WHEN role = 'assistant' THEN 'image/png' ELSE 'application/xhtml+xml' END AS media_type FROM conversations""",
     "package_spine": "SELECT conv_id, turn AS position, 't' || turn AS idref, CASE WHEN role = 'system' THEN 'no' END AS linear FROM conversations",
+    "library_problems": """WITH c AS (SELECT conv_id, count(*) AS turns, conv_id % 8 AS f FROM conversations GROUP BY conv_id)
+  SELECT conv_id, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS position, CASE WHEN turns % 2 = 0 THEN 'no package element' ELSE 'not well-formed' END AS problem,
+    CAST(NULL AS VARCHAR) AS detail FROM c WHERE f = 5
+  UNION ALL SELECT conv_id, 1, NULL, 'no manifest', NULL FROM c WHERE f = 1
+  UNION ALL SELECT conv_id, 2, 0, 'incomplete item', 'a' FROM c WHERE f = 7
+  UNION ALL SELECT conv_id, 3, NULL, 'no spine', NULL FROM c WHERE f = 2
+  UNION ALL SELECT conv_id, 4, 0, 'itemref without idref', NULL FROM c WHERE f = 6
+  UNION ALL SELECT conv_id, 5, 0, 'dangling idref', 'z' FROM c WHERE f = 3
+  UNION ALL SELECT conv_id, 5, n, 'dangling idref', ['b', 'a'][n + 1] FROM c, (VALUES (0), (1)) t(n) WHERE f = 1
+  UNION ALL SELECT conv_id, 6, 1, 'missing file', NULL FROM c WHERE f = 4
+  UNION ALL SELECT conv_id, 7, NULL, 'no linear html', NULL FROM c WHERE f IN (1, 7)""",
+    "library_chapters": """SELECT DISTINCT conv_id, CAST(CASE WHEN conv_id % 8 IN (3, 6) THEN 2 ELSE 1 END AS BIGINT) AS position,
+    CASE WHEN conv_id % 8 <> 4 THEN 'chapter ' || conv_id END AS text FROM conversations WHERE conv_id % 8 NOT IN (1, 2, 5, 7)""",
     "raw_documents": """SELECT item_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS length, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS chars FROM benchmark""",
     "chapters": "SELECT item_id, md5(text || chr(10)) AS digest FROM benchmark",
     "folder_sizes": "SELECT item_id, CAST(1 AS BIGINT) AS files, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes FROM benchmark",
@@ -322,6 +382,8 @@ QUERIES = {
     "catalogue_sound_rest": catalogue_sound_rest,
     "package_manifest": package_manifest,
     "package_spine": package_spine,
+    "library_problems": library_problems,
+    "library_chapters": library_chapters,
     "raw_documents": raw_documents,
     "chapters": chapters,
     "folder_sizes": folder_sizes,

@@ -1,6 +1,10 @@
+from pyspark.sql import functions as F
+
+from docprep.functions.scalars import plain_path, resolve_path
 from docprep.model import MANIFEST, SPINE
 from docprep.operators import logs as G
 from docprep.operators import packages as P
+from docprep.sources import file_inventory
 from docprep.sources import packages as S
 from tests.test_options import catalogue
 
@@ -50,6 +54,60 @@ def test_problems(spark):
     assert firsts == {"/p/x": "incomplete item", "/p/y": "no linear html", "/p/z": "no manifest"}
 
 
+def test_unread_packages_and_odd_folder_names(spark, tmp_path):
+    whole = OPF.format(ns="")
+    files = {
+        "a b": whole,
+        "c%20+é": whole,
+        "cut": whole[:-40],
+        "open": whole.replace("</manifest>", ""),
+        "other": "<other/>",
+        "words": "no markup",
+        "self": "<package/>",
+        "spine": "<package><spine><itemref idref='x'/></spine></package>",
+    }
+    for name, text in files.items():
+        (tmp_path / name / "text").mkdir(parents=True)
+        (tmp_path / name / "content.opf").write_text(text, encoding="utf-8")
+        (tmp_path / name / "text" / "chapter1.xhtml").write_text("<p/>")
+        (tmp_path / name / "notes.xhtml").write_text("<p/>")
+    path = f"{tmp_path}/*/content.opf"
+    manifest, spine = S.read_packages(spark, path)
+    found = P.package_problems(manifest, spine, S.package_names(spark, path), file_inventory(spark, str(tmp_path)), S.unread_packages(spark, path))
+    assert sorted((r.package.removeprefix(f"{tmp_path}/").removesuffix("/content.opf"), r.problem) for r in found.collect()) == [
+        ("cut", "not well-formed"), ("open", "not well-formed"), ("other", "no package element"),
+        ("self", "no manifest"), ("self", "no spine"), ("spine", "dangling idref"), ("spine", "no linear html"), ("spine", "no manifest"),
+        ("words", "not well-formed"),
+    ]
+
+
+def test_paths_of_other_stores(spark):
+    cases = [
+        ("s3a://bucket/lib/a b", "../x/./y.html", "s3a://bucket/lib/x/y.html"),
+        ("s3a://bucket", "../../y.html", "s3a://bucket/y.html"),
+        ("hdfs://host:8020/lib", "/top/y.html", "hdfs://host:8020/top/y.html"),
+        ("hdfs:///lib/a", "b//c/", "hdfs:///lib/a/b/c"),
+        ("/lib/a", "https://host/x/../y", "https://host/x/../y"),
+        ("/lib/a", "../b%20c.html", "/lib/b%20c.html"),
+        ("/lib", "../../../y", "/y"),
+        ("", "text/y", "text/y"),
+    ]
+    df = spark.createDataFrame(cases, "base STRING, href STRING, want STRING")
+    assert [r.got for r in df.select(resolve_path(F.col("base"), F.col("href")).alias("got")).collect()] == [c[2] for c in cases]
+    forms = [("file:/a%20b/c%2520+%C3%A9", "/a b/c%20+é"), ("file:///a/b", "/a/b"), ("s3a://bucket/a%2Fb", "s3a://bucket/a/b"), ("/50% off", "/50% off")]
+    df = spark.createDataFrame(forms, "path STRING, want STRING")
+    assert [r.got for r in df.select(plain_path(F.col("path"), encoded=True).alias("got")).collect()] == [f[1] for f in forms]
+
+
+def test_problem_report_reads_each_source_once(spark, tmp_path):
+    shapes = {"m": MANIFEST, "s": SPINE, "n": "package STRING", "f": "path STRING"}
+    for name, shape in shapes.items():
+        spark.createDataFrame([], shape).write.parquet(str(tmp_path / name))
+    m, s, n, f = (spark.read.parquet(str(tmp_path / name)) for name in shapes)
+    plan = P.package_problems(m, s, n, f)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") <= 5
+
+
 OPTIONS = (
     {"id": "base-font-size", "value_type": "float"},
     {"id": "minimum-line-height", "value_type": "float"},
