@@ -26,13 +26,13 @@ def visible_options(options: DataFrame, category: str | None = None) -> DataFram
     return out.orderBy("cli", "id")
 
 
-def option_names(options: DataFrame) -> DataFrame:
-    """Every flag and alias with its option; on a clash the first in catalogue order."""
+def option_names(options: DataFrame, *more: str) -> DataFrame:
+    """Every flag and alias with its option, and ``more`` columns of it; on a clash the first in catalogue order."""
     names = options.select(
         F.explode(F.concat(F.array("cli"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("flag"),
-        F.struct("position", "id").alias("place"),
+        F.struct("position", "id", *more).alias("place"),
     )
-    return names.groupBy("flag").agg(F.min("place").alias("place")).select("flag", F.col("place.id").alias("id"))
+    return names.groupBy("flag").agg(F.min("place").alias("place")).select("flag", *[F.col(f"place.{c}").alias(c) for c in ("id", *more)])
 
 
 def lookup(assignments: DataFrame, options: DataFrame, by: str = "id") -> DataFrame:
@@ -86,24 +86,23 @@ def dependency_edges(options: DataFrame) -> DataFrame:
 def hide_unsupported(options: DataFrame, supported: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Hide unsupported options and all that depend on them, however far.
 
-    Each round joins only the options found in the round before with the
-    dependency edges, so the work follows the edges, and a cycle ends when
-    nothing new is found. Rounds are written to the checkpoint folder: the plan
+    Reach doubles each round: what depends on something found by a path of 1, then 2, 4, 8 ... steps is found too, so a
+    chain of a thousand takes ten rounds. A round that finds nothing means that no dependency is as far as its
+    paths are long, which also ends cycles. Rounds are written to the checkpoint folder: the plan
     stays short and a lost executor costs one round.
     """
     first = unsupported(options, supported).select("id")
     shown_ids = options.filter(~F.coalesce("hidden", F.lit(False))).select("id")
-    edges = cut_lineage(dependency_edges(options).join(shown_ids, "id", "left_semi"))
+    paths = cut_lineage(dependency_edges(options).join(shown_ids, "id", "left_semi"))
     found = cut_lineage(first)
-    frontier = found
-    while not frontier.isEmpty():
-        frontier = cut_lineage(
-            edges.join(frontier.withColumnRenamed("id", "needs"), "needs", "left_semi")
-            .select("id")
-            .distinct()
-            .join(found, "id", "left_anti")
-        )
-        found = found.unionByName(frontier)
+    while True:
+        new = paths.join(found.withColumnRenamed("id", "needs"), "needs", "left_semi").select("id").distinct()
+        new = cut_lineage(new.join(found, "id", "left_anti"))
+        if new.isEmpty():
+            break
+        found = cut_lineage(found.unionByName(new))
+        onward = paths.select(F.col("id").alias("needs"), F.col("needs").alias("further"))
+        paths = cut_lineage(paths.join(onward, "needs").select("id", F.col("further").alias("needs")).distinct())
     marked = options.join(found.withColumn("_off", F.lit(True)), "id", "left")
     shown = marked.withColumn("hidden", F.coalesce("hidden", F.lit(False)) | F.col("_off").isNotNull())
     hidden = options.join(found, "id", "left_semi").orderBy("cli", "id")
@@ -112,11 +111,10 @@ def hide_unsupported(options: DataFrame, supported: DataFrame | None) -> tuple[D
 
 def missing_dependencies(assignments: DataFrame, options: DataFrame) -> DataFrame:
     """(entity, key, needed flag) for each set option whose dependency is not truthy."""
-    named = option_names(options).select(F.col("flag"), F.col("id").alias("needs"))
+    named = option_names(options, "cli").select("flag", F.col("id").alias("needs"), F.col("cli").alias("missing"))
     needs = (
         options.select(F.col("id").alias("key"), F.explode("depends_on").alias("flag"))
         .join(named, "flag")
-        .join(options.select(F.col("id").alias("needs"), F.col("cli").alias("missing")), "needs")
         .select("key", "needs", "missing")
         .distinct()
     )

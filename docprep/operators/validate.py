@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,16 +41,25 @@ def _issue(test: Column, rule: str, message: Column | str) -> Column:
     return F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(rule).alias("rule"), text.alias("message")))
 
 
-def validate_values(assignments: DataFrame, options: DataFrame) -> DataFrame:
-    """V1-V3, V6: number, range, choice and count rules. One join with the
-    options, then expressions only; a value that is null or empty passes."""
+def valid_pattern(pattern: Column) -> Column:
+    """Whether the engine that runs patterns here (Java's) can compile one; nothing leaves the JVM."""
+    return F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("matches"), pattern, F.lit("")).isNotNull()
+
+
+def _judged(assignments: DataFrame, options: DataFrame) -> DataFrame:
+    """Assignments that are set, with what their option says of them: one join serves all rules."""
     kind, value = F.col("value_type"), F.col("value")
-    rows = (
+    return (
         assignments.filter("value is not null and value <> ''")
-        .join(options.select(F.col("id").alias("key"), "value_type", "domain", "repeatable"), "key")
+        .join(options.select(F.col("id").alias("key"), "value_type", "domain", "repeatable", "depends_on"), "key")
         .withColumn("_digits", F.when(kind.isin("integer", "boolean"), int_text(value)))
         .withColumn("_real", F.when(kind == "float", float_text(value)))
     )
+
+
+def _value_issues(typed: bool) -> list[Column]:
+    """V1-V3, V6 as expressions over the rows of ``_judged``. ``typed``: a ``kind`` column tells texts from truth values."""
+    kind, value = F.col("value_type"), F.col("value")
     ranged = F.col("domain.kind") == "range"
     low = F.when(ranged, F.col("domain.min"))
     high = F.when(ranged, F.col("domain.max"))
@@ -63,7 +68,10 @@ def validate_values(assignments: DataFrame, options: DataFrame) -> DataFrame:
     is_int, is_float = kind == "integer", kind == "float"
     inside = ~F.isnan(real)
     choices = F.col("domain.values")
-    issues = F.array(
+    truth = F.lower(value).isin("true", "false")
+    if typed:  # the text "true" is no count, the truth value is
+        truth = truth & F.coalesce(F.col("kind") == "bool", F.lit(False))
+    return [
         _issue(is_int & digits.isNull(), "integer", "must be a whole number"),
         _issue(is_int & (whole < low), "min", F.concat(F.lit("must be at least "), F.floor(low).cast("string"))),
         _issue(is_int & (whole > high), "max", F.concat(F.lit("must be at most "), F.floor(high).cast("string"))),
@@ -75,15 +83,30 @@ def validate_values(assignments: DataFrame, options: DataFrame) -> DataFrame:
             "choice",
             F.concat(F.lit("must be one of: "), F.array_join(choices, ", ")),
         ),
-        _issue(
-            (kind == "boolean") & F.col("repeatable") & digits.isNull() & ~F.lower(value).isin("true", "false"),
-            "count",
-            "must be a whole number of repeats",
-        ),
-    )
-    return rows.select("entity_id", "key", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("e")).select(
-        "entity_id", "key", "e.rule", "e.message"
-    )
+        _issue((kind == "boolean") & F.col("repeatable") & digits.isNull() & ~truth, "count", "must be a whole number of repeats"),
+    ]
+
+
+def _pattern_issue() -> Column:
+    """V5 over the rows of ``_judged``."""
+    asked = (F.col("value_type") == "string") & (F.col("domain.format") == "regex")
+    return F.when(asked, _issue(~valid_pattern(F.col("value")), "regex", "not a valid pattern"))
+
+
+def _found(rows: DataFrame, issues: list[Column]) -> DataFrame:
+    found = F.filter(F.array(*issues), lambda x: x.isNotNull())
+    return rows.select("entity_id", "key", F.explode(found).alias("e")).select("entity_id", "key", "e.rule", "e.message")
+
+
+def validate_values(assignments: DataFrame, options: DataFrame) -> DataFrame:
+    """V1-V3, V6: number, range, choice and count rules. One join with the
+    options, then expressions only; a value that is null or empty passes."""
+    return _found(_judged(assignments, options), _value_issues("kind" in assignments.columns))
+
+
+def validate_patterns(assignments: DataFrame, options: DataFrame) -> DataFrame:
+    """V5: regular expressions that do not compile where they will run, so by Java's dialect."""
+    return _found(_judged(assignments, options), [_pattern_issue()])
 
 
 def folders(files: DataFrame) -> DataFrame:
@@ -132,55 +155,26 @@ def validate_paths(assignments: DataFrame, options: DataFrame, files: DataFrame)
     )
 
 
-def _compile_each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def fault(pattern: str) -> str | None:
-        try:
-            re.compile(pattern)
-        except re.error as exc:
-            return str(exc)
-        return None
-
-    for batch in batches:
-        yield pd.DataFrame({"value": batch["value"], "fault": batch["value"].map(fault)})
-
-
-def validate_patterns(assignments: DataFrame, options: DataFrame) -> DataFrame:
-    """V5: regular expressions that do not compile, each distinct text tried once.
+def validate(assignments: DataFrame, options: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """V1-V7: all rules. An option whose dependency is missing reports only that, once.
 
-    Python's dialect decides; patterns meant for Spark should keep to the part
-    shared with Java (no possessive quantifiers, no inline comments).
+    All rules are columns of one join with the options; a row whose option has dependencies carries a place
+    for their message as well, so that one more join with what is missing decides which of the two stays.
     """
-    rows = assignments.filter("value is not null and value <> ''").join(
-        options.filter("value_type = 'string' and domain.format = 'regex'").select(F.col("id").alias("key")),
-        "key",
-        "left_semi",
-    )
-    faults = (
-        rows.select("value").distinct().mapInPandas(_compile_each, "value STRING, fault STRING").filter("fault is not null")
-    )
-    return rows.join(faults, "value").select(
-        "entity_id",
-        "key",
-        F.lit("regex").alias("rule"),
-        F.concat(F.lit("not a valid pattern: "), "fault").alias("message"),
-    )
-
-
-def validate(assignments: DataFrame, options: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """V1-V7: all rules. An option whose dependency is missing reports only that."""
-    errors = validate_values(assignments, options).unionByName(validate_patterns(assignments, options))
+    place = F.when(F.size("depends_on") > 0, F.struct(F.lit("dependency").alias("rule"), F.lit(None).cast("string").alias("message")))
+    rows = _judged(assignments, options)
+    errors = _found(rows, [*_value_issues("kind" in assignments.columns), _pattern_issue(), place])
     if files is not None:
         errors = errors.unionByName(validate_paths(assignments, options, files))
-    missing = missing_dependencies(assignments, options)
-    blocked = missing.select("entity_id", "key").distinct()
     needs = (
-        missing.groupBy("entity_id", "key")
-        .agg(F.array_join(F.array_sort(F.collect_set("missing")), ", ").alias("flags"))
-        .select(
-            "entity_id",
-            "key",
-            F.lit("dependency").alias("rule"),
-            F.concat(F.lit("first turn on: "), "flags").alias("message"),
-        )
+        missing_dependencies(assignments, options)
+        .groupBy("entity_id", "key")
+        .agg(F.array_join(F.array_sort(F.collect_set("missing")), ", ").alias("_flags"))
     )
-    return errors.join(blocked, ["entity_id", "key"], "left_anti").unionByName(needs)
+    own = F.col("rule") == "dependency"
+    message = F.when(own, F.concat(F.lit("first turn on: "), "_flags")).otherwise(F.col("message"))
+    said = errors.join(needs, ["entity_id", "key"], "left").filter(F.col("_flags").isNotNull() == own)
+    said = said.select("entity_id", "key", "rule", message.alias("message"))
+    counted = said.groupBy("entity_id", "key", "rule", "message").agg(F.count(F.lit(1)).alias("_n"))
+    many = F.when(own, F.lit(1)).otherwise(F.col("_n").cast("int"))
+    return counted.select("entity_id", "key", "rule", "message", F.explode(F.array_repeat(F.lit(0), many)).alias("_copy")).drop("_copy")

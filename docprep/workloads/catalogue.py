@@ -191,14 +191,20 @@ WITH raw AS (
  SELECT entity_id, key, 'path' AS rule, CASE want WHEN 'any' THEN 'must be an existing path' ELSE 'must be an existing ' || want END AS message
  FROM rows WHERE NOT ((want <> 'directory' AND value IN (SELECT path FROM known)) OR (want <> 'file' AND value IN (SELECT dir FROM known UNION ALL SELECT '/data')))""",
     "validate_patterns": OPTS
-    + """ SELECT a.entity_id, a.key, 'regex' AS rule FROM asg a JOIN opts o ON o.id = a.key WHERE value_type = 'string' AND value = '[a'""",
+    + """ SELECT a.entity_id, a.key, 'regex' AS rule, 'not a valid pattern' AS message FROM asg a JOIN opts o ON o.id = a.key
+  WHERE value_type = 'string' AND value = '[a'""",
     "validate_all": OPTS
     + MISSING
     + VALUES
-    + """ SELECT e.entity_id, e.key, e.rule FROM errors e WHERE NOT EXISTS (SELECT 1 FROM missing m WHERE m.entity_id = e.entity_id AND m.key = e.key)
-  UNION ALL SELECT entity_id, key, 'regex' FROM judged j WHERE value_type = 'string' AND value = '[a'
-    AND NOT EXISTS (SELECT 1 FROM missing m WHERE m.entity_id = j.entity_id AND m.key = j.key)
-  UNION ALL SELECT DISTINCT entity_id, key, 'dependency' FROM missing""",
+    + """, known AS (SELECT DISTINCT '/data/d' || l_suppkey AS dir, '/data/d' || l_suppkey || '/f' || l_partkey AS path FROM lineitem WHERE l_tax > 0.04
+), found AS (
+  SELECT entity_id, key, rule, message FROM errors
+  UNION ALL SELECT entity_id, key, 'regex', 'not a valid pattern' FROM judged WHERE value_type = 'string' AND value = '[a'
+  UNION ALL SELECT entity_id, key, 'path', 'must be an existing ' || want FROM (
+    SELECT *, CASE WHEN p_size < 20 THEN 'file' WHEN p_size < 40 THEN 'directory' ELSE 'path' END AS want FROM judged WHERE value_type = 'path')
+  WHERE NOT ((want <> 'directory' AND value IN (SELECT path FROM known)) OR (want <> 'file' AND value IN (SELECT dir FROM known UNION ALL SELECT '/data')))
+) SELECT entity_id, key, rule, message FROM found f WHERE NOT EXISTS (SELECT 1 FROM missing m WHERE m.entity_id = f.entity_id AND m.key = f.key)
+  UNION ALL SELECT entity_id, key, 'dependency', 'first turn on: ' || string_agg(missing, ', ' ORDER BY missing) FROM missing GROUP BY entity_id, key""",
     "stored_values": OPTS
     + """ SELECT a.entity_id, a.key, CASE WHEN value_type = 'boolean' AND NOT repeatable THEN CASE WHEN value <> '' THEN 'true' END
     WHEN value_type = 'boolean' THEN CASE WHEN lower(value) = 'true' THEN '1'
@@ -325,8 +331,8 @@ QUERIES = {
     ),
     "validate_values": lambda spark, sf: V.validate_values(assignments(spark, sf), options(spark, sf)),
     "validate_paths": lambda spark, sf: V.validate_paths(assignments(spark, sf), options(spark, sf), files(spark, sf)),
-    "validate_patterns": lambda spark, sf: V.validate_patterns(assignments(spark, sf), options(spark, sf)).drop("message"),
-    "validate_all": lambda spark, sf: V.validate(assignments(spark, sf), options(spark, sf)).drop("message"),
+    "validate_patterns": lambda spark, sf: V.validate_patterns(assignments(spark, sf), options(spark, sf)),
+    "validate_all": lambda spark, sf: V.validate(assignments(spark, sf), options(spark, sf), files(spark, sf)),
     "stored_values": stored,
     "truth_tests": truth_tests,
     "target_formats": target_formats,

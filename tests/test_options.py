@@ -163,6 +163,44 @@ def test_patterns_and_blocking(spark):
     assert [(r.rule, r.message) for r in blocked] == [("dependency", "first turn on: --on")]
 
 
+def test_patterns_by_the_engine_that_runs_them(spark):
+    options = catalogue(spark, {"id": "rx", "value_type": "string", "domain": {"format": "regex"}}, {"id": "free", "value_type": "string"})
+    # Named groups of one dialect only, letter classes of the other, and what neither takes.
+    for pattern, fine in (("(?P<n>a)", False), ("(?<n>a)\\k<n>", True), ("\\p{L}++", True), ("a(b", False), ("", True), ("[a&&[^b]]", True), ("*a", False)):
+        found = V.validate_patterns(assigned(spark, rx=pattern, free="a(b"), options)
+        assert [r.rule for r in found.collect()] == ([] if fine else ["regex"]), pattern
+    plan = V.validate(assigned(spark, rx="a"), options)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_validation_reads_each_source_a_few_times(spark, tmp_path):
+    options = catalogue(spark, {"id": "a", "depends_on": ["--b"]}, {"id": "b"})
+    options.write.parquet(str(tmp_path / "options"))
+    assigned(spark, a="1", b="2").write.parquet(str(tmp_path / "assigned"))
+    found = V.validate(spark.read.parquet(str(tmp_path / "assigned")), spark.read.parquet(str(tmp_path / "options")))
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 6
+    repeated = assigned(spark, a="1").unionByName(assigned(spark, a="2")).unionByName(assigned(spark, a="", b=""))
+    assert [tuple(r) for r in V.validate(repeated, options).collect()] == [("e", "a", "dependency", "first turn on: --b")]
+
+
+def test_counts_by_kind(spark):
+    options = catalogue(spark, {"id": "v", "repeatable": True})
+    rows = [("t", "true", "text"), ("b", "true", "bool"), ("n", "3", "number"), ("x", "many", "text")]
+    df = spark.createDataFrame([(e, "v", v, k) for e, v, k in rows], "entity_id STRING, key STRING, value STRING, kind STRING")
+    assert sorted(r.entity_id for r in V.validate_values(df, options).collect()) == ["t", "x"]
+
+
+def test_far_dependencies_in_few_rounds(spark, monkeypatch):
+    n = 300
+    chain = catalogue(spark, *[{"id": f"o{i}", "depends_on": [f"--o{i + 1}"]} for i in range(n)], {"id": f"o{n}"}, {"id": "ring", "depends_on": ["--ring2"]}, {"id": "ring2", "depends_on": ["--ring"]}, {"id": "fine", "depends_on": ["--ring"]})
+    rounds, cut = [], O.cut_lineage
+    monkeypatch.setattr(O, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    supported = flags(spark, *[f"--o{i}" for i in range(n)], "--ring", "--ring2", "--fine")
+    shown, hidden = O.hide_unsupported(chain, supported)
+    assert hidden.count() == n + 1 and sorted(r.id for r in shown.filter("not hidden").collect()) == ["fine", "ring", "ring2"]
+    assert len(rounds) <= 3 * 10 + 3
+
+
 def test_paths(spark):
     options = catalogue(
         spark,
