@@ -65,6 +65,11 @@ def mark_chapters(c: Column, mode: str = "pagebreak", levels: Sequence[int] = (1
     return F.regexp_replace(c, rf"(?i)(<h[{wanted}][\s>])", MARKS[mode] + "$1")
 
 
+#: An attribute with its name as group 1, and an image with all of them; values may be quoted either way, bare or missing.
+ATTRIBUTE = r"""\s+([^\s=>/"']+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+IMAGE = rf"(?i)<img(?:{ATTRIBUTE.replace('([', '(?:[', 1)}|\s*/)*+\s*>"
+
+
 def filter_css(c: Column, properties: Sequence[str]) -> Column:
     """Declarations of the listed properties leave style blocks and attributes; all other text stays."""
     names = "|".join(p.strip().replace("-", r"\-") for p in properties if p.strip())
@@ -107,11 +112,19 @@ def drop_first_image(c: Column) -> Column:
 
 
 def fill_alt(c: Column, title: Column) -> Column:
-    """Images without alternative text get the title."""
+    """Images without an ``alt`` attribute, however their attributes are written, get the title as one.
+
+    Tags are taken out, changed one by one and put back, so nothing else of the page is touched. A null title changes nothing.
+    """
     safe = F.replace(title, F.lit('"'), F.lit("&quot;"))
-    marked = F.regexp_replace(c, r"(?i)(<img)((?:\s+[^\s=>]+=\"[^\"]*\")*\s*/?>)", "$1 alt=\"\u0001\"$2")
-    undone = F.regexp_replace(marked, r"(?i)(<img) alt=\"\u0001\"([^>]*\salt=)", "$1$2")
-    return F.replace(undone, F.lit("\u0001"), safe)
+
+    def filled(tag: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.lower)
+        new = F.concat(F.substring(tag, 1, 4), F.lit(' alt="'), safe, F.lit('"'), F.substring(tag, F.lit(5), F.length(tag)))
+        return F.when(F.array_contains(names, "alt"), tag).otherwise(F.coalesce(new, tag))
+
+    between, images = F.split(c, IMAGE), F.regexp_extract_all(c, F.lit(IMAGE), F.lit(0))
+    return F.array_join(F.zip_with(between, images, lambda t, i: F.concat(t, F.when(i.isNull(), "").otherwise(filled(i)))), "")
 
 
 def title_of(c: Column) -> Column:

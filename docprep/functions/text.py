@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -10,10 +12,6 @@ from pyspark.sql import functions as F
 from docprep.functions.binding import once
 from docprep.functions.predicates import rstrip, truthy
 
-# Latin letters with marks and their plain form, position by position.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOOUUUUYaaaaaaceeeeiiiinoooooouuuuyy"
-
 # Signs that become more than one letter, and typographic signs.
 SPELLED_OUT = (
     ("ß", "ss"),
@@ -25,6 +23,39 @@ SPELLED_OUT = (
     ("—", "---"),
     ("–", "--"),
 )
+# Letters whose name does not tell their plain form, or tells two letters.
+RARE = {"ı": "i", "ȷ": "j", "ð": "d", "Ð": "D", "ẞ": "SS", "þ": "th", "Þ": "TH", "ĸ": "k", "ŋ": "ng", "Ŋ": "NG"}
+# The blocks of Latin letters beyond ASCII (first and last code point).
+LATIN = ((0x00C0, 0x024F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F))
+
+
+def _plain_letters() -> tuple[str, str, dict[str, str]]:
+    """Letters with one plain letter, that letter place by place, and letters with two, by the Unicode data.
+
+    A letter's plain form is what its decomposition holds besides marks; one that does not decompose is named after its plain form
+    ("small letter L with stroke").
+    """
+    marked, plain, spelled = [], [], dict(RARE)
+    done = {sign for sign, _ in SPELLED_OUT} | set(RARE)
+    for first, last in LATIN:
+        for letter in map(chr, range(first, last + 1)):
+            if letter in done:
+                continue
+            base = "".join(c for c in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(c))
+            named = re.fullmatch(r"LATIN (SMALL|CAPITAL) LETTER ([A-Z]|AE|OE)(?: WITH .*)?", unicodedata.name(letter, ""))
+            if not base.isascii() and named:
+                base = named[2].lower() if named[1] == "SMALL" else named[2]
+            if not (base.isascii() and base.isalpha()):
+                continue
+            if len(base) == 1:
+                marked.append(letter)
+                plain.append(base)
+            else:
+                spelled[letter] = base
+    return "".join(marked), "".join(plain), spelled
+
+
+MARKED, PLAIN, SPELLED_RARE = _plain_letters()
 CURLY = "\u2018\u2019\u201c\u201d\u00a0"
 STRAIGHT = "''\"\" "
 
@@ -48,16 +79,31 @@ def _swap(c: Column, pairs: Sequence[tuple[str, str]]) -> Column:
     return c
 
 
-def search_replace(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
-    """Regex rules applied one after another (groups as ``$1``)."""
+def search_replace(c: Column, rules: Sequence[tuple[str, str]] | Column) -> Column:
+    """Regex rules applied one after another (groups as ``$1``).
+
+    ``rules``: pairs, or a column that holds an array of ``(pattern, replacement)`` for its row, as ``with_rules`` adds it; a
+    null array changes nothing.
+    """
+    if isinstance(rules, Column):
+        return F.coalesce(F.aggregate(rules, c, lambda t, r: F.regexp_replace(t, r["pattern"], r["replacement"])), c)
     for pattern, replacement in rules:
         c = F.regexp_replace(c, pattern, replacement)
     return c
 
 
 def asciiize(c: Column) -> Column:
-    """Marked Latin letters and typographic signs as plain ASCII."""
-    return F.translate(_swap(c, SPELLED_OUT), MARKED + CURLY, PLAIN + STRAIGHT)
+    """Latin letters with marks, of all Latin blocks, and typographic signs as plain ASCII.
+
+    Marks written as signs of their own after a plain letter go too. Letters of other scripts stay.
+    """
+    rare = "[" + "".join(SPELLED_RARE) + "\u0300-\u036f]"
+
+    def rarely(t: Column) -> Column:
+        return F.regexp_replace(_swap(t, tuple(SPELLED_RARE.items())), "(?<=[A-Za-z])[\u0300-\u036f]+", "")
+
+    plain = F.translate(_swap(c, SPELLED_OUT), MARKED + CURLY, PLAIN + STRAIGHT)
+    return once(plain, lambda t: F.when(t.rlike(rare), rarely(t)).otherwise(t))
 
 
 def smarten(c: Column) -> Column:

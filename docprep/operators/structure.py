@@ -124,12 +124,17 @@ def toc_limit(toc: DataFrame, n: int) -> DataFrame:
     return toc.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def toc_threshold(toc: DataFrame, n: int) -> DataFrame:
-    """Automatic entries only of documents with fewer than ``n`` chapters; 0 keeps all."""
+def toc_threshold(toc: DataFrame, n: int, chapters: DataFrame | None = None) -> DataFrame:
+    """Automatic entries only of documents with fewer than ``n`` chapters; 0 keeps all.
+
+    ``chapters(doc_id)``: a row for each chapter found; without it the entries themselves are counted. A document without any has
+    fewer than one.
+    """
     if n <= 0:
         return toc
-    few = toc.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < n).select("doc_id")
-    return toc.join(few, "doc_id", "left_semi")
+    counted = toc if chapters is None else chapters
+    many = counted.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n).select("doc_id")
+    return toc.join(many, "doc_id", "left_anti")
 
 
 def anchor(text: Column) -> Column:
@@ -146,20 +151,29 @@ def build_toc(
     pattern: str | None = None,
     max_links: int = 0,
     threshold: int = 0,
+    detected: DataFrame | None = None,
 ) -> DataFrame:
     """Contents table ``(doc_id, position, toc_level, text, target)``.
 
     ``levels`` maps heading level to contents level 1..3. ``chapters`` names
     (doc_id, position) rows to leave out. Unless ``duplicates`` is set the
-    first of entries with equal heading text, case aside, in a document stays.
+    first of entries with equal heading text, case aside, in a document stays. Targets are unique in a document: of headings
+    that would share one, the second gets ``--2`` at its end, the third ``--3``, which no heading gives by itself; they are numbered over all
+    headings, so filters do not change them. ``threshold``: entries only of documents with fewer chapters, which are the rows of
+    ``detected(doc_id)`` or else all headings that have a contents level, before any is left out.
     """
     levels = levels or {1: 1, 2: 1, 3: 2}
     level = F.lit(None).cast("int")
     for source, target in levels.items():
         level = F.when(F.col("level") == source, F.lit(target)).otherwise(level)
     toc = heads.withColumn("toc_level", level).filter("toc_level is not null")
-    toc = toc.withColumn("target", F.coalesce(anchor(F.col("text")), F.concat(F.lit("section-"), "position")))
+    toc = toc.withColumn("_base", F.coalesce(anchor(F.col("text")), F.concat(F.lit("section-"), "position")))
+    # Headings of one page come from one cell.
+    at = F.row_number().over(Window.partitionBy("doc_id", "_base").orderBy("position"))
+    toc = toc.withColumn("_at", at).withColumn("target", F.when(F.col("_at") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("--"), "_at")))
     toc = toc.select("doc_id", "position", "toc_level", "text", "target")
+    if threshold > 0:
+        toc = toc_threshold(toc, threshold, detected)
     if chapters is not None:
         toc = toc.join(chapters.select("doc_id", "position").distinct(), ["doc_id", "position"], "left_anti")
     if pattern is not None:
@@ -170,7 +184,7 @@ def build_toc(
             .agg(F.min(F.struct("position", "toc_level", "text", "target")).alias("f"))
             .select("doc_id", "f.*")
         )
-    return toc_limit(toc_threshold(toc, threshold), max_links)
+    return toc_limit(toc, max_links)
 
 
 def toc_title(toc: DataFrame, title: str) -> DataFrame:
@@ -221,25 +235,27 @@ def repeated_edges(docs: DataFrame, group: str, min_docs: int) -> DataFrame:
 
 
 def strip_repeated_edges(docs: DataFrame, group: str, min_docs: int) -> DataFrame:
-    """Documents without the edge lines their group repeats.
+    """Documents without the edge lines their group repeats; null is a group like any other.
 
-    Repeated lines, not documents, are looked up: one equi-join per side on
-    (group, line); Spark broadcasts the small table of repeats.
+    What goes depends on the group and the two edge lines only, so those, once each and without the
+    text, are looked up among the repeats; texts move once at most, to meet the few that have a hit.
     """
     repeats = repeated_edges(docs, group, min_docs)
-    out = docs.withColumn("_first", F.substring_index("text", "\n", 1)).withColumn("_last", F.substring_index("text", "\n", -1))
-    for side in ("first", "last"):
-        table = repeats.filter(F.col("side") == side).select(
-            group, F.col("line").alias(f"_{side}"), F.lit(True).alias(f"_{side}_hit")
-        )
-        out = out.join(table, [group, f"_{side}"], "left")
+    first, last = F.substring_index("text", "\n", 1), F.substring_index("text", "\n", -1)
+    edges = docs.select(F.col(group).alias("_group"), first.alias("_a"), last.alias("_z")).distinct()
+    for side, line in (("first", "_a"), ("last", "_z")):
+        table = repeats.filter(F.col("side") == side).select(F.col(group).alias("_g"), F.col("line").alias("_line"), F.lit(True).alias(f"_{side}"))
+        found = F.col("_group").eqNullSafe(F.col("_g")) & (F.col(line) == F.col("_line"))
+        edges = edges.join(table, found, "left").drop("_g", "_line")
+    edges = edges.filter("_first or _last")
+    rows = docs.withColumns({"_x": first, "_y": last})
+    met = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_x") == F.col("_a")) & (F.col("_y") == F.col("_z"))
+    out = rows.join(edges, met, "left")
     one_line = ~F.contains("text", F.lit("\n"))
-    from_start = F.when(
-        F.col("_first_hit"), F.substring("text", F.length("_first") + 2, F.length("text"))
-    ).otherwise(F.col("text"))
+    from_start = F.when(F.col("_first"), F.substring("text", F.length("_x") + 2, F.length("text"))).otherwise(F.col("text"))
     cut = F.when(
-        F.col("_last_hit") & ~(one_line & F.col("_first_hit").isNotNull()),
-        F.substring("_mid", F.lit(1), F.greatest(F.length("_mid") - F.length("_last") - 1, F.lit(0))),
+        F.col("_last") & ~(one_line & F.col("_first").isNotNull()),
+        F.substring("_mid", F.lit(1), F.greatest(F.length("_mid") - F.length("_y") - 1, F.lit(0))),
     ).otherwise(F.col("_mid"))
     return out.withColumn("_mid", from_start).withColumn("text", cut).select(*docs.columns)
 

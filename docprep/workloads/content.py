@@ -13,6 +13,7 @@ from docprep.functions import html as H
 from docprep.functions import text as X
 from docprep.operators import extend
 from docprep.plans import page_metadata, prepare_documents
+from docprep.plans.prepare import rule_problems, with_rules
 from docprep.workloads.tables import spread, table
 
 
@@ -215,8 +216,65 @@ def rule_table(c):
     return X.search_replace(c, SHARED_RULES)
 
 
+def _source_rules(spark, sf):
+    """Three rules a source, different for each, and one in some sources that cannot run."""
+    n = F.regexp_extract("entity_id", "([0-9]+)", 1).cast("int")
+    entity = table(spark, sf, "documents").select(F.col("source").alias("entity_id")).distinct()
+
+    def rule(position, pattern, replacement):
+        return F.struct(F.lit(position).alias("position"), pattern.alias("pattern"), replacement.alias("replacement"))
+
+    vowel = F.element_at(F.array(*[F.lit(v) for v in "aeiou"]), n % 5 + 1)
+    rules = F.array(
+        rule(3, F.lit("<[^>]*>"), F.concat(F.lit("["), n.cast("string"), F.lit("]"))),
+        rule(1, F.concat(F.lit("(?i)("), vowel, F.lit(")([a-z])")), F.when(n % 2 == 0, "$2$1").otherwise("<$1>$2")),
+        rule(2, F.when(n % 3 == 0, " +").otherwise("[.,]"), F.when(n % 3 == 0, "  ").otherwise("")),
+        F.when(n % 4 == 0, rule(0, F.lit("(?P<n>a)"), F.lit(""))).when(n % 4 == 1, rule(0, F.lit("(a)"), F.lit("$2"))).when(n % 4 == 2, rule(0, F.lit("a"), F.lit("$")))
+    )
+    return entity.select("entity_id", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("r")).select("entity_id", "r.*")
+
+
+def rules_by_source(spark, sf):
+    """Every source's documents with the rules of that source; sources above 17 have none."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    ruled = with_rules(docs, _source_rules(spark, sf).filter("substr(entity_id, 4) <= 17"), "source")
+    out = X.search_replace(F.col("text"), F.col("rules"))
+    return ruled.select("doc_id", F.length(out).cast("bigint").alias("chars"), F.md5(out).alias("digest"))
+
+
+def faulty_rules(spark, sf):
+    return rule_problems(_source_rules(spark, sf)).select("entity_id", "position", "problem")
+
+
+LANGUAGES = (
+    (" the ", " Zażółć gęślą jaźń ŁĄKĘ "),
+    (" of ", " Příliš žluťoučký kůň ÚPĚL ďábelské ódy "),
+    (" der ", " Pijamalı hasta yağız şoföre İÇTİ "),
+    (" la ", " Tôi có thể ăn thủy tinh mà không hại gì ĐƯỜNG "),
+    (". ", ". Înțelepciune și țânțar "),
+)
+
+
+def alt_forms(spark, sf):
+    """Images whose attributes are quoted either way, bare or without a value."""
+    c = F.col("html")
+    for old, new in ALT_FORMS:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    out = H.fill_alt(c, F.concat(F.lit("P"), F.col("page_id").cast("string")))
+    return table(spark, sf, "pages").select("page_id", F.length(out).cast("bigint").alias("chars"), F.md5(out).alias("digest"))
+
+
+ALT_FORMS = (
+    ("<h1>", "<img src='a'><img hidden src=a><IMG src=\"x>y\" data-alt='alt=1' /><h1>"),
+    ("</article>", "<img src='b' ALT=b><img alt><img alt = 'c' src=d/></article>"),
+)
+
 QUERIES = {
     "text_search_replace": _text(rule_table),
+    "text_rules_by_source": rules_by_source,
+    "text_faulty_rules": faulty_rules,
+    "text_asciiize_languages": _text(X.asciiize, *LANGUAGES),
+    "page_alt_forms": alt_forms,
     "text_asciiize": _text(X.asciiize, *MARKED),
     "text_smarten": _text(X.smarten, *QUOTED),
     "text_unsmarten": _text(X.unsmarten, *CURLED),
@@ -242,7 +300,33 @@ QUERIES = {
     "converted": converted,
 }
 
+# The engine's own removal of marks, and the letters it does not know.
+_PLAIN_LANGUAGES = (
+    "strip_accents(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(t, 'ł', 'l'), 'Ł', 'L'), "
+    "'đ', 'd'), 'Đ', 'D'), 'ı', 'i'), 'ß', 'ss'), 'æ', 'ae'), 'Æ', 'AE'), 'œ', 'oe'), 'Œ', 'OE'), 'ø', 'o'), '…', '...'), '—', '---'), '–', '--'))"
+)
+_SOURCE_RULES = """
+WITH d AS (SELECT doc_id, text, CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) AS n FROM documents
+), a AS (SELECT *, CASE n % 5
+""" + "".join(
+    f"    WHEN {k} THEN CASE WHEN n % 2 = 0 THEN regexp_replace(text, '(?i)({v})([a-z])', '\\2\\1', 'g') ELSE regexp_replace(text, '(?i)({v})([a-z])', '<\\1>\\2', 'g') END\n"
+    for k, v in enumerate("aeiou")
+) + """  END AS t FROM d
+), b AS (SELECT *, CASE WHEN n % 3 = 0 THEN regexp_replace(t, ' +', '  ', 'g') ELSE regexp_replace(t, '[.,]', '', 'g') END AS u FROM a
+), c AS (SELECT doc_id, CASE WHEN n <= 17 THEN regexp_replace(u, '<[^>]*>', '[' || n || ']', 'g') ELSE text END AS out FROM b
+) SELECT doc_id, CAST(length(out) AS BIGINT) AS chars, md5(out) AS digest FROM c"""
+
 SQL = {
+    "text_rules_by_source": _SOURCE_RULES,
+    "text_faulty_rules": """
+SELECT DISTINCT source AS entity_id, 0 AS position, CASE CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 4 WHEN 0 THEN 'not a valid pattern'
+  WHEN 1 THEN 'replacement names a group that the pattern lacks' ELSE 'not a valid replacement' END AS problem
+FROM documents WHERE CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 4 < 3""",
+    "text_asciiize_languages": _sql(_PLAIN_LANGUAGES, *LANGUAGES),
+    "page_alt_forms": """
+SELECT page_id, CAST(length(out) AS BIGINT) AS chars, md5(out) AS digest FROM (SELECT page_id, replace(replace(html,
+  '<h1>', '<img alt="P' || page_id || '" src=''a''><img alt="P' || page_id || '" hidden src=a><IMG alt="P' || page_id || '" src="x>y" data-alt=''alt=1'' /><h1>'),
+  '</article>', '<img src=''b'' ALT=b><img alt><img alt = ''c'' src=d/></article>') AS out FROM pages)""",
     "text_search_replace": _sql(
         "regexp_replace(regexp_replace(regexp_replace(t, '(?i)the ([a-z]+)', '<\\1>', 'g'), '[0-9]+', '#', 'g'), ' +', ' ', 'g')"
     ),

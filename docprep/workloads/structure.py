@@ -59,9 +59,11 @@ WITH found AS (
     + r""" AS text
   FROM (SELECT doc_id, unnest(range(1, len(levels) + 1)) AS position, unnest(levels) AS level, unnest(raws) AS raw FROM listed)
 ), entries AS (
-  SELECT doc_id, position, CASE level WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS toc_level, text,
-    coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section-' || position) AS target
-  FROM heads WHERE level IN (1, 2, 3)
+  SELECT doc_id, position, toc_level, text, base || CASE WHEN row_number() OVER (PARTITION BY doc_id, base ORDER BY position) > 1
+    THEN '--' || row_number() OVER (PARTITION BY doc_id, base ORDER BY position) ELSE '' END AS target
+  FROM (SELECT doc_id, position, CASE level WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS toc_level, text,
+    coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section-' || position) AS base
+  FROM heads WHERE level IN (1, 2, 3))
 ), toc AS (
   SELECT doc_id, position, toc_level, text, target FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY position) AS rn FROM entries) WHERE rn = 1
@@ -90,9 +92,11 @@ WITH listed AS (
     + r""" AS text
   FROM (SELECT doc_id, unnest(range(1, len(levels) + 1)) AS position, unnest(levels) AS level, unnest(raws) AS raw FROM listed)
 ), entries AS (
-  SELECT doc_id, position, CASE level WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS toc_level, text,
-    coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section-' || position) AS target
-  FROM heads WHERE level IN (1, 2, 3)
+  SELECT doc_id, position, toc_level, text, base || CASE WHEN row_number() OVER (PARTITION BY doc_id, base ORDER BY position) > 1
+    THEN '--' || row_number() OVER (PARTITION BY doc_id, base ORDER BY position) ELSE '' END AS target
+  FROM (SELECT doc_id, position, CASE level WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 END AS toc_level, text,
+    coalesce(nullif(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '-', 'g'), '-'), ''), 'section-' || position) AS base
+  FROM heads WHERE level IN (1, 2, 3))
 ) SELECT doc_id, position, toc_level, text, target FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY position) AS rn FROM entries) WHERE rn = 1""",
     "headings": HEADS + " SELECT doc_id, position, level, text FROM heads",
@@ -104,6 +108,17 @@ WITH listed AS (
     "toc_thresholded": HEADS
     + """ SELECT doc_id, position, toc_level, text, target FROM (
   SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM entries) WHERE n < 5""",
+    "toc_counted_chapters": HEADS
+    + """ SELECT doc_id, position, toc_level, text, target FROM toc WHERE doc_id NOT IN (
+  SELECT doc_id FROM heads WHERE level = 3 GROUP BY doc_id HAVING count(*) >= 4)""",
+    "toc_repeated_targets": HEADS + " SELECT doc_id, count(*) AS entries, count(DISTINCT target) AS targets FROM entries GROUP BY doc_id",
+    "edges_stripped_groups": EDGES.replace("source", "grp").replace("FROM documents", "FROM (SELECT doc_id, text, nullif(lang, 'en') AS grp FROM documents)")
+    + """, marked AS (
+  SELECT d.doc_id, string_split(text, chr(10)) AS l,
+    EXISTS (SELECT 1 FROM repeats r WHERE side = 'first' AND r.grp IS NOT DISTINCT FROM nullif(d.lang, 'en') AND r.line = string_split(d.text, chr(10))[1]) AS f,
+    EXISTS (SELECT 1 FROM repeats r WHERE side = 'last' AND r.grp IS NOT DISTINCT FROM nullif(d.lang, 'en') AND r.line = string_split(d.text, chr(10))[-1]) AS t
+  FROM documents d
+) SELECT doc_id, md5(array_to_string(CASE WHEN f AND t THEN l[2:-2] WHEN f THEN l[2:] WHEN t THEN l[:-2] ELSE l END, chr(10))) AS digest FROM marked""",
     "toc_without_chapters": HEADS
     + """ SELECT doc_id, position, toc_level, text, target FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, lower(text) ORDER BY position) AS rn FROM entries WHERE toc_level <> 1) WHERE rn = 1""",
@@ -194,6 +209,13 @@ QUERIES = {
     "toc_limited": _toc(duplicates=True, max_links=3),
     "toc_thresholded": _toc(duplicates=True, threshold=5),
     "toc_without_chapters": without_chapters,
+    "toc_counted_chapters": lambda spark, sf: S.build_toc(headings(spark, sf), threshold=4, detected=headings(spark, sf).filter("level = 3")),
+    "toc_repeated_targets": lambda spark, sf: S.build_toc(headings(spark, sf), duplicates=True).groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.count_distinct("target").alias("targets")
+    ),
+    "edges_stripped_groups": lambda spark, sf: S.strip_repeated_edges(
+        documents(spark, sf, "text", F.nullif("lang", F.lit("en")).alias("grp")), "grp", 3
+    ).select("doc_id", F.md5("text").alias("digest")),
     "toc_titled": lambda spark, sf: S.toc_title(S.build_toc(headings(spark, sf)), "Contents"),
     "headings_renumbered": lambda spark, sf: S.renumber_headings(headings(spark, sf)).select(
         "doc_id", "position", "level", F.col("new_level").cast("bigint").alias("new_level")

@@ -9,6 +9,7 @@ from docprep.functions import text as X
 from docprep.operators import structure as S
 from docprep.operators.extend import with_converter
 from docprep.plans import prepare_documents
+from docprep.plans.prepare import rule_problems, with_rules
 
 
 def one(spark, change, *texts):
@@ -164,3 +165,55 @@ def test_contents_keep_every_script_and_sign(spark, rows):
     assert sorted(t for t, _ in kept) == sorted(set(texts)) and ("+++", "section-7") in kept
     one = spark.createDataFrame([("3 < 4 and 5 > 2 <b>x</b>", "<img src=\"a\">", 'a "b" $5 \\')], "a string, b string, t string")
     assert rows(one.select(plain_text(one.a), fill_alt(one.b, one.t))) == [("3 < 4 and 5 > 2 x", '<img alt="a &quot;b&quot; $5 \\" src="a">')]
+
+
+def test_letters_of_all_latin_blocks(spark):
+    text = "Łódź, příliš, ığdır, Đường Việt, Înțelepciune, ŋ Þór ð, ǽ ǅ ﬁ ẞ, e\u0301 и\u0306 мир"
+    assert one(spark, X.asciiize, text) == "Lodz, prilis, igdir, Duong Viet, Intelepciune, ng THor d, ae Dz ﬁ SS, e и\u0306 мир"
+    assert len(X.MARKED) == len(X.PLAIN) > 500 and X.PLAIN.isascii()
+
+
+def test_rules_of_each_entity(spark):
+    rules = [
+        ("a", 2, "<(.)>", "$1$1"), ("a", 1, "x", "<y>"), ("a", 3, "(?P<n>y)", ""), ("a", 4, "y", "$1"), ("a", 5, "(?<n>y)", "${m}"), ("a", 6, "y", "$"),
+        ("a", 7, None, ""), ("b", 1, "(?<n>x)", "${n}\\$"), ("b", 2, "[(]", "$1"), ("b", 3, "\\(y", "$1"), (None, 1, "x", "z"),
+    ]
+    rules = spark.createDataFrame(rules, "entity_id STRING, position INT, pattern STRING, replacement STRING")
+    assert sorted((r.entity_id, r.position) for r in rule_problems(rules).collect()) == [("a", 3), ("a", 4), ("a", 5), ("a", 6), ("a", 7), ("b", 2), ("b", 3)]
+    docs = spark.createDataFrame([(1, "a", "axa"), (2, "b", "x(y"), (3, "c", "x"), (4, None, "x"), (5, "a", None)], "doc_id BIGINT, source STRING, text STRING")
+    got = with_rules(docs, rules, "source").select("doc_id", X.search_replace(F.col("text"), F.col("rules")).alias("t"))
+    assert sorted(map(tuple, got.collect())) == [(1, "ayya"), (2, "x$(y"), (3, "x"), (4, "x"), (5, None)]
+
+
+def test_alternative_texts_of_any_form(spark):
+    fill = lambda c: H.fill_alt(c, F.lit('T"'))
+    for page, want in (
+        ("<img src='a'>x", "<img alt=\"T&quot;\" src='a'>x"),
+        ("<IMG src=a/>", '<IMG alt="T&quot;" src=a/>'),
+        ('<img src="a" hidden>', '<img alt="T&quot;" src="a" hidden>'),
+        ("<img\n title='alt=\"x\"'/>", "<img alt=\"T&quot;\"\n title='alt=\"x\"'/>"),
+        ("<img alt><img Alt = 'x' src=a><img/>", "<img alt><img Alt = 'x' src=a><img alt=\"T&quot;\"/>"),
+        ("<image src='a'> x\u0001 <img src='", "<image src='a'> x\u0001 <img src='"),
+    ):
+        assert one(spark, fill, page) == want
+    assert one(spark, lambda c: H.fill_alt(c, F.lit(None).cast("string")), "<img>") == "<img>"
+
+
+def test_targets_are_unique_and_chapters_counted(spark):
+    heads = [(1, p, 1, t) for p, t in enumerate(["C", "C++", "C#", "C--2", "...", "Section 5"], 1)] + [(2, 1, 1, "C")]
+    heads = spark.createDataFrame(heads, "doc_id BIGINT, position BIGINT, level INT, text STRING")
+    toc = S.build_toc(heads)
+    assert [r.target for r in toc.filter("doc_id = 1").orderBy("position").collect()] == ["c", "c--2", "c--3", "c-2", "section-5", "section-5--2"]
+    found = spark.createDataFrame([(1,), (1,), (2,)], "doc_id BIGINT")
+    assert {r.doc_id for r in S.build_toc(heads, threshold=2, detected=found).collect()} == {2}
+    assert {r.doc_id for r in S.build_toc(heads, threshold=3, pattern="C").collect()} == set()
+    assert {r.doc_id for r in S.build_toc(heads, threshold=1, detected=found.limit(0)).collect()} == {1, 2}
+
+
+def test_edges_of_null_groups_without_moving_texts_twice(spark):
+    rows = [(1, None, "h\na"), (2, None, "h\nb"), (2, None, "h\nb"), (None, None, "h\nc"), (4, "g", "h\na"), (5, None, None), (6, None, "h")]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, grp STRING, text STRING")
+    out = S.strip_repeated_edges(docs, "grp", 2)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(
+        [(1, "a"), (2, "b"), (2, "b"), (None, "c"), (4, "h\na"), (5, None), (6, "")], key=repr
+    )
