@@ -9,32 +9,27 @@ the full shingle sets.
 
 Documents with equal sets form one class (compared by a 128-bit hash), so copies
 never multiply. Inside a bucket every class is first checked against one leader:
-linear work. What these links join needs no further check. Buckets that still hold
-several components try a few other leaders, and only then, in buckets that still hold several, the members outside the bucket's largest component are checked against
-all its members, unless their sizes, or eight bits of each signature value, tell them apart (4.5
-standard deviations beyond the threshold), so no link between components is lost and
-no cap is needed.
+linear work. What these links join needs no further check. Classes of buckets that still hold
+several components are joined on the *prefixes* of their sets: shingles are put in one order, those found in one component
+only first, then the others from rare to common. Two sets of different components that reach the threshold must share a shingle among the first
+``n - ceil(t n) + 1`` of the larger and the first ``n - ceil(2 t n / (1 + t)) + 1`` of the smaller, and
+enough of both must follow it. A passage that many documents share is common and stands last, so it makes no
+pair; all pairs that are left get the exact check, again with one leader for each shingle first. No link between
+components is lost, whatever band they share, and no cap is needed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
-from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprep.llm.common import WordHashes, by_rows, mixed, odd_numbers, shingle_array, signed, stored
 
 ROWS, GROUPS = 6, 30
-VALUES = 2 * ROWS * GROUPS
-#: Eight bits of each signature value, in so many longs.
-LONGS = -(-VALUES // 8)
-BITS = [f"b{k}" for k in range(LONGS)]
 _PERMUTATIONS = odd_numbers(ROWS * GROUPS, 5)
 _BAND = odd_numbers(ROWS, 7)
 _SALTS = odd_numbers(2 * GROUPS, 13)
@@ -48,7 +43,6 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
     full = np.flatnonzero(sizes)
     bands = np.zeros((len(full), 2 * GROUPS), np.uint64)
     key = np.zeros((2, len(sets)), np.uint64)
-    sketch = np.zeros((len(sets), 8 * LONGS), np.uint8)
     if len(full):
         values = np.concatenate([sets[i] for i in full])
         starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -62,9 +56,7 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
                 least, most = np.minimum.reduceat(permuted, starts), np.maximum.reduceat(permuted, starts)
                 low += least * _BAND[r]
                 high += most * _BAND[r]
-                sketch[full, 2 * k], sketch[full, 2 * k + 1] = mixed(least) & np.uint64(255), mixed(most) & np.uint64(255)
             bands[:, 2 * g], bands[:, 2 * g + 1] = mixed(low), mixed(high)
-    longs = sketch.view(np.int64)
     offsets = np.concatenate([[0], np.cumsum((sizes > 0) * 2 * GROUPS)]).astype(np.int32)
     return pa.record_batch(
         {
@@ -72,7 +64,6 @@ def _signatures(batch: pa.RecordBatch) -> pa.RecordBatch:
             "n": pa.array(sizes),
             "h1": pa.array(signed(key[0])),
             "h2": pa.array(signed(key[1])),
-            **{f"b{k}": pa.array(np.ascontiguousarray(longs[:, k])) for k in range(LONGS)},
             "bands": pa.ListArray.from_arrays(pa.array(offsets), pa.array(signed(bands.reshape(-1)))),
         }
     )
@@ -151,56 +142,89 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _undecided(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, node, n, root) of the buckets that hold several components."""
-    held = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    return stored(held.join(split, "key"), "mixed")
-
-
-def _near_in_size(a: str, b: str, percent: int):
-    """Whether sets of these sizes can reach ``percent`` at all."""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
-
-def _differing():
-    """How many of the eight-bit values of two sketches differ."""
+def _contracted(links: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(root, top) of the roots that links between nodes join; None when they join none."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("x"))
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    edges = stored(links.join(left, "a").join(right, "b").filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+    return None if edges.isEmpty() else components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    def one(name: str):
-        x = F.col(name).bitwiseXOR(F.col(f"{name}_x"))
-        for step in (4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, step))
-        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
 
-    return reduce(add, [one(b) for b in BITS])
+def _moved(nodes: DataFrame, tops: DataFrame | None) -> DataFrame:
+    """``nodes`` with ``root`` replaced by the top it was joined to."""
+    if tops is None:
+        return nodes
+    return nodes.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
 
 
-def _most_differing(percent: int) -> int:
-    """Values in which a pair at ``percent`` differs at most, but for 4.5 standard deviations (1 in 300,000)."""
-    p = (1 - percent / 100) * 255 / 256
-    return math.ceil(VALUES * p + 4.5 * math.sqrt(VALUES * p * (1 - p)))
+def joined_components(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``nodes(node, n, root)`` with the root after all links between different components of them.
 
-
-def near_duplicates(docs: DataFrame, percent: int = 75, turns: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    ``sets(node, shingles)``: distinct shingles of each node. Roots may be anything that holds linked nodes together; the join only
+    looks for links that they miss.
+    """
+    listed = nodes.join(sets, "node").select("node", "n", "root", F.explode("shingles").alias("s"))
+    across = listed.groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    own = Window.partitionBy("node")
+    # Shingles of one component come first in the order of all, so the number of the others gives the place.
+    placed = listed.join(across.select("s", "c"), "s").select(
+        "*", (F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "s")) - 1).alias("at")
+    )
+    reach = F.expr(f"n - ({percent} * n + 99) div 100 + 1")
+    near = F.expr(f"n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    prefixes = placed.filter(F.col("at") < reach).select("s", "node", "n", "at", (F.col("at") < near).alias("near"))
+    prefixes = stored(prefixes, "prefixes")
+
+    def able(x: str, y: str) -> Column:
+        """Whether what follows the shared shingle, and the sizes, can reach the threshold."""
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        rest = F.least(n - F.col(f"{x}.at"), m - F.col(f"{y}.at"))
+        smaller = F.when(n < m, F.col(f"{x}.near")).when(n > m, F.col(f"{y}.near")).otherwise(F.col(f"{x}.near") | F.col(f"{y}.near"))
+        return smaller & (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (rest * (100 + percent) >= percent * (n + m))
+
+    def pair(x: str, y: str) -> list[Column]:
+        a, b = F.col(f"{x}.node"), F.col(f"{y}.node")
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    def split(roots: DataFrame) -> DataFrame:
+        """Prefix rows of shingles that several components still share."""
+        rows = prefixes.join(roots, "node")
+        mixed_up = rows.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("s")
+        return rows.join(mixed_up, "s")
+
+    roots = nodes.select("node", "root")
+    rows = split(roots)
+    lead = rows.groupBy("s").agg(F.min(F.struct("node", "n", "at", "near", "root")).alias("l")).select("s", "l.*")
+    met = rows.alias("x").join(lead.alias("y"), "s").filter((F.col("x.root") != F.col("y.root")) & able("x", "y"))
+    tried = stored(met.select(*pair("x", "y")).distinct(), "pairs")
+    roots = _moved(roots, _contracted(_linked(tried, sets, percent), roots))
+
+    rows = stored(split(roots), "prefixes")
+    met = rows.alias("x").join(rows.alias("y"), "s").filter((F.col("x.root") < F.col("y.root")) & able("x", "y"))
+    rest = stored(met.select(*pair("x", "y")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    roots = _moved(roots, _contracted(_linked(rest, sets, percent), roots))
+    return nodes.drop("root").join(roots, "node")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles``, ``component_id``, ``kept``.
 
     Sets are the distinct shingles of five words (fewer words: one shingle).
     Documents are linked when intersection is ``percent`` or more of union;
-    ``component_id`` is the smallest id reachable. ``turns``: how many more leaders per bucket to try before
-    the exact round; it changes the work, not the result. Null or empty texts have an
+    ``component_id`` is the smallest id reachable. Null or empty texts have an
     empty set and link with nothing. Rows that repeat an id are one document:
     they share a component. A row without an id stays alone and is kept, with
     null as component. Extra columns are ignored; an empty table gives no rows.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    raw = source.mapInArrow(_each_signature, f"id long, n long, h1 long, h2 long, {', '.join(f'{b} long' for b in BITS)}, bands array<bigint>")
+    raw = source.mapInArrow(_each_signature, "id long, n long, h1 long, h2 long, bands array<bigint>")
     rows = stored(raw.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     able = rows.filter("n > 0 and id is not null")
     classes = able.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
     first = classes.withColumnRenamed("node", "row").select("row", "least_id")
     nodes = stored(
-        able.join(first, "row").select(F.col("row").alias("node"), "least_id", "id", "h1", "h2", "n", *BITS, "bands"), "classes"
+        able.join(first, "row").select(F.col("row").alias("node"), "least_id", "id", "h1", "h2", "n", "bands"), "classes"
     )
     members = nodes.select(F.explode("bands").alias("key"), "node", "n")
     buckets = members.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("size")).filter("size > 1")
@@ -217,31 +241,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, turns: int = 3, id_col:
     links = stored(_linked(pairs, sets, percent).unionByName(same_id), "links")
     roots = stored(components(links), "roots")
 
-    # Buckets that still hold several components: other leaders first, as long as they link anything.
-    tried = pairs
-    for turn in range(turns):
-        mixed_up = _undecided(shared, roots)
-        leads = mixed_up.groupBy("key").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn))).alias("l"))
-        met = mixed_up.join(leads, "key").filter("root <> l.root").select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b"), "n", F.col("l.n").alias("other"))
-        more = stored(met.filter(_near_in_size("n", "other", percent)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = stored(_linked(more, sets, percent), "links")
-        tried = tried.unionByName(more)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        roots = stored(components(links), "roots")
-
-    # Then all members outside a bucket's largest component, against all members.
-    mixed_up = _undecided(shared, roots)
-    main = mixed_up.groupBy("key", "root").count().groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    marked = mixed_up.join(nodes.select("node", *BITS), "node")
-    rest = marked.join(main, "key").filter("root <> main").select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "root", "n", *BITS)])
-    across = rest.join(marked, "key").filter(F.col("root_x") != F.col("root")).filter(_near_in_size("n_x", "n", percent))
-    across = across.filter(_differing() <= _most_differing(percent)).select(F.col("node_x").alias("x"), F.col("node").alias("y"))
-    open_pairs = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = stored(_linked(open_pairs.join(tried, ["a", "b"], "left_anti"), sets, percent), "links")
-    if not late.isEmpty():
-        roots = stored(components(links.unionByName(late)), "roots")
+    # Classes of buckets that still hold several components, against all others of such buckets.
+    held = shared.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    split = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
+    open_nodes = stored(held.join(split, "key").select("node", "n", "root").distinct(), "open")
+    tops = joined_components(open_nodes, sets, percent).join(open_nodes.select("node", F.col("root").alias("old")), "node")
+    tops = stored(tops.filter("root <> old").select("old", F.col("root").alias("top")).distinct(), "tops")
+    roots = roots.unionByName(open_nodes.join(roots, "node", "left_anti").select("node", "root"))
+    roots = roots.join(tops, roots["root"] == tops["old"], "left").select("node", F.coalesce("top", "root").alias("root"))
 
     named = nodes.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component"))

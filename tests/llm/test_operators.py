@@ -324,3 +324,61 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed} == set(texts)
     empty = p.keep_one_of_each(spark, docs.limit(0), folder)
     assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_pipeline_rows_without_an_id(spark):
+    import corpus_pipeline as p
+
+    folder = "/root/testdata/sf0.001"
+    item = max((r["text"] for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()), key=lambda t: len(t.split()))
+    a, b, c = prose(31, 90), prose(32, 90), prose(33, 90)
+    rows = [(5, a), (None, a), (None, b), (None, b + " more"), (9, c), (9, c), (9, c + " end"), (7, None), (None, ""), (None, None), (8, "")]
+    rows += [(None, f"{a} {item} {b}"), (20, f"{b} {item}"), (21, item)]
+    docs = frame(spark, rows)
+    left = [(r["doc_id"], r["text"]) for r in p.keep_one_of_each(spark, docs, folder).collect()]
+    # One of the copies of a, one of the near copies of b, one row of id 9; empty texts are linked with nothing.
+    assert [i for i, t in left if t == a] == [5] and sum(t in (b, b + " more") for _, t in left) == 1
+    assert sum(i == 9 for i, _ in left) == 1 and sum(not t for _, t in left) == 4
+    again = p.keep_one_of_each(spark, frame(spark, rows[::-1]), folder)
+    assert {t for i, t in left if i == 9} == {r["text"] for r in again.filter("doc_id = 9").collect()}
+    clean = p.drop_contaminated(spark, docs, folder)
+    assert clean.columns == docs.columns and sorted(map(repr, ((r["doc_id"], r["text"]) for r in clean.collect()))) == sorted(map(repr, rows[:-3]))
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+
+
+def test_prefix_join_finds_every_link(spark):
+    from docprep.llm.neardup import joined_components
+
+    rng = random.Random(6)
+    common = list(range(1000, 1060))
+    sets = {}
+    for i in range(120):
+        size = rng.choice([1, 2, 4, 10, 30, 60])
+        sets[i] = set(rng.sample(common, max(1, int(size * rng.choice([0.5, 0.8, 0.86, 0.9, 1]))))) | {rng.randrange(10**6) for _ in range(rng.randint(0, 1 + size // 6))}
+    for i in range(120, 160):  # chains of near copies, each like the one before
+        sets[i] = set(sets[i - 40]) if i % 4 == 0 else set(sorted(sets[i - 1])[1:]) | {10**7 + i}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    truth = {i: find(i) for i in sets}
+    for known in ({i: i for i in sets}, {i: truth[i] if i % 3 and truth[truth[i]] == truth[i] else i for i in sets}):
+        known = {i: r if known[r] == r else i for i, r in known.items()}
+        nodes = spark.createDataFrame([(i, len(s), known[i]) for i, s in sets.items()], "node long, n long, root long")
+        listed = spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "node long, shingles array<bigint>")
+        groups = {}
+        for r in joined_components(nodes, listed, 75).collect():
+            groups.setdefault(r["root"], set()).add(r["node"])
+        want = {}
+        for i, r in truth.items():
+            want.setdefault(r, set()).add(i)
+        assert {frozenset(g) for g in groups.values()} == {frozenset(g) for g in want.values()}
