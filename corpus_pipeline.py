@@ -25,24 +25,45 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return with_scores(docs, model, score_col=score).filter(F.col(score) >= 0.3).select(*[f"`{c}`" for c in docs.columns])
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a number in column ``name`` that tells documents apart: their id, and for rows without one a number of their own.
+
+    Only rows without an id are stored again, so that their numbers stay the same however often they are read. The numbers lie
+    beyond all ids in use, so a document with an id goes before one without.
+    """
+    number = (F.lit(1 << 62) + F.monotonically_increasing_id()).alias(name)
+    unnamed = stored(docs.filter("doc_id is null").select("*", number), "unnamed")
+    return docs.filter("doc_id is not null").withColumn(name, F.col("doc_id").cast("long")).unionByName(unnamed)
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group; of rows that repeat an id, one. Rows without an id stay."""
-    groups = near_duplicates(docs)
-    gone = stored(groups.filter(~F.col("kept")).select("doc_id").distinct(), "dropped")
-    again = groups.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """One document of each near-duplicate group, that of the smallest id; rows without an id go with their group like all others.
+
+    Of rows that repeat an id, the one whose columns have the smallest hash stays.
+    """
+    number = unused("number", docs.columns)
+    rows = numbered(docs, number)
+    groups = near_duplicates(rows, id_col=number)
+    gone = stored(groups.filter(~F.col("kept")).select(F.col("doc_id").alias(number)).distinct(), "dropped")
+    again = groups.groupBy(F.col("doc_id").alias(number)).count().filter("count > 1").select(number)
     again = stored(again, "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = rows.join(gone, number, "left_anti")
     if again.isEmpty():
-        return kept.select(*[f"`{c}`" for c in docs.columns])
-    single = kept.join(again, "doc_id", "left_anti")
-    first = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(first).select(*[f"`{c}`" for c in docs.columns])
+        return kept.select(*columns)
+    single = kept.join(again, number, "left_anti")
+    whole = F.struct(F.xxhash64(*columns).alias("h"), F.struct(*columns).alias("row"))
+    first = kept.join(again, number, "left_semi").groupBy(number).agg(F.min(whole).alias("r")).select("r.row.*")
+    return single.select(*columns).unionByName(first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item of ``benchmark``."""
-    found = stored(contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Documents that hold no test item of ``benchmark``, with or without an id."""
+    number = unused("number", docs.columns)
+    rows = numbered(docs, number)
+    found = contained_items(rows.drop("doc_id").withColumnRenamed(number, "doc_id"), table(spark, sf_dir, "benchmark"))
+    found = stored(found.select(F.col("doc_id").alias(number)).distinct(), "contaminated")
+    return rows.join(found, number, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
