@@ -89,14 +89,48 @@ def _place(*extra: str) -> Column:
     return F.struct("rank", "position", *extra)
 
 
-def _merge_last(stack: DataFrame) -> DataFrame:
-    """A1: the last value per key, found with partial aggregation on the map side."""
-    return (
-        stack.filter(F.col("policy").isin("last", "unique"))
-        .groupBy(*ENTITY_KEY)
-        .agg(F.max_by(F.struct("value", "kind"), _place()).alias("w"), F.max(~F.col("old")).alias("touched"))
-        .select(*ENTITY_KEY, "w.value", "w.kind", "touched")
+def _merge_rest(stack: DataFrame) -> DataFrame:
+    """A1, A3, A4 in one pass: the last value, comma lists and text blocks of every key.
+
+    First what repeats collapses before the shuffle: all values of a key to the last one, equal pieces of a comma list to
+    the first place; blocks of a text stay one by one. Then one row per key puts the pieces together, which are the content of
+    the result cell. A comma list that no preset touched stays as it is, a lone new one is tidied; a null counts as blank. Blank
+    blocks are left out, repeats are kept, and a lone existing text stays as it is.
+    """
+    is_csv, is_text = F.col("policy") == "csv", F.col("policy") == "text"
+    is_last = ~is_csv & ~is_text
+    block = F.when(F.col("old"), rstrip(F.col("value"))).otherwise(strip(F.col("value")))
+    pieces = (
+        F.when(is_csv, F.transform(F.split(F.coalesce("value", F.lit("")), ","), strip))
+        .when(is_text, F.array(F.coalesce(block, F.lit(""))))
+        .otherwise(F.array(F.lit("")))
+    )
+    rows = stack.filter(F.col("policy") != "alternation").select(
+        *ENTITY_KEY, "policy", "rank", "position", "old", "value", "kind", F.posexplode(pieces).alias("at", "piece")
     )
+    none = F.lit(None)
+    collapsed = rows.groupBy(*ENTITY_KEY, "policy", "piece", F.when(is_text, _place()).alias("own_place")).agg(
+        F.min(_place("at")).alias("place"),
+        F.max_by(F.struct(F.when(is_last, F.col("value")).alias("value"), F.when(is_last, F.col("kind")).alias("kind")), _place()).alias("w"),
+        F.max(~F.col("old")).alias("touched"),
+        F.max(F.when(F.col("old") & ~is_last, F.col("value"))).alias("raw"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    whole = collapsed.groupBy(*ENTITY_KEY, "policy").agg(
+        F.array_sort(F.collect_list(F.when(F.col("piece") != "", F.struct("place", "piece")))).alias("pieces"),
+        F.any_value("w").alias("w"),
+        F.max("touched").alias("touched"),
+        F.max("raw").alias("raw"),
+        F.sum("n").alias("n"),
+    )
+    texts = F.transform("pieces", lambda x: x["piece"])
+    joined = F.when(is_csv, F.array_join(texts, ",")).otherwise(F.array_join(texts, "\n"))
+    value = (
+        F.when(is_last, F.col("w.value"))
+        .when(is_csv, F.coalesce(F.when(~F.col("touched"), F.col("raw")), joined))
+        .otherwise(F.when((F.col("n") == 1) & ~F.col("touched"), F.col("raw")).otherwise(joined))
+    )
+    return whole.select(*ENTITY_KEY, value.alias("value"), F.when(is_last, F.col("w.kind")).otherwise(none).alias("kind"), "touched")
 
 
 def _open_parens(text: Column) -> Column:
@@ -135,13 +169,13 @@ def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
     follow it. That needs the place of each value, hence the scan.
     """
     rows = stack.filter(F.col("policy") == "alternation").select(*ENTITY_KEY, "rank", "position", "value", "old")
-    placed = scan(rows, ENTITY_KEY, ["rank", "position"], sums={"seq": F.lit(1).cast("bigint")}, **hot)
-    counts = rows.groupBy(*ENTITY_KEY).agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1).cast("bigint")
+    placed = scan(rows, ENTITY_KEY, ["rank", "position"], sums={"seq": one}, totals={"n": one}, **hot)
     # Each round drops two characters, so the text length bounds the rounds.
     rounds = F.least(F.col("n") - F.greatest(F.col("seq") - 1, F.lit(1)), F.length("piece").cast("bigint") + 1)
     opened = F.aggregate(F.sequence(F.lit(1).cast("bigint"), rounds), strip(F.col("piece")), lambda t, _: _open_parens(t))
     fragments = (
-        placed.join(counts, ENTITY_KEY)
+        placed
         .select(
             *ENTITY_KEY,
             "seq",
@@ -161,59 +195,6 @@ def _merge_alternation(stack: DataFrame, **hot) -> DataFrame:
     return _joined_fragments(fragments, " | ", F.col("raw"))
 
 
-def _merge_csv(stack: DataFrame) -> DataFrame:
-    """A3: comma lists, ordered and distinct; a lone new value is tidied too,
-    a lone existing one (no preset touched the key) is left as it is. A null counts as blank."""
-    fragments = (
-        stack.filter(F.col("policy") == "csv")
-        .select(
-            *ENTITY_KEY,
-            "rank",
-            "position",
-            (~F.col("old")).alias("touched"),
-            F.when(F.col("old"), F.col("value")).alias("raw"),
-            F.posexplode(F.split(F.coalesce("value", F.lit("")), ",")).alias("at", "piece"),
-        )
-        .select(
-            *ENTITY_KEY,
-            strip(F.col("piece")).alias("fragment"),
-            F.struct("rank", "position", "at").alias("place"),
-            "raw",
-            "touched",
-        )
-    )
-    return _joined_fragments(fragments, ",", F.when(~F.col("touched"), F.col("raw")))
-
-
-def _merge_text(stack: DataFrame) -> DataFrame:
-    """A4: text blocks joined by line ends, blank ones left out, repeats kept.
-
-    The result is the text of all blocks, so one key gathers as much as its
-    result cell holds.
-    """
-    trimmed = F.when(F.col("old"), rstrip(F.col("value"))).otherwise(strip(F.col("value")))
-    parts = F.collect_list(F.when(F.col("part") != "", _place("part")))
-    joined = F.array_join(F.transform(F.array_sort(F.col("parts")), lambda x: x["part"]), "\n")
-    lone_old = (F.col("n") == 1) & ~F.col("touched")
-    return (
-        stack.filter(F.col("policy") == "text")
-        .withColumn("part", trimmed)
-        .groupBy(*ENTITY_KEY)
-        .agg(
-            parts.alias("parts"),
-            F.count(F.lit(1)).alias("n"),
-            F.max(~F.col("old")).alias("touched"),
-            F.max(F.when(F.col("old"), F.col("value"))).alias("raw"),
-        )
-        .select(
-            *ENTITY_KEY,
-            F.when(lone_old, F.col("raw")).otherwise(joined).alias("value"),
-            F.lit(None).cast("string").alias("kind"),
-            "touched",
-        )
-    )
-
-
 def _conflicts(stack: DataFrame, **hot) -> DataFrame:
     """Each step of a unique key where a preset changes the value of the one before."""
     rows = stack.filter((F.col("policy") == "unique") & ~F.col("old"))
@@ -298,13 +279,9 @@ def merge_layers(
     """
     stack = stack_layers(layers, existing, policy)
     used = set(policy.values())
-    merged = _merge_last(stack)
+    merged = _merge_rest(stack)
     if "alternation" in used:
         merged = merged.unionByName(_merge_alternation(stack, **hot))
-    if "csv" in used:
-        merged = merged.unionByName(_merge_csv(stack))
-    if "text" in used:
-        merged = merged.unionByName(_merge_text(stack))
     kept, notes = post_rules(merged, heuristics_only)
     typed = ["kind"] if "kind" in layers.columns or (existing is not None and "kind" in existing.columns) else []
     return MergeResult(

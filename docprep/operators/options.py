@@ -7,7 +7,7 @@ shuffles a larger one, splitting skewed partitions at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.predicates import flag_count, py_truth, strip, truthy
@@ -176,7 +176,7 @@ def augment_categories(categories: DataFrame, detected: DataFrame) -> DataFrame:
 
 
 def emit_options(
-    assignments: DataFrame, options: DataFrame, supported: DataFrame | None = None, target: str | None = None
+    assignments: DataFrame, options: DataFrame, supported: DataFrame | None = None, target: str | Column | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """P5, O2: options to pass on, and those left out with the reason.
 
@@ -185,9 +185,12 @@ def emit_options(
     that are no option vanish. ``times`` is how often the flag is written and
     ``argument`` what follows it. Where the assignments have lists (``values``,
     as ``collect_options`` gives them), each item that is not blank is a row with
-    its ``place`` from 0.
+    its ``place`` from 0. ``target`` is one format for all or a column of the assignments; a null one is unknown and
+    leaves nothing out.
     """
     lists = "values" in assignments.columns
+    if isinstance(target, Column):
+        assignments = assignments.withColumn("_target", target)
     if lists:
         item = F.when(F.col("values").isNull(), F.array("value")).otherwise(F.col("values"))
         others = [c for c in assignments.columns if c not in ("value", "values")]
@@ -196,9 +199,11 @@ def emit_options(
         options.select(F.col("id").alias("key"), "cli", "value_type", "category", "repeatable"), "key"
     )
     reason = F.when(F.col("cli").isin(*NEVER_EMITTED), F.lit("forbidden"))
-    if target and target.lower() != "epub":
+    if target is not None:
+        wanted = F.lower(F.lit(target) if isinstance(target, str) else F.col("_target"))
+        other = (wanted != "epub") & (wanted != "")
         reason = reason.when(
-            (F.col("category") == "epub_output") | F.startswith(F.col("cli"), F.lit("--epub-")), F.lit("target")
+            other & ((F.col("category") == "epub_output") | F.startswith(F.col("cli"), F.lit("--epub-"))), F.lit("target")
         )
     if supported is not None:
         rows = rows.join(

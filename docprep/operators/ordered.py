@@ -45,6 +45,7 @@ def scan(
     leads: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     since: Mapping[str, tuple[Column, Column]] | None = None,
+    totals: Mapping[str, Column] | None = None,
     split_hot: bool = True,
     hot_rows: int = HOT_ROWS,
     block_rows: int = BLOCK_ROWS,
@@ -54,26 +55,26 @@ def scan(
     ``sums``: running total up to and including the row. ``lags``/``leads``:
     value of the row before/after. ``lasts``: latest non-null value up to and
     including the row. ``since``: (value, restart) pairs; total of the values from the
-    latest row that restarts it, that row included. ``order`` must order each group totally. Null group
+    latest row that restarts it, that row included. ``totals``: sum over the whole group, whole numbers. ``order`` must order each group totally. Null group
     values form a group. Blocks change the work split only, never the values. ``split_hot=False``
     is for groups known to fit one task, such as the lines of one text cell.
     """
-    sums, lags, leads, lasts, since = (dict(m or {}) for m in (sums, lags, leads, lasts, since))
-    names = [*sums, *lags, *leads, *lasts, *since]
+    sums, lags, leads, lasts, since, totals = (dict(m or {}) for m in (sums, lags, leads, lasts, since, totals))
+    names = [*sums, *lags, *leads, *lasts, *since, *totals]
     keep = [c for c in df.columns if c not in names]
     order_by = [F.col(c).asc() for c in order]
-    values = {f"_in_{n}": v for n, v in {**sums, **lasts}.items()}
+    values = {f"_in_{n}": v for n, v in {**sums, **lasts, **totals}.items()}
     values |= {f"_in_{n}": F.struct(v.alias("v")) for n, v in {**lags, **leads}.items()}
     values |= {f"_in_{n}": F.coalesce(v, F.lit(0)) for n, (v, _) in since.items()}
     values |= {f"_re_{n}": F.coalesce(r, F.lit(False)) for n, (_, r) in since.items()}
     src = df.withColumns(values)
     if not split_hot:
-        out = _plain(src, list(group), order_by, sums, lags, leads, lasts, since)
+        out = _plain(src, list(group), order_by, sums, lags, leads, lasts, since, totals)
         return out.select(*keep, *[F.col(f"_out_{n}").alias(n) for n in names])
 
     tagged = with_blocks(src, group, order, hot_rows, block_rows)
     place = F.struct(*[F.col(c) for c in order])
-    parts = [F.sum(f"_in_{n}").alias(f"_p_{n}") for n in sums]
+    parts = [F.sum(f"_in_{n}").alias(f"_p_{n}") for n in [*sums, *totals]]
     parts += [F.max_by(F.col(f"_in_{n}"), place).alias(f"_p_{n}") for n in lags]
     parts += [F.min_by(F.col(f"_in_{n}"), place).alias(f"_p_{n}") for n in leads]
     parts += [
@@ -83,7 +84,7 @@ def scan(
     parts += [F.max_by(F.col(f"_base_{n}"), place).alias(f"_pb_{n}") for n in since]
     blocks = tagged.filter("_hot")
     if since:  # the total before the block's last restart
-        blocks = _plain(blocks, [*group, "_block"], order_by, {}, {}, {}, {}, since)
+        blocks = _plain(blocks, [*group, "_block"], order_by, {}, {}, {}, {}, since, {})
     summary = blocks.groupBy(*group, "_block").agg(*parts)
     over = Window.partitionBy(*group).orderBy("_block")
     before = over.rowsBetween(Window.unboundedPreceding, -1)
@@ -93,6 +94,7 @@ def scan(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col("_block").alias("_b"),
         *[F.sum(f"_p_{n}").over(before).alias(f"_c_{n}") for n in sums],
+        *[F.sum(f"_p_{n}").over(Window.partitionBy(*group)).alias(f"_c_{n}") for n in totals],
         *[F.lag(f"_p_{n}").over(over).alias(f"_c_{n}") for n in lags],
         *[F.lead(f"_p_{n}").over(over).alias(f"_c_{n}") for n in leads],
         *[F.last(f"_p_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in lasts],
@@ -101,7 +103,7 @@ def scan(
             for n in since
         ],
     )
-    out = _plain(tagged, [*group, "_block"], order_by, sums, lags, leads, lasts, since)
+    out = _plain(tagged, [*group, "_block"], order_by, sums, lags, leads, lasts, since, totals)
     out = out.join(F.broadcast(carry), _same(out, group) & (out["_block"] == F.col("_b")), "left")
     final = []
     for n in sums:
@@ -110,6 +112,8 @@ def scan(
         final.append(F.coalesce(F.col(f"_raw_{n}"), F.col(f"_c_{n}"))["v"].alias(n))
     for n in lasts:
         final.append(F.coalesce(F.col(f"_out_{n}"), F.col(f"_c_{n}")).alias(n))
+    for n in totals:
+        final.append(F.coalesce(F.col(f"_c_{n}"), F.col(f"_out_{n}")).alias(n))
     for n in since:
         carried = F.when(F.col(f"_base_{n}").isNull(), F.coalesce(f"_c_{n}", F.lit(0))).otherwise(F.lit(0))
         final.append((F.col(f"_out_{n}") + carried).alias(n))
@@ -161,7 +165,7 @@ def _cuts(df: DataFrame, group: Sequence[str], order: Sequence[str], hot_rows: i
     return largest.select(*keys, F.filter("_cuts", every(F.col("_thin"))).alias("_cuts"))
 
 
-def _plain(df, group, order_by, sums, lags, leads, lasts, since) -> DataFrame:
+def _plain(df, group, order_by, sums, lags, leads, lasts, since, totals) -> DataFrame:
     over = Window.partitionBy(*group).orderBy(*order_by)
     upto = over.rowsBetween(Window.unboundedPreceding, 0)
     cols = [F.sum(f"_in_{n}").over(upto).alias(f"_out_{n}") for n in sums]
@@ -169,6 +173,7 @@ def _plain(df, group, order_by, sums, lags, leads, lasts, since) -> DataFrame:
     cols += [F.lead(f"_in_{n}").over(over).alias(f"_raw_{n}") for n in leads]
     cols += [F.last(f"_in_{n}", ignorenulls=True).over(upto).alias(f"_out_{n}") for n in lasts]
     cols += [F.sum(f"_in_{n}").over(upto).alias(f"_total_{n}") for n in since]
+    cols += [F.sum(f"_in_{n}").over(Window.partitionBy(*group)).alias(f"_out_{n}") for n in totals]
     out = df.select("*", *cols)
     if since:
         bases = {

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docprep.functions.scalars import plain_path
 from docprep.model import OPTIONS
 
 _DOMAIN = "STRUCT<kind: STRING, min: DOUBLE, max: DOUBLE, values: ARRAY<STRING>, format: STRING, path_type: STRING>"
@@ -150,5 +151,5 @@ def read_catalogue(spark: SparkSession, path: str, multi_line: bool = True) -> C
 
     Spark's readers do not list files of no bytes, so those give no row.
     """
-    texts = spark.read.text(path, wholetext=multi_line).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = spark.read.text(path, wholetext=multi_line).select(plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"), "value")
     return catalogue_of(texts if multi_line else texts.filter(F.btrim("value") != ""))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docprep.functions.predicates import blank_to_null, strip
+from docprep.functions.scalars import plain_path
 from docprep.model import RESERVED_FIELDS
 
 
@@ -38,9 +39,9 @@ def read_configs(spark: SparkSession, path: str | Sequence[str], whole_file: boo
 
     Good rows: ``tab_id, title, input_path, output_path, page_range, options
     MAP, option_kinds MAP, notes, extras MAP, path``. ``extras`` maps every
-    unreserved name to its JSON text. Bad rows: ``path, problem``.
+    unreserved name to its JSON text. Bad rows: ``path, problem, text``.
     """
-    files = spark.read.text(path, wholetext=whole_file).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.text(path, wholetext=whole_file).select("value", plain_path(F.col("_metadata.file_path"), encoded=True).alias("path"))
     if not whole_file:
         files = files.filter(strip(F.col("value")) != "")
     parsed = files.withColumn("v", F.try_parse_json("value"))
@@ -106,7 +107,7 @@ def read_configs(spark: SparkSession, path: str | Sequence[str], whole_file: boo
             extras.alias("extras"),
             "path",
         ),
-        checked.filter("problem is not null").select("path", "problem"),
+        checked.filter("problem is not null").select("path", "problem", F.col("value").alias("text")),
     )
 
 

@@ -58,7 +58,7 @@ def config_options(spark, sf):
 
 def config_problems(spark, sf):
     _, bad = configs.read_configs(spark, _stored_configs(spark, sf), whole_file=False)
-    return bad.groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    return bad.select("text", "problem")
 
 
 def config_round_trip(spark, sf):
@@ -288,7 +288,7 @@ def _item(column):
 def raw_documents(spark, sf):
     """Files read byte for byte in Latin-1: marked letters fall apart."""
     docs = files.read_documents(spark, _stored_texts(spark, sf), "ISO-8859-1")
-    return docs.select(_item("path"), "length", F.length("text").cast("bigint").alias("chars"))
+    return docs.select(_item("path"), "length", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 
 def chapters(spark, sf):
@@ -317,9 +317,12 @@ SQL = {
     WHEN 'enable-heuristics' THEN 'true' END AS value,
   CASE key WHEN 'base-font-size' THEN 'text' WHEN 'verbose' THEN 'number' WHEN 'enable-heuristics' THEN 'bool' ELSE 'void' END AS kind
   FROM (SELECT *, unnest(['base-font-size', 'verbose', 'enable-heuristics', 'flow']) AS key {GOOD})""",
-    "config_problems": """SELECT problem, count(*) AS n FROM (SELECT CASE WHEN c_acctbal < -800 THEN 'not readable as JSON'
+    "config_problems": """SELECT CASE WHEN c_acctbal < -800 THEN '{"tab_id": "x", "title": ' WHEN c_acctbal < -600 THEN '["' || c_custkey || '"]'
+    WHEN c_acctbal < -400 THEN '{"tab_id": "  ", "title": "t"}' WHEN c_acctbal < -200 THEN '{"tab_id": "t", "title": 5}'
+    WHEN c_acctbal < 0 THEN '{"tab_id": "t", "title": "t", "options": [1]}' ELSE '{"tab_id": "t", "title": "t", "notes": 7}' END AS text,
+  CASE WHEN c_acctbal < -800 THEN 'not readable as JSON'
     WHEN c_acctbal < -600 THEN 'not an object' WHEN c_acctbal < -400 THEN 'tab_id is missing or blank' WHEN c_acctbal < -200 THEN 'title is missing or blank'
-    WHEN c_acctbal < 0 THEN 'options is not an object' ELSE 'notes is not a text' END AS problem FROM customer WHERE c_acctbal < 200) GROUP BY problem""",
+    WHEN c_acctbal < 0 THEN 'options is not an object' ELSE 'notes is not a text' END AS problem FROM customer WHERE c_acctbal < 200""",
     "config_round_trip": f"""SELECT 't' || c_custkey AS tab_id, c_name AS title, {_IN} AS input_path, CAST(c_nationkey AS VARCHAR) AS font,
   '2' AS verbose, 'bool,number,text,void' AS kinds, {_SEG} AS seg {GOOD}""",
     "config_facts": f"""SELECT 't' || c_custkey AS tab_id, c_name AS title, coalesce({_IN}, '(no input)') AS input, '(no output)' AS output,
@@ -362,7 +365,9 @@ SQL = {
   UNION ALL SELECT conv_id, 7, NULL, 'no linear html', NULL FROM c WHERE f IN (1, 7)""",
     "library_chapters": """SELECT DISTINCT conv_id, CAST(CASE WHEN conv_id % 8 IN (3, 6) THEN 2 ELSE 1 END AS BIGINT) AS position,
     CASE WHEN conv_id % 8 <> 4 THEN 'chapter ' || conv_id END AS text FROM conversations WHERE conv_id % 8 NOT IN (1, 2, 5, 7)""",
-    "raw_documents": """SELECT item_id, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS length, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS chars FROM benchmark""",
+    "raw_documents": """SELECT item_id, CAST(length(h) // 2 AS BIGINT) AS length, CAST(length(h) // 2 AS BIGINT) AS chars,
+    md5(array_to_string(list_transform(range(0, length(h) // 2), lambda i: chr(CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER))), '')) AS digest
+  FROM (SELECT item_id, hex(encode(text || chr(10))) AS h FROM benchmark)""",
     "chapters": "SELECT item_id, md5(text || chr(10)) AS digest FROM benchmark",
     "folder_sizes": "SELECT item_id, CAST(1 AS BIGINT) AS files, CAST(octet_length(encode(text)) + 1 AS BIGINT) AS bytes FROM benchmark",
     "exported": "SELECT * FROM labels",

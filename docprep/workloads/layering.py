@@ -170,7 +170,10 @@ SQL = {
     + " SELECT entity_id, key, value FROM alternation",
     "layers_csv": STACK + CSV + " SELECT entity_id, key, value FROM csv",
     "layers_text": STACK + TEXT + " SELECT entity_id, key, value FROM block",
-    "layers_all_last": STACK + " SELECT entity_id, key, value FROM stack WHERE seq = n AND key NOT LIKE 'disable-%' AND key NOT LIKE '%unwrap-factor'",
+    "layers_all_last": STACK
+    + ", merged AS (SELECT entity_id, key, value FROM stack WHERE seq = n)"
+    + POST[POST.index(", flags AS") :]
+    + " SELECT entity_id, key, value FROM judged WHERE drop_rule IS NULL",
     "layers_conflicts": STACK
     + """, steps AS (
   SELECT *, lag(preset) OVER w AS p_preset, lag(value) OVER w AS p_value, lag(1) OVER w AS has
@@ -180,8 +183,10 @@ SQL = {
   FROM steps WHERE has = 1 AND p_value <> value""",
     "layers_notes": _ALL
     + POST
-    + """ SELECT entity_id, drop_rule AS rule, string_agg(DISTINCT key, ', ' ORDER BY key) AS keys
-  FROM judged WHERE drop_rule IS NOT NULL GROUP BY entity_id, drop_rule""",
+    + """, dropped AS (
+  SELECT entity_id, drop_rule AS rule, string_agg(DISTINCT key, ', ' ORDER BY key) AS keys FROM judged WHERE drop_rule IS NOT NULL GROUP BY entity_id, drop_rule
+) SELECT entity_id, rule, keys, CASE rule WHEN 'heuristics-off' THEN 'dropped ' || keys || ': enable-heuristics is not on'
+    ELSE 'disable-unwrap-lines drops ' || keys END AS note FROM dropped""",
     "layers_applied": STACK + " SELECT DISTINCT entity_id, rank, position, preset FROM presets",
     "layers_as_preset": _ALL
     + POST
@@ -228,8 +233,7 @@ def _only(key):
 
 
 def all_last(spark, sf):
-    out = merged(spark, sf, {"chapter": "last"}).resolved
-    return out.filter(~F.col("key").startswith("disable-") & ~F.col("key").endswith("unwrap-factor"))
+    return merged(spark, sf, {"chapter": "last"}).resolved
 
 
 QUERIES = {
@@ -239,7 +243,7 @@ QUERIES = {
     "layers_text": _only("extra-css"),
     "layers_all_last": all_last,
     "layers_conflicts": lambda spark, sf: merged(spark, sf).conflicts,
-    "layers_notes": lambda spark, sf: merged(spark, sf).notes.select("entity_id", "rule", "keys"),
+    "layers_notes": lambda spark, sf: merged(spark, sf).notes.select("entity_id", "rule", "keys", "note"),
     "layers_applied": lambda spark, sf: merged(spark, sf).applied,
     "layers_as_preset": lambda spark, sf: L.as_preset(
         merged(spark, sf).resolved, F.concat(F.lit("saved "), F.col("entity_id"))
@@ -254,20 +258,22 @@ SQL["presets_conflicts"] = _SHIPPED + """, steps AS (
   WINDOW w AS (PARTITION BY entity_id, key ORDER BY rank, position)
 ) SELECT entity_id, key, rank, position, p_preset AS overridden_preset, p_value AS overridden_value, preset AS winning_preset, value AS winning_value
   FROM steps WHERE has = 1 AND p_value <> value"""
-SQL["presets_resolved"] = _SHIPPED + """, flags AS (
-  SELECT entity_id, bool_or(entity_id IN (SELECT entity_id FROM presets)) AS touched, bool_or(key = 'enable-heuristics') AS heur,
-    bool_or(key = 'disable-unwrap-lines') AS unwrap FROM stack GROUP BY entity_id
-) SELECT s.entity_id, s.key, s.value FROM stack s JOIN flags f ON f.entity_id = s.entity_id
-  WHERE seq = n AND key NOT IN ('chapter', 'page-breaks-before', 'level1-toc', 'level2-toc', 'filter-css', 'extra-css')
-    AND (NOT touched OR ((heur OR key NOT LIKE 'disable-%') AND NOT (heur AND unwrap AND key = 'unwrap-factor')))"""
+_JOINED = ", ".join(f"'{k}'" for k, v in MERGE_POLICY.items() if v == "alternation")
+SQL["presets_resolved"] = (
+    _SHIPPED.replace("WITH lib", "WITH RECURSIVE lib", 1)
+    + ALTERNATION.replace("key = 'chapter'", f"key IN ({_JOINED})")
+    + CSV
+    + TEXT
+    + LAST.replace("'chapter'", _JOINED)
+    + POST
+    + " SELECT entity_id, key, value FROM judged WHERE drop_rule IS NULL"
+)
 
 
-def shipped_plain(spark, sf):
-    """Options of the shipped presets that the last value decides."""
-    out = shipped(spark, sf).resolved
-    joined = [k for k, v in MERGE_POLICY.items() if v not in ("last", "unique")]
-    return out.filter(~F.col("key").isin(*joined)).select("entity_id", "key", "value")
+def shipped_options(spark, sf):
+    """Options that the shipped presets leave, whatever the policy of their key."""
+    return shipped(spark, sf).resolved.select("entity_id", "key", "value")
 
 
 QUERIES["presets_conflicts"] = lambda spark, sf: shipped(spark, sf).conflicts
-QUERIES["presets_resolved"] = shipped_plain
+QUERIES["presets_resolved"] = shipped_options

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docprep.functions.predicates import target_format
 from docprep.functions.scalars import file_name, infer_type, option_id, relative_path, stem
 from docprep.operators import logs as G
 from docprep.operators import options as O
@@ -49,6 +50,23 @@ def collected(spark, sf):
     return O.collect_options(rows.select("entity_id", "pos", "flag", "key", "value"), C.options(spark, sf))
 
 
+def emitted(part):
+    """What is passed on of each invocation's options; the format asked for differs from log to log."""
+
+    def run(spark, sf):
+        found = G.invocation_paths(invocations(spark, sf))
+        number = F.col("log_id") % 3
+        path = F.when(number == 0, F.regexp_replace("output_path", "epub$", "AZW3")).when(number == 1, F.regexp_replace("output_path", "[.]epub$", ""))
+        wanted = found.select(
+            F.concat(F.col("log_id").cast("string"), F.lit("/"), F.col("invocation").cast("string")).alias("entity_id"),
+            target_format(F.coalesce(path, "output_path")).alias("target"),
+        )
+        rows = collected(spark, sf).join(wanted, "entity_id")
+        return O.emit_options(rows, C.options(spark, sf), C.supported(spark, sf), F.col("target"))[part]
+
+    return run
+
+
 def _shown(df):
     return df.select("entity_id", "key", "flag", "value", F.array_join("values", "|").alias("all_values"))
 
@@ -135,6 +153,16 @@ COLLECTED = WALK + """, gathered AS (
 ), sup AS (
   SELECT 'opt-' || p_partkey AS id FROM part WHERE p_size > 6
 )"""
+EMITTED = COLLECTED + """, items AS (
+  SELECT *, unnest(range(0, len(v))) AS place, unnest(v) AS item FROM (
+    SELECT entity_id, key, '--' || key AS cli, p_size, p_size % 6 = 0 AS flag, p_size % 7 = 0 AS repeatable, p_type = 'ECONOMY' AS epub_only,
+      CAST(split_part(entity_id, '/', 1) AS BIGINT) % 3 <> 2 AS other, CASE WHEN all_values IS NULL THEN [value] ELSE string_split(all_values, '|') END AS v
+    FROM gathered JOIN part ON 'opt-' || p_partkey = key)
+), judged AS (
+  SELECT *, CASE WHEN other AND epub_only THEN 'target' WHEN p_size <= 6 OR p_size >= 40 THEN 'unsupported' END AS reason,
+    CASE WHEN flag AND repeatable THEN CAST(item AS BIGINT) WHEN flag THEN 1 WHEN trim(item, ' ' || chr(9) || chr(10) || chr(13)) <> '' THEN 1 ELSE 0 END AS times
+  FROM items
+)"""
 HELP = r"""
 WITH texts AS (
   SELECT CAST(p_partkey AS VARCHAR) AS tool, 'Usage: tool --all' || chr(10) || '  see --more' || chr(13) || chr(10) || chr(10) || '  -x, --opt-' || p_partkey || '=INT   '
@@ -158,6 +186,11 @@ SQL = {
     + COLLECTED
     + " SELECT entity_id, key, flag, value, all_values FROM gathered WHERE key IN (SELECT id FROM sup)",
     "log_dropped": LOGS + COLLECTED + " SELECT entity_id, key, flag FROM gathered WHERE key NOT IN (SELECT id FROM sup)",
+    "log_emitted": LOGS
+    + EMITTED
+    + """ SELECT entity_id, cli, key, CAST(place AS INTEGER) AS place, CAST(times AS BIGINT) AS times, CASE WHEN NOT flag THEN item END AS argument
+  FROM judged WHERE reason IS NULL AND times > 0""",
+    "log_emit_skipped": LOGS + EMITTED + " SELECT DISTINCT entity_id, cli, key, reason FROM judged WHERE reason IS NOT NULL",
     "log_distinct_flags": LOGS
     + " SELECT DISTINCT log_id, unnest(regexp_extract_all(text, '--[A-Za-z0-9][A-Za-z0-9_-]*')) AS flag FROM logs",
     "help_entries": HELP
@@ -218,6 +251,8 @@ QUERIES = {
     "log_dropped": lambda spark, sf: O.import_options(collected(spark, sf), C.options(spark, sf), C.supported(spark, sf))[1].select(
         "entity_id", "key", "flag"
     ),
+    "log_emitted": emitted(0),
+    "log_emit_skipped": emitted(1),
     "log_distinct_flags": lambda spark, sf: G.distinct_flags(command_logs(spark, sf)),
     "help_entries": lambda spark, sf: G.help_entries(help_texts(spark, sf)),
     "flag_ids": flag_ids,

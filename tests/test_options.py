@@ -123,6 +123,15 @@ def test_emit(spark):
     assert kept.count() == 1
 
 
+def test_target_of_each_row(spark):
+    options = catalogue(spark, {"id": "epub-version", "value_type": "string"}, {"id": "dont-split", "category": "epub_output"}, {"id": "flow"})
+    rows = [(e, k, "1", t) for e, t in (("a", "EPUB"), ("b", "azw3"), ("c", None), ("d", "")) for k in ("epub-version", "dont-split", "flow")]
+    df = spark.createDataFrame(rows, "entity_id STRING, key STRING, value STRING, fmt STRING")
+    kept, skipped = O.emit_options(df, options, target=F.col("fmt"))
+    assert sorted((r.entity_id, r.key) for r in skipped.collect()) == [("b", "dont-split"), ("b", "epub-version")]
+    assert kept.count() == 10 and set(kept.columns) == {"entity_id", "cli", "key", "times", "argument"}
+
+
 def test_dependencies(spark):
     options = catalogue(spark, {"id": "disable-dehyphenate", "depends_on": ["--enable-heuristics", "--gone"]}, {"id": "enable-heuristics"})
     missing = O.missing_dependencies(assigned(spark, disable_dehyphenate="true", enable_heuristics=" No "), options)

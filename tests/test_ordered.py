@@ -33,7 +33,7 @@ def expected(rows, place):
             latest = mark or latest
             before = own[i - 1][4] if i else None
             after = own[i + 1][2] if i + 1 < len(own) else None
-            out.append((g, k, total, before, after, latest, part))
+            out.append((g, k, total, before, after, latest, part, sum(r[3] for r in own)))
     return sorted(out, key=repr)
 
 
@@ -50,11 +50,12 @@ def test_blocks_equal_windows(spark, rows, hot_rows, block_rows, order):
         leads={"after": F.col("k")},
         lasts={"latest": F.col("mark")},
         since={"part": (F.col("v"), F.col("mark") == "a")},
+        totals={"all": F.col("v")},
         hot_rows=hot_rows,
         block_rows=block_rows,
     )
     place = (lambda r: (r[2],)) if order == ["k"] else (lambda r: (r[1], r[2]))
-    assert rows(got, "g", "k", "total", "before", "after", "latest", "part") == expected(given, place)
+    assert rows(got, "g", "k", "total", "before", "after", "latest", "part", "all") == expected(given, place)
 
 
 def test_unsplit_path_and_time_order(spark, rows):

@@ -129,18 +129,37 @@ def test_files(spark, tmp_path):
     assert read_chapters(spark, str(tmp_path / "d" / "e")).first().text == "two\nlines"
     sizes = {r.folder.split("/")[-1]: (r.files, r.bytes) for r in R.dir_totals(file_inventory(spark, str(tmp_path / "d"))).collect()}
     assert sizes == {"d": (1, 3), "e": (1, 9)}
-    with pytest.raises(ValueError):
-        read_documents(spark, str(tmp_path), "klingon")
+    for name in ("klingon", "not a name", ""):
+        with pytest.raises(ValueError):
+            read_documents(spark, str(tmp_path), name)
+    texts = {"windows-1252": "“naïve” €", "Shift_JIS": "日本語", "KOI8-R": "мир", "IBM437": "é½", "utf-16le": "añ"}
+    for name, text in texts.items():
+        folder = tmp_path / name
+        folder.mkdir()
+        (folder / "x").write_bytes(text.encode({"IBM437": "cp437"}.get(name, name)))
+        assert read_documents(spark, str(folder), name).first().text == text
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false"
 
 
 def test_guarded_export(spark, tmp_path):
     df = spark.range(3)
     target = str(tmp_path / "t")
     export_table(df, target)
-    with pytest.raises(Exception):
+    with pytest.raises(ValueError, match="empty"):
         export_table(df, target)
-    with pytest.raises(ValueError):
-        export_table(spark.read.parquet(target), target)
+    stored = spark.read.parquet(target)
+    for other in (target, f"file://{target}/", f"{target}/../t", f"{target}/inside", str(tmp_path)):
+        with pytest.raises(ValueError, match="source"):
+            export_table(stored.filter("id > 0"), other)
+    with pytest.raises(ValueError, match="source"):
+        export_table(df, str(tmp_path / "s" / "in"), source=str(tmp_path / "s"))
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(ValueError, match="not a folder"):
+        export_table(df, str(tmp_path / "file"))
+    (tmp_path / "blank").mkdir()
+    export_table(stored, str(tmp_path / "blank"))
+    export_table(stored, str(tmp_path / "t2"))
+    assert spark.read.parquet(str(tmp_path / "blank")).count() == spark.read.parquet(str(tmp_path / "t2")).count() == 3
 
 
 def events(spark, *steps):
