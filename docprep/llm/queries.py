@@ -119,6 +119,17 @@ WITH items AS (
 ), common AS (SELECT doc_id, item_id, count(*) AS n_common FROM have JOIN items USING (s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_item, n_common, n_common / CAST(n_item AS DOUBLE) AS containment
 FROM common JOIN sizes USING (item_id) WHERE 100 * n_common >= 75 * n_item""",
+    "op5_near_duplicates": f"""
+WITH RECURSIVE sets AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)
+), sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
+), held AS (SELECT doc_id, unnest(s) AS s FROM sets
+), common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM held a JOIN held b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM common JOIN sizes i ON i.doc_id = x JOIN sizes j ON j.doc_id = y WHERE 100 * c >= 75 * (i.n + j.n - c)
+), steps AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach(doc_id, root) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT y, root FROM reach JOIN steps ON x = doc_id
+), roots AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN roots USING (doc_id)""",
     # Hexadecimal digits stand for bytes; texts are cut into overlapping stretches before their strings are listed.
     "op11_suffix_dedup": """
 WITH d AS (
