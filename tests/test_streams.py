@@ -1,6 +1,7 @@
 """Keyed state on streams: equal to the batch twins, and it shrinks."""
 
 import json
+import os
 import random
 
 import pytest
@@ -21,14 +22,17 @@ def arrive(spark, tmp_path):
     def put(rows):
         k = next(n)
         lines = [json.dumps({"entity_id": e, "ts": f"2024-01-01T{s // 3600:02}:{s // 60 % 60:02}:{s % 60:02}Z", "at": at, "event": v}) for e, s, at, v in rows]
-        (folder / f"{k:04}.json").write_text("\n".join(lines))
+        # Files are read in order of their time, which need not tell two quick ones apart.
+        (folder / f"{k:04}.tmp").write_text("\n".join(lines))
+        os.utime(folder / f"{k:04}.tmp", (1_700_000_000 + k,) * 2)
+        (folder / f"{k:04}.tmp").rename(folder / f"{k:04}.json")
 
     put.folder = str(folder)
     return put
 
 
 def stream_of(spark, arrive, schema=EVENTS):
-    return stream_lines(spark, arrive.folder, schema, files_per_batch=1)
+    return stream_lines(spark, f"{arrive.folder}/*.json", schema, files_per_batch=1)
 
 
 def started(stream, tmp_path, name):
