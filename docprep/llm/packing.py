@@ -9,8 +9,11 @@ is bounded by the sequence size, never by the number of documents.
 
 from __future__ import annotations
 
+import gc
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprep.llm.common import by_rows, stored
+from docprep.llm.common import by_rows, small_batches, stored
 
 
 #: Signs that are neither letters, digits nor white space.
@@ -29,7 +32,7 @@ class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit numbers.
 
     A single space between two other characters always begins a new unit of this vocabulary, and a single line end is
-    one by itself, so units repeat and are encoded once; ``most`` units are held. A text with other white space
+    one by itself, so what stands between spaces or line ends repeats and is encoded once; ``most`` such units are held. A text with other white space
     at a unit's edge is encoded as a whole. (Holds for byte-level vocabularies that split like GPT-2's.)
     """
 
@@ -40,64 +43,81 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.most = most
-        self.units: tuple[dict[str, bytes | None], dict[str, bytes | None]] = ({}, {})
-        self.tails: dict[str, bytes] = {}
+        self.forget()
         self.line_end = self._whole("\n")
         self.border = int(np.frombuffer(self.line_end, "<u4")[0])
 
+    def forget(self) -> None:
+        """Drop all units, so that an idle worker holds none."""
+        # Units at the start of a line, units after a space, signs that end a unit; False where a unit has no ids of its own.
+        self.first: dict[str, bytes | bool] = {"": False}
+        self.later: dict[str, bytes | bool] = {"": False}
+        self.tails: dict[str, bytes] = {}
+
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def _ids(self, units: list[str], before: str) -> Iterator[tuple[str, bytes]]:
+    def _add(self, units: list[str], known: dict[str, bytes | bool], before: str) -> None:
         """Ids of units without white space. They hold no line end, so one between them, an id of its own, parts their ids."""
         for at in range(0, len(units), 4096):
             some = units[at : at + 4096]
-            ids = np.frombuffer(self._whole("\n".join([before + u for u in some])), "<u4")
-            ends = [*np.flatnonzero(ids == self.border).tolist(), len(ids)]
-            flat, start = ids.tobytes(), 0
-            for u, end in zip(some, ends, strict=True):
-                yield u, flat[4 * start : 4 * end]
-                start = end + 1
-
-    def _learn(self, units: set[str], known: dict[str, bytes | None], before: str) -> None:
-        new = units.difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = units
-        plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        # Signs after a letter or digit are always a unit of their own, so words before other signs are known already.
-        marked, alone = [], set()
-        for u in plain:
-            word = u.rstrip(SIGNS)
-            if len(word) < len(u) and word and (word[-1].isalpha() or word[-1].isdecimal()):
-                marked.append((u, word, u[len(word) :]))
-                if known.get(word) is None:
-                    alone.add(word)
-            elif known[u] is None:
-                alone.add(u)
-        if len(self.tails) > self.most:
-            self.tails.clear()
-        self.tails.update(self._ids(list({t for _, _, t in marked}.difference(self.tails)), ""))
-        known.update(self._ids(list(alone), before))
-        known.update([(u, known[word] + self.tails[t]) for u, word, t in marked])
+            flat = self._whole(before + ("\n" + before).join(some))
+            ends = (4 * np.flatnonzero(np.frombuffer(flat, "<u4") == self.border)).tolist()
+            starts = [0, *[e + 4 for e in ends]]
+            known.update(zip(some, [flat[a:b] for a, b in zip(starts, [*ends, len(flat)], strict=True)], strict=True))
+
+    def _learn(self, new: set[str], known: dict[str, bytes | bool], before: str) -> None:
+        """Ids of units that are not known; signs after a letter or digit are a unit of their own, whatever stands before."""
+        marked, alone = [], []
+        for u in new:
+            last = u[-1]
+            if u[0].isspace() or last.isspace():
+                known[u] = False
+            elif last not in SIGNS:
+                alone.append(u)
+            else:
+                word = u.rstrip(SIGNS)
+                if word and (word[-1].isalpha() or word[-1].isdecimal()):
+                    marked.append((u, word, u[len(word) :]))
+                else:
+                    alone.append(u)
+        self._add(alone, known, before)
+        self._add(list({word for _, word, _ in marked if word not in known}), known, before)
+        self._add(list({t for _, _, t in marked}.difference(self.tails)), self.tails, "")
+        tails = self.tails
+        known.update([(u, known[word] + tails[t]) for u, word, t in marked])
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [[line.split(" ") for line in t.split("\n")] for t in texts]
-        later: set[str] = set()
-        for lines in split:
-            for line in lines:
-                later.update(line[1:])
-        self._learn({line[0] for lines in split for line in lines}, self.units[0], "")
-        self._learn(later, self.units[1], " ")
-        first, rest = self.units[0].__getitem__, self.units[1].__getitem__
+        if len(self.first) + len(self.later) + len(self.tails) > self.most:
+            self.forget()
+        split = [t.split(" ") for t in texts]
+        rows = [list(map(self.later.get, parts)) for parts in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] for row in rows]
+        new = {parts[i] for parts, own in zip(split, gaps, strict=True) for i in own}
+        # Units that hold line ends seldom come again: put together, not kept.
+        lined = {u: u.split("\n") for u in new if "\n" in u}
+        heads = {parts[0]: parts[0].split("\n") for parts in split}
+        first = {p for parts in lined.values() for p in parts[1:]}.union(*heads.values())
+        later = new.difference(lined).union(parts[0] for parts in lined.values())
+        self._learn(first.difference(self.first), self.first, "")
+        self._learn(later.difference(self.later), self.later, " ")
+
+        def joined(parts: list[bytes | bool]) -> bytes | bool:
+            return False not in parts and self.line_end.join(parts)
+
+        found = {u: joined([self.later[parts[0]], *[self.first[p] for p in parts[1:]]]) for u, parts in lined.items()}
+        found.update([(u, self.later[u]) for u in new if u not in lined])
+        opening = {u: joined([self.first[p] for p in parts]) for u, parts in heads.items()}
         out = []
-        for text, lines in zip(texts, split, strict=True):
-            if not text:
-                out.append(b"")
-                continue
+        for text, parts, row, own in zip(texts, split, rows, gaps, strict=True):
+            for i in own:
+                row[i] = found[parts[i]]
+            row[0] = opening[parts[0]]
             try:
-                out.append(self.line_end.join([b"".join([first(line[0]), *map(rest, line[1:])]) for line in lines]))
+                out.append(b"".join(row) if text else b"")
             except TypeError:  # a unit without ids of its own
                 out.append(self._whole(text))
         return out
@@ -125,7 +145,16 @@ def _pieces(path: str, size: int):
         )
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from by_rows(batches, cut, 512)
+        # Units and ids form no cycles; looking for some among a million of them takes a tenth of the time.
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            yield from by_rows(batches, cut, 512)
+        finally:
+            if path in _ENCODERS:
+                _ENCODERS[path].forget()
+            if was_on:
+                gc.enable()
 
     return each
 
@@ -187,7 +216,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, block: int = 100_000
     rows, repeated rows are packed each; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = stored(token_pieces(docs, tokenizer, size), "pieces")
+    with small_batches(spark):
+        pieces = stored(token_pieces(docs, tokenizer, size), "pieces")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most size rows
     # Both tables have at most a few rows per length.
     parts = spark.createDataFrame([(n, -(-c // block)) for n, c in counts.items()], "length long, parts long")
