@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docprep.llm.common import WordHashes, by_rows, mixed, odd_numbers, shingle_array, signed, stored
+from docprep.llm.common import WordHashes, by_rows, mixed, odd_numbers, shingle_array, signed, small_batches, stored
 
 ROWS, GROUPS = 6, 30
 _PERMUTATIONS = odd_numbers(ROWS * GROUPS, 5)
@@ -88,7 +88,10 @@ def _sets(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _each_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from by_rows(batches, _signatures, 256)
+    try:
+        yield from by_rows(batches, _signatures, 256)
+    finally:
+        _HASHES.clear()  # an idle worker holds no words
 
 
 def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +102,7 @@ def _each_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = [n != (nodes[i - 1] if i else last) for i, n in enumerate(nodes)]
         last = nodes[-1] if nodes else last
         yield out.filter(pa.array(new, pa.bool_()))
+    _HASHES.clear()
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -218,7 +222,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     raw = source.mapInArrow(_each_signature, "id long, n long, h1 long, h2 long, bands array<bigint>")
-    rows = stored(raw.withColumn("row", F.monotonically_increasing_id()), "signatures")
+    with small_batches(docs.sparkSession):
+        rows = stored(raw.withColumn("row", F.monotonically_increasing_id()), "signatures")
 
     able = rows.filter("n > 0 and id is not null")
     classes = able.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.min("id").alias("least_id"))
@@ -232,7 +237,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     pairs = shared.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
     wanted = shared.select("node").distinct().join(nodes.select("node", "id", "h1", "h2"), "node")
-    sets = stored(wanted.join(source, "id").select("node", "h1", "h2", "text").mapInArrow(_each_set, "node long, shingles array<bigint>"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = stored(wanted.join(source, "id").select("node", "h1", "h2", "text").mapInArrow(_each_set, "node long, shingles array<bigint>"), "sets")
 
     placed = able.join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select("id", "node")
     same_id = (
